@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliolens.fixed_values import WS
-from foliolens.functions.text import ColumnOrName, as_column, text_or_empty, trim_ws
+from foliolens.functions.text import ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
 _WORD = "[0-9A-Za-z_]+"
 _UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
@@ -47,6 +47,10 @@ def _numeric_dates(text: Column) -> Column:
     )
 
 
+def _whole_text(text: Column) -> Column:
+    return F.try_to_timestamp(F.nullif(trim_ws(text), F.lit("")))
+
+
 def _relative_date(text: Column, now: Column, any_case: bool) -> Column:
     """``N unit ago`` before ``now``; an unknown unit gives ``now``; else null."""
     pattern = rf"([0-9]+){WS}+({_WORD}){WS}+ago"
@@ -66,26 +70,30 @@ def parse_article_date(
 
     A date without a year is null unless ``default_year`` is given.
     """
-    value, now = text_or_empty(text), as_column(now)
-    whole = F.try_to_timestamp(F.nullif(trim_ws(value), F.lit("")))
-    return F.coalesce(
-        _named_month_dates(value),
-        _yearless_date(value, default_year),
-        _numeric_dates(value),
-        _relative_date(value, now, any_case=False),
-        whole,
+    now = as_column(now)
+    return bind(
+        text_or_empty(text),
+        lambda value: F.coalesce(
+            _named_month_dates(value),
+            _yearless_date(value, default_year),
+            _numeric_dates(value),
+            _relative_date(value, now, any_case=False),
+            _whole_text(value),
+        ),
     )
 
 
 def flexible_timestamp(text: ColumnOrName, now: ColumnOrName) -> Column:
     """Relative dates first (any case), then a full timestamp, then a date."""
-    value, now = text_or_empty(text), as_column(now)
-    whole = F.try_to_timestamp(F.nullif(trim_ws(value), F.lit("")))
-    return F.coalesce(
-        _relative_date(value, now, any_case=True),
-        whole,
-        _named_month_dates(value),
-        _numeric_dates(value),
+    now = as_column(now)
+    return bind(
+        text_or_empty(text),
+        lambda value: F.coalesce(
+            _relative_date(value, now, any_case=True),
+            _whole_text(value),
+            _named_month_dates(value),
+            _numeric_dates(value),
+        ),
     )
 
 

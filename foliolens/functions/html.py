@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliolens.fixed_values import HTML_ENTITIES
-from foliolens.functions.text import ColumnOrName, as_column, text_or_empty, trim_ws
+from foliolens.functions.text import ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
 _TAG_NAME = "[a-zA-Z][a-zA-Z0-9]*"
 _VOID = ("img",)
@@ -37,11 +37,15 @@ def without_code(html: ColumnOrName) -> Column:
 
 
 def decode_entities(text: ColumnOrName) -> Column:
-    text = as_column(text)
-    decoded = reduce(
-        lambda value, pair: F.replace(value, F.lit(pair[0]), F.lit(pair[1])), HTML_ENTITIES, text
+    def decoded(value: Column) -> Column:
+        return reduce(
+            lambda rest, pair: F.replace(rest, F.lit(pair[0]), F.lit(pair[1])), HTML_ENTITIES, value
+        )
+
+    return bind(
+        as_column(text),
+        lambda value: F.when(F.contains(value, F.lit("&")), decoded(value)).otherwise(value),
     )
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def raw_text(markup: ColumnOrName, separator: str = "") -> Column:
@@ -56,10 +60,12 @@ def element_text(markup: ColumnOrName, separator: str = "") -> Column:
 def attribute(element: ColumnOrName, name: str) -> Column:
     """Value of an attribute of the element's own start tag; '' if absent."""
     pattern = rf"""(?i)^<[^>]*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    element = as_column(element)
-    start_tag = F.regexp_extract(element, "^<[^>]*>", 0)
-    value = F.concat(F.regexp_extract(start_tag, pattern, 1), F.regexp_extract(start_tag, pattern, 2))
-    return decode_entities(value)
+    return bind(
+        F.regexp_extract(as_column(element), "^<[^>]*>", 0),
+        lambda tag: decode_entities(
+            F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+        ),
+    )
 
 
 def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
@@ -78,10 +84,14 @@ def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
 
 def element_pattern(specs: tuple[tuple[str, str, str, str], ...]) -> str:
     """Pattern for whole elements whose start tag meets any of the specs."""
-    tests = "|".join(_start_tag_test(spec) for spec in specs)
-    if all(spec[0] in _VOID for spec in specs):
-        return rf"(?is)<(?={tests})[^>]*>"
-    return rf"(?is)<(?={tests})({_TAG_NAME})\b[^>]*>.*?</\1\s*>"
+    void = "|".join(_start_tag_test(spec) for spec in specs if spec[0] in _VOID)
+    paired = "|".join(_start_tag_test(spec) for spec in specs if spec[0] not in _VOID)
+    kinds = []
+    if void:
+        kinds.append(f"<(?={void})[^>]*>")
+    if paired:
+        kinds.append(rf"<(?={paired})({_TAG_NAME})\b[^>]*>.*?</\1\s*>")
+    return "(?is)" + "|".join(kinds)
 
 
 def elements(html: ColumnOrName, specs) -> Column:
@@ -102,14 +112,6 @@ def first_text(html: ColumnOrName, specs) -> Column:
     return element_text(first_element(html, specs))
 
 
-def element_with_text(html: ColumnOrName, tag: str, text: str) -> Column:
-    """True when some ``tag`` element holds ``text`` (case-sensitive)."""
-    found = F.regexp_extract_all(
-        as_column(html), F.lit(rf"(?is)<{tag}(?=[\s>]).*?</{tag}\s*>"), F.lit(0)
-    )
-    return F.exists(found, lambda element: F.contains(raw_text(element), F.lit(text)))
-
-
 def tag_elements(html: ColumnOrName, tag: str) -> Column:
     return elements(html, ((tag, "", "", ""),))
 
@@ -120,49 +122,100 @@ def start_tag_count(html: ColumnOrName, tag: str) -> Column:
 
 def _opened_pieces(html: ColumnOrName, tag: str, ends: str) -> Column:
     """Inner markup of elements whose end tag may be missing."""
-    after_start = F.slice(
-        F.split(as_column(html), rf"(?i)<{tag}(?:\s[^>]*)?>", -1), 2, 2_147_483_647
-    )
+    pieces = F.split(as_column(html), rf"(?i)<{tag}(?:\s[^>]*)?>", -1)
     return F.transform(
-        after_start, lambda piece: F.regexp_extract(piece, rf"(?is)^(.*?)(?:{ends}|$)", 1)
+        F.filter(pieces, lambda _, i: i > 0), lambda piece: F.regexp_extract(piece, rf"(?is)^(.*?)(?:{ends}|$)", 1)
     )
 
 
-def paragraph_texts(html: ColumnOrName, separator: str = "") -> Column:
-    """Trimmed non-empty ``<p>`` texts; an unclosed paragraph ends at the next block."""
-    return F.filter(
-        F.transform(_opened_pieces(html, "p", rf"(?:{_ENDS_PARAGRAPH})[\s>]"), lambda p: element_text(p, separator)),
-        lambda text: text != "",
-    )
+def all_paragraph_texts(html: ColumnOrName) -> Column:
+    """Trimmed ``<p>`` texts; an unclosed paragraph ends at the next block."""
+    pieces = _opened_pieces(html, "p", rf"(?:{_ENDS_PARAGRAPH})[\s>]")
+    return F.transform(pieces, lambda piece: element_text(piece))
 
 
-def all_paragraph_texts(html: ColumnOrName) -> Column:
-    return F.transform(
-        _opened_pieces(html, "p", rf"(?:{_ENDS_PARAGRAPH})[\s>]"), lambda p: element_text(p)
-    )
+def paragraph_texts(html: ColumnOrName) -> Column:
+    return F.filter(all_paragraph_texts(html), lambda text: text != "")
 
 
 def item_texts(html: ColumnOrName) -> Column:
-    return F.filter(
-        F.transform(_opened_pieces(html, "li", rf"(?:{_ENDS_ITEM})[\s>]"), lambda item: element_text(item)),
-        lambda text: text != "",
-    )
+    pieces = _opened_pieces(html, "li", rf"(?:{_ENDS_ITEM})[\s>]")
+    return F.filter(F.transform(pieces, lambda item: element_text(item)), lambda text: text != "")
 
 
 def absolute_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
     """Resolve root-relative, protocol-relative and bare hrefs against a page URL."""
-    href, page_url = as_column(href), as_column(page_url)
+    page_url = as_column(page_url)
     origin = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     without_query = F.regexp_extract(page_url, r"^[^?#]*", 0)
-    folder = F.regexp_extract(without_query, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)[^/]*$", 1)
-    folder = F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder)
-    return (
-        F.when(href == "", page_url)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(page_url, "^[^#]*", 0), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(without_query, href))
-        .otherwise(F.concat(folder, href))
+    folder = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/)[^/?#]*(?:[?#].*)?$", 1)
+    return bind(
+        as_column(href),
+        lambda link: F.when(link == "", page_url)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(page_url, "^[^#]*", 0), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(without_query, link))
+        .when(folder == "", F.concat(origin, F.lit("/"), link))
+        .otherwise(F.concat(folder, link)),
+    )
+
+
+def containers(html: ColumnOrName, specs) -> Column:
+    """Whole elements of the given specs, same-tag nesting respected.
+
+    The markup is cut at every matching start tag; within a piece, start and end
+    tags of that element are counted until they balance.
+    """
+    tests = "|".join(_start_tag_test(spec) for spec in specs)
+    pieces = F.split(as_column(html), rf"(?i)(?=<(?:{tests}))", -1)
+    started = F.filter(pieces, lambda piece: piece.rlike(rf"(?i)^<(?:{tests})"))
+    return F.transform(started, _balanced)
+
+
+def _balanced(piece: Column) -> Column:
+    tag = F.regexp_extract(piece, f"^<({_TAG_NAME})", 1)
+    steps = F.split(piece, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>])")), F.lit(-1))
+
+    def keep(state: Column, step: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(step, F.lit("</")), -1).otherwise(1)
+        grown = F.struct(depth.alias("depth"), (state["kept"] + 1).alias("kept"))
+        return F.when((state["kept"] > 0) & (state["depth"] <= 0), state).otherwise(grown)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"))
+    return bind(
+        steps,
+        lambda s: bind(
+            F.aggregate(s, start, keep),
+            lambda state: F.when(
+                state["depth"] <= 0,
+                # The last kept piece is the end tag and whatever follows it.
+                F.concat(
+                    F.array_join(F.slice(s, 1, state["kept"] - 1), ""),
+                    F.regexp_extract(F.get(s, state["kept"] - 1), "^</[^>]*>?", 0),
+                ),
+            ).otherwise(piece),
+        ),
     )
+
+
+def element_with_text(html: ColumnOrName, tag: str, text: str) -> Column:
+    """True when some ``tag`` element holds ``text`` (case-sensitive, unbroken by tags).
+
+    Open and closed tags are counted up to each occurrence of the text.
+    """
+    html = as_column(html)
+
+    def step(state: Column, piece: Column) -> Column:
+        opened = F.regexp_count(piece, F.lit(rf"(?i)<{tag}[\s>]"))
+        closed = F.regexp_count(piece, F.lit(rf"(?i)</{tag}\s*>"))
+        depth = F.greatest(state["depth"] + opened - closed, F.lit(0))
+        inside_tag = piece.rlike(r"<[^>]*$")
+        return F.struct(depth.alias("depth"), (state["hit"] | ((depth > 0) & ~inside_tag)).alias("hit"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("hit"))
+    before = F.split(html, re.escape(text).replace(r"\ ", " "), -1)
+    hit = F.aggregate(F.slice(before, 1, F.size(before) - 1), start, step)["hit"]
+    return F.when(F.contains(html, F.lit(text)), hit).otherwise(False)
