@@ -31,16 +31,11 @@ MAX_REQUESTS_PER_SECOND = 5.0
 OUTPUT_FORMATS = ("json", "csv", "xlsx")
 SORT_ORDERS = ("latest", "popular", "oldest")
 
-# Whitespace as browsers define it (Java and RE2 both accept this class).
+# Whitespace as browsers define it.
 WS = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
-# Everything that is neither an ASCII word character nor whitespace.
-NOT_WORD_OR_WS = (
-    r"[^0-9A-Za-z_\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-)
 ZERO_WIDTH = r"[\x{200B}-\x{200D}]"
 
 # Words never reported as keywords.
@@ -219,3 +214,19 @@ BODY_TEXT_STEPS = (
 
 # Marker in front of the state object embedded in a page.
 STATE_MARKER = r"window\.__APOLLO_STATE__"
+
+# Messages of the request rules, in rule order.
+SITE_LABEL = "Medium"
+REQUEST_MESSAGES = {
+    "url_missing": "Author URL is required and must be a string",
+    "url_host": f"URL must be a valid {SITE_LABEL} URL (contain {SITE})",
+    "url_format": "Author URL must be a valid URL format",
+    "max_posts": "maxPosts must be a number between 1 and 1000",
+    "rate": "requestsPerSecond must be a number between 0.1 and 5",
+    "format": "outputFormat must be one of: json, csv, xlsx",
+    "sort": "sortBy must be one of: latest, popular, oldest",
+    "start": "dateRange.start must be a valid date string",
+    "end": "dateRange.end must be a valid date string",
+    "order": "dateRange.start must be before dateRange.end",
+    "tags": "All tags must be non-empty strings",
+}

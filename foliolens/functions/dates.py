@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliolens.fixed_values import WS
-from foliolens.functions.text import ColumnOrName, as_column, bind, text_or_empty, trim_ws
+from foliolens.functions.text import WS, ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
 _WORD = "[0-9A-Za-z_]+"
 _UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
@@ -104,3 +103,11 @@ def iso_format(timestamp: ColumnOrName) -> Column:
 def iso_date(text: ColumnOrName, now: ColumnOrName) -> Column:
     """ISO-8601 text with milliseconds.  Month arithmetic stays inside the month."""
     return iso_format(flexible_timestamp(text, now))
+
+
+def calendar_timestamp(text: ColumnOrName) -> Column:
+    """A full timestamp or a calendar date; relative dates are not read."""
+    return bind(
+        text_or_empty(text),
+        lambda value: F.coalesce(_whole_text(value), _named_month_dates(value), _numeric_dates(value)),
+    )

@@ -73,7 +73,7 @@ def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
     opening = _TAG_NAME if tag == "*" else re.escape(tag)
     if not name:
         return rf"{opening}(?=[\s>/])"
-    quoted = re.escape(value)
+    quoted = f"(?-i:{re.escape(value)})"  # values, unlike names, keep their case
     body = {
         "=": rf'"{quoted}"',
         "*=": rf'"[^"]*{quoted}',

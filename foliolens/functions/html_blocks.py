@@ -1,0 +1,60 @@
+"""List items with their true nesting depth, where regular expressions cannot tell."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+_LISTS = ("ul", "ol")
+
+
+class _Items(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open_lists, self.open_items, self.rows = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _LISTS:
+            self.open_lists.append(tag)
+        elif tag == "li" and self.open_lists:
+            depth = len(self.open_lists)
+            while self.open_items and self.open_items[-1][0] >= depth:
+                self.open_items.pop()
+            row = [depth, self.open_lists[-1], []]
+            self.rows.append(row)
+            self.open_items.append(row)
+
+    def handle_endtag(self, tag):
+        if tag == "li" and self.open_items:
+            self.open_items.pop()
+        elif tag in _LISTS and self.open_lists:
+            depth = len(self.open_lists)
+            while self.open_items and self.open_items[-1][0] >= depth:
+                self.open_items.pop()
+            self.open_lists.pop()
+
+    def handle_data(self, data):
+        if self.open_items:
+            self.open_items[-1][2].append(data)
+
+
+@udtf(returnType="position int, depth int, list_type string, item string")
+class HtmlListItems:
+    def eval(self, html: str):
+        if html and "<li" in html.lower():
+            parser = _Items()
+            parser.feed(html)
+            parser.close()
+            for position, (depth, kind, parts) in enumerate(parser.rows):
+                yield position, depth, kind, "".join(parts).strip()
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """``(page_id, position, depth, list_type, item)`` for every list item of every page."""
+    narrow = pages.select("page_id", "html")
+    return narrow.lateralJoin(HtmlListItems(F.col("html").outer())).select(
+        "page_id", "position", "depth", "list_type", "item"
+    )

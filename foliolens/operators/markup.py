@@ -141,7 +141,7 @@ def flatten_content(contents: Column) -> Column:
                     "headings", "paragraphs", "lists", "quotes", "code_blocks", "images", "links",
                 )
             ],
-            X.word_count(text).alias("word_count"),
+            X.cleaned_word_count(text).alias("word_count"),
         ),
     )
 
@@ -173,7 +173,7 @@ def page_words(pages: DataFrame) -> DataFrame:
             )
         ).alias("text"),
     )
-    return texts.withColumn("word_count", X.word_count("text"))
+    return texts.withColumn("word_count", X.cleaned_word_count("text"))
 
 
 # --- article fields ---------------------------------------------------------------
