@@ -85,7 +85,7 @@ def session_stats(
     sessions = numbered.groupBy(key, "_session").agg(
         F.timestamp_micros(F.min("_first")).alias("session_start"),
         F.timestamp_micros(F.max("_last") + gap_micros).alias("session_end"),
-        F.expr("(max(_last) - min(_first)) div 1000").alias("session_duration"),
+        F.expr("max(_last) div 1000 - min(_first) div 1000").alias("session_duration"),
         F.sum("events").alias("events"),
         *[F.sum(name).alias(name) for name in names],
     )

@@ -100,7 +100,7 @@ def state_article(post: Column, page_url: Column, now: Column) -> Column:
             F.struct(
                 _text(post["sequence"]["title"]).alias("name"),
                 _with_prefix(f"{V.SITE_URL}/sequence/", post["sequence"]["slug"]).alias("url"),
-                _text(post["sequenceIndex"]).alias("part"),
+                _text(F.nullif(post["sequenceIndex"], F.lit("0"))).alias("part"),
             ),
         ).alias("series"),
     ).cast(schemas.ARTICLE)
