@@ -7,35 +7,31 @@ from pyspark.sql import functions as F
 
 from foliolens.functions.text import WS, ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
-_WORD = "[0-9A-Za-z_]+"
-_UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
+_WORD = "[0-9A-Za-z_]"
+_SECONDS = "map('second', 1L, 'minute', 60L, 'hour', 3600L, 'day', 86400L, 'week', 604800L)"
+_MONTHS = "map('month', 1, 'year', 12)"
 
 
-def _parsed(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    """A day, a month name and a year found by ``pattern``, read as a date.
+def _parsed(text: Column, pattern: str, written: str) -> Column:
+    """The first match of ``pattern``, rewritten as month, day and year, read as a date.
 
     Month names count by their first three letters, in any case.
     """
-    found = F.regexp_extract(text, pattern, 0)
-    month, day, year = (F.regexp_extract(found, pattern, group) for group in order)
-    written = F.concat_ws(" ", F.initcap(F.substring(month, 1, 3)), day, year)
-    return F.try_to_timestamp(written, F.lit("MMM d yyyy"))
+    found = F.regexp_replace(F.regexp_extract(text, pattern, 0), f"^{pattern}$", written)
+    return F.try_to_timestamp(F.initcap(found), F.lit("MMM d yyyy"))
 
 
 def _named_month_dates(text: Column) -> Column:
-    month_first = rf"({_WORD}){WS}+([0-9]{{1,2}}),{WS}+([0-9]{{4}})"
-    day_first = rf"([0-9]{{1,2}}){WS}+({_WORD}){WS}+([0-9]{{4}})"
-    return F.coalesce(_parsed(text, month_first, (1, 2, 3)), _parsed(text, day_first, (2, 1, 3)))
+    month = f"({_WORD}{{1,3}}){_WORD}*"
+    month_first = rf"{month}{WS}+([0-9]{{1,2}}),{WS}+([0-9]{{4}})"
+    day_first = rf"([0-9]{{1,2}}){WS}+{month}{WS}+([0-9]{{4}})"
+    return F.coalesce(_parsed(text, month_first, "$1 $2 $3"), _parsed(text, day_first, "$2 $1 $3"))
 
 
 def _yearless_date(text: Column, default_year: int | None) -> Column:
     if default_year is None:
         return F.lit(None).cast("timestamp")
-    pattern = rf"({_WORD}){WS}+([0-9]{{1,2}})"
-    found = F.regexp_extract(text, pattern, 0)
-    month, day = F.regexp_extract(found, pattern, 1), F.regexp_extract(found, pattern, 2)
-    written = F.concat_ws(" ", F.initcap(F.substring(month, 1, 3)), day, F.lit(str(default_year)))
-    return F.try_to_timestamp(written, F.lit("MMM d yyyy"))
+    return _parsed(text, rf"({_WORD}{{1,3}}){_WORD}*{WS}+([0-9]{{1,2}})", f"$1 $2 {default_year}")
 
 
 def _numeric_dates(text: Column) -> Column:
@@ -52,14 +48,22 @@ def _whole_text(text: Column) -> Column:
 
 def _relative_date(text: Column, now: Column, any_case: bool) -> Column:
     """``N unit ago`` before ``now``; an unknown unit gives ``now``; else null."""
-    pattern = rf"([0-9]+){WS}+({_WORD}){WS}+ago"
+    pattern = rf"([0-9]+){WS}+({_WORD}+?)(s?){WS}+ago"
+
+    def moved(found: Column) -> Column:
+        amount = F.regexp_extract(found, pattern, 1).try_cast("int")
+        unit = F.regexp_extract(found, pattern, 2)
+        unit = F.lower(unit) if any_case else unit
+        months = F.coalesce(F.try_element_at(F.expr(_MONTHS), unit), F.lit(0))
+        seconds = F.coalesce(F.try_element_at(F.expr(_SECONDS), unit), F.lit(0))
+        none = F.lit(0)
+        step = F.try_make_interval(
+            none, F.try_multiply(amount, months), none, none, none, none, F.try_multiply(seconds, amount.cast("bigint"))
+        )
+        return F.when(found != "", now - step)
+
     found = F.regexp_extract(text, pattern, 0)
-    amount = F.regexp_extract(found, pattern, 1).try_cast("int")
-    unit = F.regexp_extract(found, pattern, 2)
-    unit = F.lower(unit) if any_case else unit
-    parts = [F.when(unit.isin(name, f"{name}s"), amount).otherwise(0) for name in _UNITS]
-    step = F.try_make_interval(*parts)
-    return F.when(found != "", now - step)
+    return bind(F.lower(found) if any_case else found, moved)
 
 
 def parse_article_date(

@@ -9,8 +9,6 @@ covers true nesting.
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +34,19 @@ def without_code(html: ColumnOrName) -> Column:
     )
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_ENTITY_PAIRS = "array({})".format(
+    ", ".join(f"struct({_sql_text(old)} AS old, {_sql_text(new)} AS new)" for old, new in HTML_ENTITIES)
+)
+
+
 def decode_entities(text: ColumnOrName) -> Column:
     def decoded(value: Column) -> Column:
-        return reduce(
-            lambda rest, pair: F.replace(rest, F.lit(pair[0]), F.lit(pair[1])), HTML_ENTITIES, value
+        return F.aggregate(
+            F.expr(_ENTITY_PAIRS), value, lambda rest, pair: F.replace(rest, pair["old"], pair["new"])
         )
 
     return bind(
@@ -144,23 +151,25 @@ def item_texts(html: ColumnOrName) -> Column:
 
 
 def absolute_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
-    """Resolve root-relative, protocol-relative and bare hrefs against a page URL."""
-    page_url = as_column(page_url)
-    origin = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    without_query = F.regexp_extract(page_url, r"^[^?#]*", 0)
-    folder = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/)[^/?#]*(?:[?#].*)?$", 1)
-    return bind(
-        as_column(href),
-        lambda link: F.when(link == "", page_url)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(page_url, "^[^#]*", 0), link))
-        .when(F.startswith(link, F.lit("?")), F.concat(without_query, link))
-        .when(folder == "", F.concat(origin, F.lit("/"), link))
-        .otherwise(F.concat(folder, link)),
-    )
+    """Resolve relative hrefs against a page URL.
+
+    The form of the href decides which leading part of the page URL is kept.
+    """
+    base = F.regexp_replace(as_column(page_url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)(?=$|[?#])", "$1/")
+
+    def resolved(link: Column) -> Column:
+        kept = (
+            F.when(link == "", r"(?s)^(.*)$")
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "^()")
+            .when(F.startswith(link, F.lit("//")), "^([^:/]+:)")
+            .when(F.startswith(link, F.lit("/")), "^([^:/]+://[^/?#]*)")
+            .when(F.startswith(link, F.lit("#")), "^([^#]*)")
+            .when(F.startswith(link, F.lit("?")), "^([^?#]*)")
+            .otherwise("^([^:/]+://(?:[^/?#]*/)+)")
+        )
+        return F.concat(F.call_function("regexp_extract", base, kept, F.lit(1)), link)
+
+    return bind(as_column(href), resolved)
 
 
 def containers(html: ColumnOrName, specs) -> Column:

@@ -9,7 +9,10 @@ from foliolens.functions.text import WS
 
 _UNSAFE = r'[<>:"/\\|?*]'
 _COLLAPSED = f"trim(regexp_replace(coalesce(t, ''), r'{WS}+', ' '))"
-_SENTENCES = "regexp_extract_all(coalesce(t, ''), r'[^.!?]+[.!?]+', 0)"
+_SENTENCES = (
+    r"filter(regexp_extract_all(coalesce(t, ''), r'[^.!?]++(?:[.!?]++|\z)', 0), "
+    "s -> substring(s, -1, 1) IN ('.', '!', '?'))"
+)
 
 
 def _trimmed(value: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.fixed_values import (
@@ -36,6 +36,16 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def exploded(rows: DataFrame, keep: list, items: Column, position: str, item: str) -> DataFrame:
+    """One row per array item with its 0-based position; rows without items vanish.
+
+    ``posexplode`` would have Spark test the array's size below the projection that
+    computes it, and so compute it twice; the outer form is filtered afterwards.
+    """
+    placed = rows.select(*keep, F.posexplode_outer(items).alias(position, item))
+    return placed.filter(F.col(position).isNotNull()).withColumn(position, F.col(position).cast("bigint"))
+
+
 def text_or_empty(text: ColumnOrName) -> Column:
     return F.coalesce(as_column(text), F.lit(""))
 
@@ -130,7 +140,13 @@ def is_valid_url(url: ColumnOrName) -> Column:
 
 
 def sentences(text: ColumnOrName) -> Column:
-    return F.regexp_extract_all(text_or_empty(text), F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
+    """Runs of text up to and with their closing marks.
+
+    The pattern also takes an unclosed tail, which is then dropped: looking for the
+    closing mark again from every position of a long tail would be quadratic.
+    """
+    pieces = F.regexp_extract_all(text_or_empty(text), F.lit(r"[^.!?]++(?:[.!?]++|\z)"), F.lit(0))
+    return F.filter(pieces, lambda piece: F.substring(piece, -1, 1).isin(".", "!", "?"))
 
 
 def summary(text: ColumnOrName, max_sentences: int = 3) -> Column:

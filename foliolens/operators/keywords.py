@@ -11,7 +11,7 @@ from foliolens.functions import text as X
 
 def keyword_counts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, word, n, first_rank)``: every keyword of every document."""
-    counted = documents.select(key, F.explode(X.keyword_table(text)).alias("k"))
+    counted = X.exploded(documents, [key], X.keyword_table(text), "position", "k")
     return counted.select(key, "k.word", "k.n", "k.first_rank")
 
 
@@ -19,5 +19,5 @@ def keywords_topk(
     documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = V.DEFAULT_KEYWORDS
 ) -> DataFrame:
     """``(key, rank, word, n)``: most frequent first, ties by first appearance."""
-    ranked = documents.select(key, F.posexplode(X.top_keywords(text, limit)).alias("pos", "k"))
-    return ranked.select(key, (F.col("pos") + 1).cast("bigint").alias("rank"), "k.word", "k.n")
+    ranked = X.exploded(documents, [key], X.top_keywords(text, limit), "position", "k")
+    return ranked.select(key, (F.col("position") + 1).alias("rank"), "k.word", "k.n")

@@ -260,7 +260,8 @@ def comments(pages: DataFrame) -> DataFrame:
     found = pages.select(
         "page_id", "url", comment_structs(H.without_code("html"), F.col("url")).alias("found")
     )
-    return found.select("page_id", "url", F.explode("found").alias("c")).select("page_id", "url", "c.*")
+    placed = X.exploded(found, ["page_id", "url"], F.col("found"), "position", "c")
+    return placed.select("page_id", "url", "c.*")
 
 
 def publication_struct(html: Column, page_url: Column) -> Column:
@@ -403,11 +404,11 @@ def listing(pages: DataFrame) -> DataFrame:
 
     cleaned = pages.select("page_id", "url", H.without_code("html").alias("markup"))
     boxed = cleaned.select("page_id", "url", "markup", H.containers(markup, ARTICLE_TAG).alias("articles"))
-    placed = boxed.select("page_id", "url", F.posexplode(chosen).alias("index", "post"))
+    placed = X.exploded(boxed, ["page_id", "url"], chosen, "index", "post")
     anchor, context = F.col("post.anchor"), F.col("post.context")
     fields = placed.select(
         "page_id",
-        F.col("index").cast("bigint").alias("index"),
+        "index",
         title_of(anchor).alias("title"),
         context_text(context).alias("subtitle"),
         H.absolute_url(H.attribute(anchor, "href"), url).alias("url"),

@@ -141,8 +141,7 @@ def keep_first_by_url(items: DataFrame, order: tuple[str, ...] = ("batch", "inde
 def item_index(rows: DataFrame, items: str, name: str = "item") -> DataFrame:
     """One row per array item with its 0-based position, numbered inside the row."""
     keys = [column for column in rows.columns if column != items]
-    placed = rows.select(*keys, F.posexplode(items).alias("item_index", name))
-    return placed.withColumn("item_index", F.col("item_index").cast("bigint"))
+    return X.exploded(rows, keys, F.col(items), "item_index", name)
 
 
 def merge_batches(held: DataFrame, new: DataFrame) -> DataFrame:

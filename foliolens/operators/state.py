@@ -52,6 +52,16 @@ def state_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def usable_state(found: DataFrame) -> DataFrame:
+    """Pages whose state names an article.
+
+    Written as an explode so that the test stays above the parsing; a plain filter
+    is pushed below it and parses every page twice.
+    """
+    kept = X.exploded(found, ["page_id", "url", "records"], F.array("post"), "_", "post")
+    return kept.filter(F.col("post").isNotNull()).drop("_")
+
+
 def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
@@ -131,8 +141,9 @@ def _blocks(records: Column, post: Column) -> Column:
         lambda p: p["__ref"],
     )
     stored = F.filter(F.map_keys(records), lambda key: F.startswith(key, F.lit("Paragraph:")))
-    order = F.filter(
-        F.array_distinct(F.concat(listed, stored)), lambda key: F.array_contains(stored, key)
+    order = X.bind(
+        stored,
+        lambda keys: F.array_distinct(F.concat(F.array_intersect(listed, keys), keys)),
     )
 
     def block(key: Column) -> Column:
@@ -171,7 +182,7 @@ def _blocks(records: Column, post: Column) -> Column:
 
 def state_blocks(pages: DataFrame) -> DataFrame:
     """``(page_id, url, blocks)`` of the pages whose state names an article."""
-    usable = state_pages(pages).filter(F.col("post").isNotNull())
+    usable = usable_state(state_pages(pages))
     return usable.select("page_id", "url", _blocks(F.col("records"), F.col("post")).alias("blocks"))
 
 
@@ -212,7 +223,8 @@ def state_content(pages: DataFrame) -> DataFrame:
 def state_records(pages: DataFrame) -> DataFrame:
     """``(page_id, key, record)``: the state as rows, for joins on ``(page_id, key)``."""
     found = pages.select("page_id", state_map(embedded_state(F.col("html"))).alias("records"))
-    return found.select("page_id", F.explode("records").alias("key", "record"))
+    entries = X.exploded(found, ["page_id"], F.map_entries("records"), "_", "entry")
+    return entries.select("page_id", "entry.key", F.col("entry.value").alias("record"))
 
 
 def state_deref(pages: DataFrame) -> DataFrame:
@@ -221,14 +233,16 @@ def state_deref(pages: DataFrame) -> DataFrame:
     Edges and records meet on (page, key), so one large state never meets another.
     """
     records = state_records(pages)
-    pattern = r'"__ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
-    edges = records.select(
-        "page_id",
-        F.col("key").alias("from_key"),
-        F.posexplode(F.regexp_extract_all("record", F.lit(pattern), F.lit(1))).alias("position", "key"),
+    pattern = r'"__ref"\s*:\s*"((?:[^"\\]|\\.)*+)"'
+    edges = X.exploded(
+        records,
+        ["page_id", F.col("key").alias("from_key")],
+        F.regexp_extract_all("record", F.lit(pattern), F.lit(1)),
+        "position",
+        "key",
     )
     return edges.join(records, ["page_id", "key"], "inner").select(
-        "page_id", "from_key", F.col("position").cast("bigint").alias("position"), "key", "record"
+        "page_id", "from_key", "position", "key", "record"
     )
 
 

@@ -305,7 +305,8 @@ def embedded_state(spark, folder):
 @query
 def state_ref_lookup(spark, folder):
     found = state_pages(spark, folder).select("page_id", S.embedded_state(F.col("html")).alias("state"))
-    return found.filter(S.state_map(F.col("state")).isNotNull()).select("page_id", S.post_key(F.col("state")).alias("post_key"))
+    keys = X.exploded(found, ["page_id"], F.array(S.post_key(F.col("state"))), "_", "post_key")
+    return keys.filter(F.col("post_key").isNotNull()).drop("_")
 
 
 def flat_article(rows: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def flat_article(rows: DataFrame) -> DataFrame:
 
 @query
 def state_article(spark, folder):
-    found = S.state_pages(state_pages(spark, folder)).filter(F.col("post").isNotNull())
+    found = S.usable_state(S.state_pages(state_pages(spark, folder)))
     return flat_article(found.select("page_id", S.state_article(F.col("post"), F.col("url"), now()).alias("article")))
 
 
@@ -340,9 +341,9 @@ def article_info(spark, folder):
 @query
 def state_blocks(spark, folder):
     blocks = S.state_blocks(state_pages(spark, folder))
-    placed = blocks.select("page_id", F.posexplode("blocks").alias("position", "b"))
+    placed = X.exploded(blocks, ["page_id"], F.col("blocks"), "position", "b")
     return placed.select(
-        "page_id", F.col("position").cast("bigint").alias("position"), "b.type",
+        "page_id", "position", "b.type",
         F.col("b.level").cast("bigint").alias("level"), "b.text", "b.language", "b.code", "b.src", "b.alt",
         "b.list_type", joined("b.items").alias("items"),
     )
@@ -372,9 +373,7 @@ def page_headings(spark, folder):
 @query
 def paragraphs(spark, folder):
     found = content_part(spark, folder, H.paragraph_texts("box"), T.scan_pages(spark, folder))
-    return found.select("page_id", F.posexplode("found").alias("position", "paragraph")).select(
-        "page_id", F.col("position").cast("bigint").alias("position"), "paragraph"
-    )
+    return X.exploded(found, ["page_id"], F.col("found"), "position", "paragraph")
 
 
 def flat_lists(items: Column) -> Column:
