@@ -262,23 +262,22 @@ def assemble_article(
         embedded_state(F.col("html")).alias("state"),
         H.without_code("html").alias("markup"),
     ).select("page_id", "url", "markup", "state", state_map(F.col("state")).alias("records"))
+    markup, url, post = F.col("markup"), F.col("url"), F.col("post")
     read = read.select(
-        "page_id", "url", "markup", "records",
-        post_record(F.col("state"), F.col("records")).alias("post"),
+        "page_id", "url", "markup", post_record(F.col("state"), F.col("records")).alias("post")
     )
-    markup, url, post = F.col("markup"), F.col("url"), F.col("post")
-    parts = [
-        F.when(post.isNotNull(), state_article(post, url, now))
-        .otherwise(M.article_struct(markup, url, now))
-        .alias("article")
-    ]
-    if include_content:
-        contents = F.transform(
-            M.content_containers(markup), lambda c: M.content_struct(c, url)
+    parts = {
+        "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(
+            M.article_struct(markup, url, now)
         )
-        parts.append(M.flatten_content(contents).alias("content"))
+    }
+    if include_content:
+        parts["content"] = F.transform(M.content_containers(markup), lambda c: M.content_struct(c, url))
     if include_comments:
-        parts.append(M.comment_structs(markup, url).alias("comments"))
+        parts["comments"] = M.comment_structs(markup, url)
     if include_publication:
-        parts.append(M.publication_struct(markup, url).alias("publication"))
-    return read.select("page_id", *parts)
+        parts["publication"] = M.publication_struct(markup, url)
+    extracted = read.select("page_id", *[column.alias(name) for name, column in parts.items()])
+    if include_content:
+        extracted = extracted.withColumn("content", M.flatten_content(F.col("content")))
+    return extracted
