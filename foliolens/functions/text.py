@@ -15,14 +15,16 @@ from foliolens.fixed_values import (
     ZERO_WIDTH,
 )
 
-# The whitespace class of fixed_values.WS, arranged so that a Java regex decides on
-# ordinary characters with one range test (about three times faster on long texts).
-_RARE_WS = (
-    r"[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
+# The whitespace of fixed_values.WS: as single characters, and as a class arranged so
+# that a Java regex decides on ordinary characters with one range test.
+WS_CHARACTERS = "".join(
+    chr(code)
+    for code in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+)
+WS = (
+    r"[\t\n\x0B\f\r \xA0[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
 )
-WS = rf"[\t-\r \x{{A0}}{_RARE_WS}]"
-_WS_BUT_SPACE = rf"[\t-\r\x{{A0}}{_RARE_WS}]"
 
 ColumnOrName = Column | str
 
@@ -46,13 +48,22 @@ def exploded(rows: DataFrame, keep: list, items: Column, position: str, item: st
     return placed.filter(F.col(position).isNotNull()).withColumn(position, F.col(position).cast("bigint"))
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once, even if rows are filtered on them later.
+
+    Spark would push such a filter below the projection and repeat the work there.
+    """
+    packed = F.explode_outer(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return rows.select(*rows.columns, packed.alias("_computed")).select(*rows.columns, "_computed.*")
+
+
 def text_or_empty(text: ColumnOrName) -> Column:
     return F.coalesce(as_column(text), F.lit(""))
 
 
 def trim_ws(text: ColumnOrName) -> Column:
     """Strip every browser whitespace character from both ends."""
-    return F.regexp_replace(as_column(text), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(as_column(text), F.lit(WS_CHARACTERS))
 
 
 def collapse_ws(text: ColumnOrName) -> Column:
@@ -60,7 +71,8 @@ def collapse_ws(text: ColumnOrName) -> Column:
 
     Single spaces, by far the most common run, are not matched at all.
     """
-    return F.trim(F.regexp_replace(text_or_empty(text), f" {WS}+|{_WS_BUT_SPACE}{WS}*", " "))
+    runs = f"{WS}(?:(?<=[^ ]){WS}*+|{WS}++)"
+    return F.trim(F.regexp_replace(text_or_empty(text), runs, " "))
 
 
 def clean_text(text: ColumnOrName) -> Column:
@@ -216,44 +228,58 @@ def keyword_words(text: ColumnOrName) -> Column:
     return F.filter(found, lambda word: ~word.isin(*STOP_WORDS))
 
 
-def keyword_table(text: ColumnOrName) -> Column:
-    """``array<struct<word,n,first_rank>>``: one entry per distinct keyword of a text.
+_KEYWORD_TABLE = "array<struct<word:string,n:bigint,first_rank:bigint>>"
 
-    ``first_rank`` numbers the keywords by first appearance.  A text is one row, so
-    its words never have to leave it.  Sorting the words puts equal ones side by side;
-    the run starts give the counts, in the same order as the sorted distinct words.
-    """
-    entry = "array<struct<word:string,n:bigint,first_rank:bigint>>"
 
-    def run_starts(words: Column) -> Column:
-        return F.filter(
-            F.sequence(F.lit(0), F.size(words) - 1),
-            lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
-        )
+def _run_starts(words: Column) -> Column:
+    """Positions in a sorted array at which a new value begins."""
+    return F.filter(
+        F.sequence(F.lit(0), F.size(words) - 1),
+        lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
+    )
 
-    def counted(found: Column) -> Column:
-        ranked = F.sort_array(
-            F.transform(F.array_distinct(found), lambda word, i: F.struct(word.alias("word"), i.alias("rank")))
-        )
-        total = F.size(found)
-        return bind(
-            run_starts_of_sorted(found),
+
+def _run_lengths(words: Column) -> Column:
+    """How often each distinct value occurs, in sorted order."""
+    return bind(
+        F.sort_array(words),
+        lambda in_order: bind(
+            _run_starts(in_order),
             lambda starts: F.transform(
-                ranked,
-                lambda item, j: F.struct(
-                    item["word"].alias("word"),
-                    (F.coalesce(F.get(starts, j + 1), total) - F.get(starts, j)).cast("bigint").alias("n"),
-                    item["rank"].cast("bigint").alias("first_rank"),
-                ),
+                starts, lambda start, j: F.coalesce(F.get(starts, j + 1), F.size(in_order)) - start
             ),
-        )
+        ),
+    )
+
+
+def _counted(found: Column) -> Column:
+    """Entries of the keyword table for a non-empty array of words."""
+    ranked = F.sort_array(
+        F.transform(F.array_distinct(found), lambda word, i: F.struct(word.alias("word"), i.alias("rank")))
+    )
+    return bind(
+        _run_lengths(found),
+        lambda counts: F.transform(
+            ranked,
+            lambda item, j: F.struct(
+                item["word"].alias("word"),
+                F.get(counts, j).cast("bigint").alias("n"),
+                item["rank"].cast("bigint").alias("first_rank"),
+            ),
+        ),
+    )
 
-    def run_starts_of_sorted(found: Column) -> Column:
-        return bind(F.sort_array(found), run_starts)
 
+def keyword_table(text: ColumnOrName) -> Column:
+    """``array<struct<word,n,first_rank>>``: one entry per distinct keyword of a text.
+
+    ``first_rank`` numbers the keywords by first appearance.  A text is one row, so
+    its words never have to leave it.  Sorting the words puts equal ones side by side;
+    the lengths of the runs are the counts, in the order of the sorted distinct words.
+    """
     return bind(
         keyword_words(text),
-        lambda found: F.when(F.size(found) > 0, counted(found)).otherwise(F.array().cast(entry)),
+        lambda found: F.when(F.size(found) > 0, _counted(found)).otherwise(F.array().cast(_KEYWORD_TABLE)),
     )
 
 

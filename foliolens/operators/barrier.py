@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
-from foliolens.functions import html as H
+from foliolens.functions import html as H, text as X
 
 _BODY = (("article", "", "", ""), ("main", "", "", ""), ("*", "data-testid", "=", "articleContent"))
 
@@ -79,9 +79,8 @@ def barrier_classify(pages: DataFrame, *keep: str, compat: bool = False) -> Data
     """``(page_id, url, *keep, has_barrier, barrier_type, indicators, confidence)``."""
     cleaned = pages.select("page_id", "url", *keep, H.without_code("html").alias("markup"))
     cued = cleaned.select("page_id", "url", *keep, barrier_cues(F.col("markup"), compat).alias("cues"))
-    return cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b")).select(
-        "page_id", "url", *keep, "b.*"
-    )
+    told = X.computed(cued, b=barrier_info(F.col("cues")))
+    return told.select("page_id", "url", *keep, "b.*")
 
 
 def barrier_skip(classified: DataFrame, premium_content: bool = False) -> DataFrame:

@@ -406,17 +406,16 @@ def listing(pages: DataFrame) -> DataFrame:
     boxed = cleaned.select("page_id", "url", "markup", H.containers(markup, ARTICLE_TAG).alias("articles"))
     placed = X.exploded(boxed, ["page_id", "url"], chosen, "index", "post")
     anchor, context = F.col("post.anchor"), F.col("post.context")
-    fields = placed.select(
+    named = X.computed(placed, title=title_of(anchor), href=H.attribute(anchor, "href"))
+    return named.filter((F.length("title") > 0) & (F.length("href") > 0)).select(
         "page_id",
         "index",
-        title_of(anchor).alias("title"),
+        "title",
         context_text(context).alias("subtitle"),
-        H.absolute_url(H.attribute(anchor, "href"), url).alias("url"),
+        H.absolute_url("href", url).alias("url"),
         H.first_text(context, V.POST_DATE).alias("date"),
         H.first_text(context, V.POST_READ_TIME).alias("read_time"),
-        (H.attribute(anchor, "href") != "").alias("has_href"),
     )
-    return require_title_url(fields.filter("has_href").drop("has_href"))
 
 
 def require_title_url(rows: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def responses(doc_id: X.ColumnOrName = "doc_id") -> Column:
 
 def articles(documents: DataFrame, labels: DataFrame, **from_text: Column) -> DataFrame:
     """Articles with extra columns computed from ``text`` before the join with labels."""
+    documents = X.computed(documents, **from_text) if from_text else documents
     narrow = documents.select(
         F.col("doc_id").alias("article_id"),
         F.col("source").alias("author"),
@@ -49,7 +50,7 @@ def articles(documents: DataFrame, labels: DataFrame, **from_text: Column) -> Da
         claps().alias("claps"),
         responses().alias("responses"),
         published_at().alias("published_at"),
-        *[column.alias(name) for name, column in from_text.items()],
+        *from_text,
     )
     flags = labels.select(F.col("doc_id").alias("article_id"), (F.col("toxic") == 1).alias("_toxic"))
     joined = narrow.join(flags, "article_id", "left")
