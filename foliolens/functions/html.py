@@ -131,13 +131,14 @@ def _opened_pieces(html: ColumnOrName, tag: str, ends: str) -> Column:
     """Inner markup of elements whose end tag may be missing."""
     pieces = F.split(as_column(html), rf"(?i)<{tag}(?:\s[^>]*)?>", -1)
     return F.transform(
-        F.filter(pieces, lambda _, i: i > 0), lambda piece: F.regexp_extract(piece, rf"(?is)^(.*?)(?:{ends}|$)", 1)
+        F.filter(pieces, lambda _, i: i > 0),
+        lambda piece: F.get(F.split(piece, rf"(?i)(?:{ends})[\s>]", 2), 0),
     )
 
 
 def all_paragraph_texts(html: ColumnOrName) -> Column:
     """Trimmed ``<p>`` texts; an unclosed paragraph ends at the next block."""
-    pieces = _opened_pieces(html, "p", rf"(?:{_ENDS_PARAGRAPH})[\s>]")
+    pieces = _opened_pieces(html, "p", _ENDS_PARAGRAPH)
     return F.transform(pieces, lambda piece: element_text(piece))
 
 
@@ -146,7 +147,7 @@ def paragraph_texts(html: ColumnOrName) -> Column:
 
 
 def item_texts(html: ColumnOrName) -> Column:
-    pieces = _opened_pieces(html, "li", rf"(?:{_ENDS_ITEM})[\s>]")
+    pieces = _opened_pieces(html, "li", _ENDS_ITEM)
     return F.filter(F.transform(pieces, lambda item: element_text(item)), lambda text: text != "")
 
 
