@@ -217,7 +217,8 @@ def article_comments(articles: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def commented_articles(articles: DataFrame, comments: DataFrame) -> DataFrame:
-    return articles.join(comments.select("article_id"), "article_id", "left_semi")
+    """Articles with at least one comment; each article id is sent once per map task."""
+    return articles.join(comments.select("article_id").distinct(), "article_id", "left_semi")
 
 
 def author_totals(articles: DataFrame, kept: Column, per: str = "author") -> DataFrame:

@@ -220,30 +220,29 @@ def state_content(pages: DataFrame) -> DataFrame:
     return grouped.select("page_id", "url", content.cast(schemas.CONTENT).alias("content"))
 
 
-def state_records(pages: DataFrame) -> DataFrame:
-    """``(page_id, key, record)``: the state as rows, for joins on ``(page_id, key)``."""
-    found = pages.select("page_id", state_map(embedded_state(F.col("html"))).alias("records"))
-    entries = X.exploded(found, ["page_id"], F.map_entries("records"), "_", "entry")
-    return entries.select("page_id", "entry.key", F.col("entry.value").alias("record"))
-
-
 def state_deref(pages: DataFrame) -> DataFrame:
     """``(page_id, from_key, position, key, record)``: every edge with the record it points at.
 
-    Edges and records meet on (page, key), so one large state never meets another.
+    Edges never leave their page, so the record is looked up in the page's own map:
+    one scan, one parse, no shuffle.  Edges to records a page lacks are dropped.
     """
-    records = state_records(pages)
-    pattern = r'"__ref"\s*:\s*"((?:[^"\\]|\\.)*+)"'
-    edges = X.exploded(
-        records,
-        ["page_id", F.col("key").alias("from_key")],
-        F.regexp_extract_all("record", F.lit(pattern), F.lit(1)),
-        "position",
-        "key",
-    )
-    return edges.join(records, ["page_id", "key"], "inner").select(
-        "page_id", "from_key", "position", "key", "record"
-    )
+    found = pages.select("page_id", state_map(embedded_state(F.col("html"))).alias("records"))
+    pattern = F.lit(r'"__ref"\s*:\s*"((?:[^"\\]|\\.)*+)"')
+
+    def edges(entry: Column) -> Column:
+        return F.transform(
+            F.regexp_extract_all(entry["value"], pattern, F.lit(1)),
+            lambda key, i: F.struct(
+                entry["key"].alias("from_key"),
+                i.cast("bigint").alias("position"),
+                key.alias("key"),
+                F.try_element_at("records", key).alias("record"),
+            ),
+        )
+
+    every = F.flatten(F.transform(F.map_entries("records"), edges))
+    placed = X.exploded(found, ["page_id"], every, "_", "edge").select("page_id", "edge.*")
+    return placed.filter(F.col("record").isNotNull())
 
 
 def assemble_article(

@@ -378,7 +378,7 @@ def expected_sql() -> dict[str, str]:
             CASE WHEN doc_id % 2 = 0 THEN 'Site~https://s.example.org/' ELSE 'Blog~https://example.com/u' END AS social_links,
             CASE WHEN doc_id % 3 = 0 THEN 'One editor~https://example.com/p1~editor' ELSE 'Two~https://example.com/publications/2~writer' END
             AS publications FROM documents""",
-        "listing_items": f"""WITH {LINES}, {LINE} SELECT doc_id AS page_id, i AS "index", line AS title, lang AS subtitle,
+        "listing": f"""WITH {LINES}, {LINE} SELECT doc_id AS page_id, i AS "index", line AS title, lang AS subtitle,
             'https://example.com/@' || source || '/' || i AS url, 'Jan ' || (i % 28 + 1) AS date, (i + 1) || ' min' AS read_time FROM line""",
         "page_census": f"""WITH {PG} SELECT page_id, {trim_ws(strip('''regexp_extract(h, '(?is)<title>.*?</title>', 0)'''))} AS title, url,
             len(regexp_extract_all(h, '<article>')) AS article_count, len(regexp_extract_all(h, '<a [^>]*href="[^"]*/@')) AS author_link_count,
@@ -525,7 +525,7 @@ def expected_sql() -> dict[str, str]:
         "register_functions": f"""SELECT doc_id, {clean('text')} AS cleaned, {words('text')} AS words, {SLUG} AS slug,
             {TRUNCATED.format(80, 77)} AS short, {listed(MENTIONS)} AS mentions, {SUMMARY_TEXT} AS summary, {escape('text')} AS escaped,
             doc_id AS engagement FROM documents""",
-        "list_items": f"""WITH {PG}, i AS (SELECT page_id, list_transform(regexp_extract_all(h, '(?is)<li>.*?</li>'), lambda x: {LINK_TEXT}) AS items FROM pg)
+        "html_blocks": f"""WITH {PG}, i AS (SELECT page_id, list_transform(regexp_extract_all(h, '(?is)<li>.*?</li>'), lambda x: {LINK_TEXT}) AS items FROM pg)
             SELECT page_id, CAST(generate_subscripts(items, 1) - 1 AS BIGINT) AS position, CAST(1 AS BIGINT) AS depth, 'ul' AS list_type,
             unnest(items) AS item FROM i""",
     }

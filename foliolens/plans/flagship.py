@@ -12,16 +12,11 @@ from foliolens.operators import barrier, relational as R, stats
 from foliolens.sources import adapters as A, tables as T
 
 
-def _articles(spark: SparkSession, folder: str, **from_text) -> DataFrame:
-    return A.articles(
-        T.scan_table(spark, folder, "documents"), T.scan_table(spark, folder, "labels"), **from_text
-    )
-
-
 def filter_sort_limit(spark: SparkSession, folder: str) -> DataFrame:
     """Per author: the ten latest non-premium articles in a date range with wanted tags."""
+    articles = A.articles(T.scan_table(spark, folder, "documents"), T.scan_table(spark, folder, "labels"))
     chosen = R.filter_sort_limit(
-        _articles(spark, folder), tags=["EN", "fr", "src7"], start=datetime(2024, 1, 3),
+        articles, tags=["EN", "fr", "src7"], start=datetime(2024, 1, 3),
         end=datetime(2024, 12, 31), max_posts=10, per=("author",),
     )
     return chosen.select(
@@ -32,7 +27,8 @@ def filter_sort_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 def newest_long_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Newest ten articles per author with more than 200 words, and their reading minutes."""
-    rows = _articles(spark, folder, word_count=X.word_count("text")).filter("word_count > 200")
+    articles = A.articles(T.scan_table(spark, folder, "documents"), word_count=X.word_count("text"))
+    rows = articles.filter("word_count > 200")
     top = R.limit_posts(rows, 10, per=("author",), rank="rank")
     return top.select(
         "author", F.col("rank").cast("bigint").alias("rank"), "article_id", "title", "word_count",

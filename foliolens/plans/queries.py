@@ -29,13 +29,20 @@ SCRAPED_AT = "2024-03-31T00:00:00.000Z"
 RANGE = (datetime(2024, 1, 5), datetime(2024, 2, 20))
 
 
-def query(build: Query) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return build(spark, folder)
+def named(name: str) -> Callable[[Query], Query]:
+    def register_query(build: Query) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return build(spark, folder)
+
+        QUERIES[name] = run
+        return run
+
+    return register_query
 
-    QUERIES[build.__name__] = run
-    return run
+
+def query(build: Query) -> Query:
+    return named(build.__name__)(build)
 
 
 def now() -> Column:
@@ -69,6 +76,11 @@ def articles(spark, folder, **from_text):
     return A.articles(documents(spark, folder), table(spark, folder, "labels"), **from_text)
 
 
+def unflagged(spark, folder, **from_text):
+    """Articles where the premium flag is not needed."""
+    return A.articles(documents(spark, folder), **from_text)
+
+
 def listing(spark, folder):
     return A.listing(documents(spark, folder))
 
@@ -106,9 +118,7 @@ def scan_pages(spark, folder):
 
 @query
 def scan_results(spark, folder):
-    rows = A.articles(documents(spark, folder), table(spark, folder, "labels")).select(
-        "article_id", "author", "claps"
-    )
+    rows = unflagged(spark, folder).select("article_id", "author", "claps")
     path = new_folder(spark, "results")
     posted = rows.filter(F.col("article_id") % 7 != 0)
     authors = rows.filter(F.col("article_id") % 7 == 0)
@@ -147,7 +157,7 @@ def scan_events(spark, folder):
 
 @query
 def paginate(spark, folder):
-    return brief(R.paginate(articles(spark, folder), 40, 20, R.sort_order("latest")))
+    return brief(R.paginate(unflagged(spark, folder), 40, 20, R.sort_order("latest")))
 
 
 # --- exports -----------------------------------------------------------------------
@@ -157,7 +167,7 @@ def paginate(spark, folder):
 def sink_append(spark, folder):
     path = new_folder(spark, "records")
     for kind, rows in (
-        ("article", articles(spark, folder).select("article_id", "title", "claps")),
+        ("article", unflagged(spark, folder).select("article_id", "title", "claps")),
         ("comment", comments_of(spark, folder).select("article_id", "author", "claps")),
     ):
         exports.sink_append(exports.as_results(rows, kind, SCRAPED_AT), path)
@@ -265,7 +275,7 @@ def export_slug(spark, folder):
 @query
 def sink_by_author(spark, folder):
     path = new_folder(spark, "by-author")
-    exports.sink_by_author(articles(spark, folder).select("article_id", "author", "claps"), path)
+    exports.sink_by_author(unflagged(spark, folder).select("article_id", "author", "claps"), path)
     back = spark.read.schema("article_id bigint, author string, claps bigint, author_slug string").json(path)
     return back.select("article_id", "author", "claps", "author_slug")
 
@@ -487,7 +497,7 @@ def author_links(spark, folder):
     )
 
 
-@query
+@named("listing")
 def listing_items(spark, folder):
     return M.listing(author_pages(spark, folder))
 
@@ -692,12 +702,12 @@ def page_type(spark, folder):
 
 @query
 def filter_tags(spark, folder):
-    return brief(R.filter_tags(articles(spark, folder), ["FRA", "SRC1"]))
+    return brief(R.filter_tags(unflagged(spark, folder), ["FRA", "SRC1"]))
 
 
 @query
 def filter_dates(spark, folder):
-    return brief(R.filter_dates(articles(spark, folder), *RANGE))
+    return brief(R.filter_dates(unflagged(spark, folder), *RANGE))
 
 
 @query
@@ -707,12 +717,14 @@ def filter_premium(spark, folder):
 
 @query
 def filter_read_time(spark, folder):
-    return brief(R.filter_read_time(with_words(spark, folder), 2, 6), "read_time")
+    rows = unflagged(spark, folder, word_count=X.word_count("text"))
+    rows = rows.withColumn("read_time", X.minutes_for_words("word_count"))
+    return brief(R.filter_read_time(rows, 2, 6), "read_time")
 
 
 @query
 def require_title_url(spark, folder):
-    rows = articles(spark, folder).withColumn("title", F.when(F.col("article_id") % 5 > 0, F.col("title")).otherwise(""))
+    rows = unflagged(spark, folder).withColumn("title", F.when(F.col("article_id") % 5 > 0, F.col("title")).otherwise(""))
     rows = rows.withColumn("url", F.when(F.col("article_id") % 7 > 0, F.col("url")))
     return M.require_title_url(rows).select("article_id", "title", "url")
 
@@ -785,17 +797,17 @@ def tags_backfill(spark, folder):
 
 @query
 def article_comments(spark, folder):
-    return R.article_comments(articles(spark, folder), comments_of(spark, folder)).select("article_id", "comments_count")
+    return R.article_comments(unflagged(spark, folder), comments_of(spark, folder)).select("article_id", "comments_count")
 
 
 @query
 def commented_articles(spark, folder):
-    return R.commented_articles(articles(spark, folder), comments_of(spark, folder)).select("article_id", "url")
+    return R.commented_articles(unflagged(spark, folder), comments_of(spark, folder)).select("article_id", "url")
 
 
 @query
 def author_articles(spark, folder):
-    rows = R.author_articles(articles(spark, folder), ("article_id", "claps"), 20)
+    rows = R.author_articles(unflagged(spark, folder), ("article_id", "claps"), 20)
     return rows.select("author", "total_articles", fields("articles", "article_id", "claps").alias("articles"))
 
 
@@ -877,27 +889,27 @@ def cumulative_until_limit(spark, folder):
 
 @query
 def sort_latest(spark, folder):
-    return brief(R.sorted_articles(articles(spark, folder), "latest"))
+    return brief(R.sorted_articles(unflagged(spark, folder), "latest"))
 
 
 @query
 def sort_oldest(spark, folder):
-    return brief(R.sorted_articles(articles(spark, folder), "oldest"))
+    return brief(R.sorted_articles(unflagged(spark, folder), "oldest"))
 
 
 @query
 def sort_popular(spark, folder):
-    return brief(R.sorted_articles(articles(spark, folder), "popular"), "claps", "responses")
+    return brief(R.sorted_articles(unflagged(spark, folder), "popular"), "claps", "responses")
 
 
 @query
 def limit_posts(spark, folder):
-    return brief(R.limit_posts(articles(spark, folder), 100, "popular"))
+    return brief(R.limit_posts(unflagged(spark, folder), 100, "popular"))
 
 
 @query
 def limit_posts_per_author(spark, folder):
-    return brief(R.limit_posts(articles(spark, folder), 3, "oldest", per=("author",), rank="rank"), F.col("rank").cast("bigint").alias("rank"))
+    return brief(R.limit_posts(unflagged(spark, folder), 3, "oldest", per=("author",), rank="rank"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
@@ -984,7 +996,7 @@ def register_functions(spark, folder):
     )
 
 
-@query
+@named("html_blocks")
 def list_items(spark, folder):
     rows = html_blocks.html_blocks(T.scan_pages(spark, folder))
     return rows.withColumns({name: F.col(name).cast("bigint") for name in ("position", "depth")})

@@ -16,6 +16,11 @@ SETTINGS = {
     # Pages and documents are wide, CPU-heavy rows: smaller splits keep all cores
     # busy and a split's rows well inside executor memory.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    # Stream state lives on disk, and sessions of one key merge before the shuffle.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -38,8 +38,11 @@ def responses(doc_id: X.ColumnOrName = "doc_id") -> Column:
     return (X.as_column(doc_id) * 104729) % 50
 
 
-def articles(documents: DataFrame, labels: DataFrame, **from_text: Column) -> DataFrame:
-    """Articles with extra columns computed from ``text`` before the join with labels."""
+def articles(documents: DataFrame, labels: DataFrame | None = None, **from_text: Column) -> DataFrame:
+    """Articles with extra columns computed from ``text`` before the join with labels.
+
+    Without ``labels`` there is no premium flag, and no join.
+    """
     documents = X.computed(documents, **from_text) if from_text else documents
     narrow = documents.select(
         F.col("doc_id").alias("article_id"),
@@ -52,6 +55,8 @@ def articles(documents: DataFrame, labels: DataFrame, **from_text: Column) -> Da
         published_at().alias("published_at"),
         *from_text,
     )
+    if labels is None:
+        return narrow
     flags = labels.select(F.col("doc_id").alias("article_id"), (F.col("toxic") == 1).alias("_toxic"))
     joined = narrow.join(flags, "article_id", "left")
     return joined.withColumn("is_premium", F.coalesce("_toxic", F.lit(False))).select(
