@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 Every query runs to completion into Spark's ``noop`` sink: one cold run, then the
-median of the warm runs.  ``value`` is the sum of the warm medians.
+median of ``BENCH_REPEATS`` warm runs (1 by default).  ``value`` sums the warm medians.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def timed(run) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = build_session(
         "foliolens-bench",
         master=f"local[{cpus}]",

@@ -79,10 +79,12 @@ def barrier_classify(pages: DataFrame, *keep: str, compat: bool = False) -> Data
     """``(page_id, url, *keep, has_barrier, barrier_type, indicators, confidence)``."""
     cleaned = pages.select("page_id", "url", *keep, H.without_code("html").alias("markup"))
     cued = cleaned.select("page_id", "url", *keep, barrier_cues(F.col("markup"), compat).alias("cues"))
-    told = X.computed(cued, b=barrier_info(F.col("cues")))
+    told = cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b"))
     return told.select("page_id", "url", *keep, "b.*")
 
 
 def barrier_skip(classified: DataFrame, premium_content: bool = False) -> DataFrame:
     """Drop pages behind a barrier unless premium content is wanted."""
-    return classified if premium_content else classified.filter(~F.col("has_barrier"))
+    if premium_content:
+        return classified
+    return X.computed(classified, _hit=F.col("has_barrier")).filter(~F.col("_hit")).drop("_hit")
