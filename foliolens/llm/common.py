@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,20 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast the frame if, counted, it has at most ``rows`` rows; else leave the join to Spark."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def shingle_digests(text: str | None, width: int, digest: Callable[[bytes], bytes]) -> np.ndarray:
+    """64-bit hashes of the text's shingles, in order, repeats included.
+
+    A-Z are lower-cased; words are runs of characters other than the six ASCII spaces, and
+    a shingle ``width`` of them (fewer: all) joined by spaces.
+    """
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    width = min(width, len(words))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
+    found = b"".join([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends[width - 1:].tolist())])
+    return np.frombuffer(found, ">u8").astype(np.uint64)

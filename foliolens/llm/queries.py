@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, line_dedup, mixing, simhash, toxicity
+from foliolens.functions.text import computed
+from foliolens.llm import chat, decontamination, license_scan, line_dedup, mixing, simhash, sketches, token_counts, toxicity, warc
+from foliolens.session import new_folder
 from foliolens.sources.tables import scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,54 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.with_next(scan_table(spark, folder, "documents"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(scan_table(spark, folder, "documents")).select(
+        row("doc_id"), F.array_join("licenses", ",").alias("licenses"), F.size("matches").cast("bigint").alias("n_parts"),
+        F.array_max(F.transform("matches", lambda m: m["dice"])).alias("best_dice"),
+    )
+
+
+# A conversation whose texts look like the template's own marks.
+MARKED = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = scan_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"),
+    )
+    formatted = chat.format_chat(chat.from_rows(given.unionByName(marked)))
+    read = computed(
+        formatted.select(row("conv_id"), "formatted", "loss"), turns=chat.read_chat(F.col("formatted")),
+        learned=chat.loss_text(F.col("formatted"), F.col("loss")),
+    )
+    told = F.array_join(F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), sha256(told).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"), sha256(F.col("learned")).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.token_counts(scan_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    return counted.select(row("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(scan_table(spark, folder, "documents")).select(
@@ -70,6 +120,14 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write_archive(scan_table(spark, folder, "pages"), path)
+    columns = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    return warc.read_archive(spark, path, columns, verify=True)
+
+
 @query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components(scan_table(spark, folder, "documents")).select(

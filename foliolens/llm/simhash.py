@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliolens.llm.common import stored, whole_rows
+from foliolens.llm.common import shingle_digests, stored, whole_rows
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -49,17 +49,9 @@ _FRONTIER = 2_000_000
 
 def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """The fingerprint as a signed 64-bit number."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    width = min(shingle_words, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1:].tolist())])
+    hashes = shingle_digests(text, shingle_words, lambda shingle: xxhash.xxh64_digest(shingle, SEED))
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     votes = np.zeros(64, np.int64)
-    octets = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     for first in range(0, len(octets), 65536):
         votes += np.unpackbits(octets[first:first + 65536], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > len(octets)).tobytes(), "big", signed=True)
