@@ -6,8 +6,8 @@ letters, digits and ``_``), each with value 1.  The score is
 products of short vectors for pairs of terms, so that a pair such as an insult and the
 mention of a group can count for more than its parts.
 
-It is fitted on a bounded sample of the labelled rows, at most ``SAMPLE_ROWS`` of each class
-in hash order; scoring covers whole texts of all rows.  Labels, ids, language and source
+It is fitted on a bounded sample of the labelled rows, about ``SAMPLE_ROWS`` of each class,
+chosen by hash; scoring covers whole texts of all rows.  Labels, ids, language and source
 are never inputs of a score.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias alone;
@@ -27,16 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-
 from foliolens.llm.common import whole_rows
 
 BUCKETS = 1 << 18
 FACTORS = 4
 THRESHOLD = 0.3
-# Labelled rows of each class to learn from, at most.
+# Labelled rows of each class to learn from: the sample's bound.
 SAMPLE_ROWS = 6000
-_SHARDS = 64
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
@@ -147,26 +144,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, factors: int =
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(text, toxic)``: at most ``rows`` labelled rows of each class, by hash of the id.
+    """``(text, toxic)`` of about ``rows`` labelled documents of each class, all if there are fewer.
 
-    The order is cut in two steps, so that no task sorts a whole class.
+    A row is taken when the hash of its id is below the share of its class that is wanted,
+    so nothing is sorted and the sample does not hang on the order of rows.
     """
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    spread = known.select("doc_id", "toxic", order.alias("_order"), F.pmod("doc_id", F.lit(_SHARDS)).alias("_shard"))
-    near = Window.partitionBy("toxic", "_shard").orderBy("_order", "doc_id")
-    first = spread.withColumn("_rank", F.row_number().over(near)).filter(F.col("_rank") <= rows).drop("_rank")
-    final = first.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("toxic").orderBy("_order", "doc_id"))
-    ).filter(F.col("_rank") <= rows).select(F.col("doc_id").alias("_doc_id"), "toxic")
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
+    share = F.lit(0.0)
+    for toxic, count in counts.items():
+        share = F.when(F.col("toxic") == toxic, rows / count).otherwise(share)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    # About 2 * rows ids at most, whatever the size of the tables.
+    chosen = F.broadcast(known.filter(unit < share).select(F.col("doc_id").alias("_doc_id"), "toxic"))
     # One text per id, so that repeated rows do not lengthen the sample.
-    return documents.select("doc_id", "text").join(final, F.col("doc_id") == F.col("_doc_id")).groupBy("_doc_id").agg(
+    return documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_doc_id")).groupBy("_doc_id").agg(
         F.min("text").alias("text"), F.max("toxic").alias("toxic")
     ).select("text", "toxic")
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fitted on the driver, from the hashed terms of at most ``2 * rows`` texts."""
+    """Fitted on the driver, from the hashed terms of about ``2 * rows`` texts at most."""
     usable = labels.filter("toxic in (0, 1)")
     share = usable.agg(F.avg("toxic")).first()[0] or 0.0
     sample = training_sample(documents, usable, rows).select(hashed_terms(F.col("text")).alias("terms"), "toxic")
