@@ -1,14 +1,19 @@
-"""Reading HTML text with native regular expressions.
+"""Reading HTML text with native expressions.
 
-Markup is one string per row.  An *element* is the substring from its start tag
-to its end tag, so its text is simply the element without tags.  Elements nested
-in the same tag end at the first end tag; :mod:`foliolens.functions.html_blocks`
-covers true nesting.
+Markup is one string per row.  An *element* is the substring from its start tag to its
+own end tag, also when elements of the same tag stand inside it, so its text is simply
+the element without tags.  Elements are found in one pass: the markup is cut once at the
+tags of the names asked for, depths are counted per name, and each start is matched with
+the end at its depth.  The work grows with the markup, not with its square.
+
+An element without an end tag ends at the next tag of its name.
 """
 
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +28,18 @@ _ENDS_PARAGRAPH = (
     "<(?:p|div|article|section|main|ul|ol|h[1-6]|blockquote|pre|table|nav|footer|header|hr|form)"
 )
 _ENDS_ITEM = "</(?:li|ul|ol)|<li"
+# Tags between two looks at the whole result while depths are counted.
+_CHUNK = 128
 
 
 def without_code(html: ColumnOrName) -> Column:
-    """Markup without comments, scripts and styles, whose text is not content."""
+    """Markup without comments, scripts and styles, whose text is not content.
+
+    One that is never closed takes the rest of the page, as in browsers.
+    """
     return F.regexp_replace(
         text_or_empty(html),
-        r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>",
+        r"(?is)<!--(?:.*?-->|.*)|<script\b[^<>]*>(?:.*?</script\s*>|.*)|<style\b[^<>]*>(?:.*?</style\s*>|.*)",
         "",
     )
 
@@ -38,26 +48,52 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-_ENTITY_PAIRS = "array({})".format(
-    ", ".join(f"struct({_sql_text(old)} AS old, {_sql_text(new)} AS new)" for old, new in HTML_ENTITIES)
+def _named_references() -> dict[str, str]:
+    """The named references of HTML 4, with the readings that fixed values give."""
+    named = {name: chr(code) for name, code in name2codepoint.items()}
+    return named | {old[1:-1]: new for old, new in HTML_ENTITIES if not old.startswith("&#")}
+
+
+_REFERENCES = "map({})".format(
+    ", ".join(f"{_sql_text(name)}, {_sql_text(value)}" for name, value in sorted(_named_references().items()))
 )
+_REFERENCE = "^(?:#[xX]([0-9a-fA-F]{1,8});?|#([0-9]{1,9});?|([a-zA-Z][a-zA-Z0-9]*);)"
 
 
-def decode_entities(text: ColumnOrName) -> Column:
-    def decoded(value: Column) -> Column:
-        return F.aggregate(
-            F.expr(_ENTITY_PAIRS), value, lambda rest, pair: F.replace(rest, pair["old"], pair["new"])
-        )
+# The code of a reference; that of a space for 160, which is read like its name.
+_CODE = f"""
+CASE WHEN regexp_extract(piece, {_sql_text(_REFERENCE)}, 1) <> ''
+    THEN bigint(conv(regexp_extract(piece, {_sql_text(_REFERENCE)}, 1), 16, 10))
+  WHEN regexp_extract(piece, {_sql_text(_REFERENCE)}, 2) <> '' THEN bigint(regexp_extract(piece, {_sql_text(_REFERENCE)}, 2))
+END
+"""
+_CHARACTER = """
+CASE WHEN code = 160 THEN ' ' WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN '\\uFFFD'
+  ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END
+"""
+_DECODED = f"""
+value -> CASE WHEN contains(value, '&') THEN array_join(transform(split(value, '&', -1), (piece, i) -> CASE
+  WHEN i = 0 THEN piece
+  WHEN startswith(piece, '#') THEN coalesce(
+    transform(array({_CODE}), code -> CASE WHEN code IS NOT NULL THEN {_CHARACTER} END)[0]
+      || regexp_replace(piece, {_sql_text(_REFERENCE)}, ''),
+    '&' || piece)
+  ELSE coalesce(
+    try_element_at({_REFERENCES}, regexp_extract(piece, {_sql_text(_REFERENCE)}, 3))
+      || regexp_replace(piece, {_sql_text(_REFERENCE)}, ''),
+    '&' || piece)
+END), '') ELSE value END
+"""
 
-    return bind(
-        as_column(text),
-        lambda value: F.when(F.contains(value, F.lit("&")), decoded(value)).otherwise(value),
-    )
+
+def decode_entities(text: ColumnOrName) -> Column:
+    """Character references, named, decimal and hexadecimal; others stay as they are."""
+    return F.call_function("transform", F.array(as_column(text)), F.expr(_DECODED))[0]
 
 
 def raw_text(markup: ColumnOrName, separator: str = "") -> Column:
     """Text of a piece of markup; ``separator`` stands in for each tag."""
-    return decode_entities(F.regexp_replace(text_or_empty(markup), "<[^>]*>", separator))
+    return decode_entities(F.regexp_replace(text_or_empty(markup), "<[^<>]*>", separator))
 
 
 def element_text(markup: ColumnOrName, separator: str = "") -> Column:
@@ -66,53 +102,143 @@ def element_text(markup: ColumnOrName, separator: str = "") -> Column:
 
 def attribute(element: ColumnOrName, name: str) -> Column:
     """Value of an attribute of the element's own start tag; '' if absent."""
-    pattern = rf"""(?i)^<[^>]*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    pattern = rf"""(?i)^<[^<>]*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
     return bind(
-        F.regexp_extract(as_column(element), "^<[^>]*>", 0),
-        lambda tag: decode_entities(
-            F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-        ),
+        F.regexp_extract(as_column(element), "^<[^<>]*>", 0),
+        lambda tag: decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])),
     )
 
 
 def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
+    """Pattern for a start tag after its ``<``; values may stand in either quotes or in none."""
     tag, name, test, value = spec
     opening = _TAG_NAME if tag == "*" else re.escape(tag)
     if not name:
         return rf"{opening}(?=[\s>/])"
     quoted = f"(?-i:{re.escape(value)})"  # values, unlike names, keep their case
     body = {
-        "=": rf'"{quoted}"',
-        "*=": rf'"[^"]*{quoted}',
-        "~=": rf'"(?:[^"]*\s)?{quoted}(?:\s[^"]*)?"',
+        "=": rf"""(?:"{quoted}"|'{quoted}'|{quoted}(?=[\s>]))""",
+        "*=": rf"""(?:"[^"<>]*{quoted}|'[^'<>]*{quoted}|[^\s"'<>]*{quoted})""",
+        "~=": rf"""(?:"(?:[^"<>]*\s)?{quoted}(?:\s[^"<>]*)?"|'(?:[^'<>]*\s)?{quoted}(?:\s[^'<>]*)?'|{quoted}(?=[\s>]))""",
     }[test]
-    return rf"{opening}\s(?:[^>]*\s)?{name}={body}"
+    return rf"{opening}\s(?:[^<>]*\s)?{name}\s*=\s*{body}"
+
+
+def _any_test(specs) -> str:
+    return "|".join(_start_tag_test(spec) for spec in specs)
+
+
+def _split_specs(specs) -> tuple[list, list]:
+    """Specs of single elements, and pairs (outer, inner) of elements inside others."""
+    return [spec for spec in specs if len(spec) == 4], [spec for spec in specs if len(spec) == 2]
+
+
+# The pass is written as SQL text: a lambda is parsed at once, where building it from
+# Columns takes a call for every node.
+# Depth of each event (name, at, step), sorted by name and place, among its name's
+# elements: a start counts itself, an end the element it closes.  Running depths are kept
+# chunk by chunk, so that long results are copied rarely.
+_LEVELS = f"""
+aggregate(
+  transform(sequence(0, int(floor((size(ev) - 1) / {_CHUNK}))), c -> slice(ev, c * {_CHUNK} + 1, {_CHUNK})),
+  named_struct('name', '', 'depth', 0, 'levels', array_repeat(0, 0)),
+  (whole, chunk) -> transform(array(aggregate(
+    chunk,
+    named_struct('name', whole.name, 'depth', whole.depth, 'levels', array_repeat(0, 0)),
+    (own, e) -> transform(array(if(own.name = e.name, own.depth, 0)), before -> named_struct(
+      'name', e.name, 'depth', greatest(before + e.step, 0),
+      'levels', concat(own.levels, array(if(e.step > 0, before + 1, before)))
+    ))[0]
+  )), own -> named_struct('name', own.name, 'depth', own.depth, 'levels', concat(whole.levels, own.levels)))[0]
+).levels
+"""
 
+# Spans (at, until, closed, level) of all starts, in page order.  Sorted by name, depth and
+# place, a start is followed by its own end.
+_SPANS = f"""
+transform(
+  array(array_sort(zip_with(ev, {_LEVELS}, (e, level) -> named_struct(
+    'name', e.name, 'level', level, 'at', e.at, 'step', e.step
+  )))),
+  placed -> array_sort(filter(
+    transform(placed, (e, i) -> transform(
+      array(coalesce(
+        e.step > 0 AND get(placed, i + 1).name = e.name AND get(placed, i + 1).level = e.level
+        AND get(placed, i + 1).step < 0, false
+      )),
+      closed -> named_struct(
+        'at', e.at, 'until', if(closed, get(placed, i + 1).at, e.at + 1), 'closed', closed,
+        'level', if(e.step = 0, 0, e.level), 'starts', e.step >= 0
+      )
+    )[0]),
+    one -> one.starts
+  ))
+)[0]
+"""
 
-def element_pattern(specs: tuple[tuple[str, str, str, str], ...]) -> str:
-    """Pattern for whole elements whose start tag meets any of the specs."""
-    void = "|".join(_start_tag_test(spec) for spec in specs if spec[0] in _VOID)
-    paired = "|".join(_start_tag_test(spec) for spec in specs if spec[0] not in _VOID)
-    kinds = []
-    if void:
-        kinds.append(f"<(?={void})[^>]*>")
-    if paired:
-        kinds.append(rf"<(?={paired})({_TAG_NAME})\b[^>]*>.*?</\1\s*>")
-    return "(?is)" + "|".join(kinds)
 
+def elements(html: ColumnOrName, specs, outermost: bool = False) -> Column:
+    """Every element that meets one of the specs, in page order, each from its start to its own end.
 
-def elements(html: ColumnOrName, specs) -> Column:
-    return F.regexp_extract_all(as_column(html), F.lit(element_pattern(specs)), F.lit(0))
+    A spec is ``(tag, attribute, test, value)``, or a pair of these for an inner element
+    inside an outer one.  With ``outermost`` only elements that no element of the same
+    tag name encloses, among the tags looked at.
+    """
+    single, nested = _split_specs(specs)
+    outer, inner = [pair[0] for pair in nested], [pair[1] for pair in nested]
+    looked_at, wanted = _any_test([*single, *outer, *inner]), _any_test([*single, *inner])
+    void = ", ".join(_sql_text(name) for name in _VOID)
+
+    def starts(place: str, tests: str) -> str:
+        return f"get(pieces, {place}.at) RLIKE {_sql_text(f'(?is)^<(?:{tests})')}"
+
+    meets = [starts("s", _any_test(single))] if single else []
+    for around, within in nested:
+        meets.append(
+            f"({starts('s', _start_tag_test(within))} AND exists(spans, "
+            f"box -> box.at < s.at AND s.at < box.until AND {starts('box', _start_tag_test(around))}))"
+        )
+    test = f"({' OR '.join(meets)})" + (" AND s.level = 1" if outermost else "")
+    # The leading space makes the first piece one without a tag.
+    names = _sql_text(rf"(?is)<(?={looked_at})({_TAG_NAME})")
+    cut = (
+        f"split(concat(' ', markup), concat('(?i)(?=</?(?:', array_join(array_distinct(transform("
+        f"regexp_extract_all(markup, {names}, 1), n -> lower(n))), '|'), {_sql_text(')[' + chr(92) + 's/>])')}), -1)"
+    )
+    name_of = _sql_text(f"^</?({_TAG_NAME})")
+    events = f"""
+      array_sort(filter(transform(pieces, (piece, i) -> named_struct(
+        'name', lower(regexp_extract(piece, {name_of}, 1)), 'at', i,
+        'step', CASE WHEN startswith(piece, '</') THEN -1
+          WHEN lower(regexp_extract(piece, {name_of}, 1)) IN ({void}) THEN 0 ELSE 1 END
+      )), e -> e.at > 0))
+    """
+    closing, start = _sql_text("^</[^<>]*>?"), _sql_text("^<[^<>]*>?")
+    markup_of = f"""
+      CASE WHEN s.level = 0 THEN regexp_extract(get(pieces, s.at), {start}, 0)
+      WHEN s.closed THEN concat(
+        array_join(slice(pieces, s.at + 1, s.until - s.at), ''), regexp_extract(get(pieces, s.until), {closing}, 0)
+      ) ELSE get(pieces, s.at) END
+    """
+    found = f"""
+      transform(array({cut}), pieces -> transform(array({events}), ev -> transform(array({_SPANS}), spans ->
+        transform(filter(spans, s -> {test}), s -> {markup_of})
+      )[0])[0])[0]
+    """
+    body = F.expr(
+        f"markup -> CASE WHEN markup RLIKE {_sql_text(f'(?is)<(?:{wanted})')} THEN {found} "
+        "ELSE transform(array_repeat(0, 0), none -> '') END"
+    )
+    return F.call_function("transform", F.array(text_or_empty(html)), body)[0]
 
 
 def first_element(html: ColumnOrName, specs) -> Column:
     """The first matching element's markup; '' if there is none."""
-    return F.regexp_extract(as_column(html), element_pattern(specs), 0)
+    return F.coalesce(F.get(elements(html, specs), 0), F.lit(""))
 
 
 def has_element(html: ColumnOrName, specs) -> Column:
-    tests = "|".join(_start_tag_test(spec) for spec in specs)
-    return as_column(html).rlike(rf"(?is)<(?:{tests})")
+    return as_column(html).rlike(rf"(?is)<(?:{_any_test(specs)})")
 
 
 def first_text(html: ColumnOrName, specs) -> Column:
@@ -127,19 +253,14 @@ def start_tag_count(html: ColumnOrName, tag: str) -> Column:
     return F.regexp_count(as_column(html), F.lit(rf"(?i)<{tag}(?:[\s>/])"))
 
 
-def _opened_pieces(html: ColumnOrName, tag: str, ends: str) -> Column:
-    """Inner markup of elements whose end tag may be missing."""
-    pieces = F.split(as_column(html), rf"(?i)<{tag}(?:\s[^>]*)?>", -1)
-    return F.transform(
-        F.filter(pieces, lambda _, i: i > 0),
-        lambda piece: F.get(F.split(piece, rf"(?i)(?:{ends})[\s>]", 2), 0),
-    )
-
-
 def all_paragraph_texts(html: ColumnOrName) -> Column:
     """Trimmed ``<p>`` texts; an unclosed paragraph ends at the next block."""
-    pieces = _opened_pieces(html, "p", _ENDS_PARAGRAPH)
-    return F.transform(pieces, lambda piece: element_text(piece))
+    pieces = F.split(as_column(html), r"(?i)<p(?:\s[^<>]*)?>", -1)
+    inner = F.transform(
+        F.filter(pieces, lambda _, i: i > 0),
+        lambda piece: F.get(F.split(piece, rf"(?i)(?:{_ENDS_PARAGRAPH})[\s>]", 2), 0),
+    )
+    return F.transform(inner, lambda piece: element_text(piece))
 
 
 def paragraph_texts(html: ColumnOrName) -> Column:
@@ -147,8 +268,16 @@ def paragraph_texts(html: ColumnOrName) -> Column:
 
 
 def item_texts(html: ColumnOrName) -> Column:
-    pieces = _opened_pieces(html, "li", _ENDS_ITEM)
-    return F.filter(F.transform(pieces, lambda item: element_text(item)), lambda text: text != "")
+    """Texts of all list items inside, nested ones also inside the text of their item.
+
+    An unclosed item ends where the next item or the list's end stands.
+    """
+    def text(item: Column) -> Column:
+        inner = F.regexp_replace(item, "^<[^<>]*>", "")
+        cut = F.get(F.split(inner, rf"(?i)(?:{_ENDS_ITEM})[\s>]", 2), 0)
+        return element_text(F.when(item.rlike(r"(?i)</li\s*>$"), item).otherwise(cut))
+
+    return F.filter(F.transform(tag_elements(html, "li"), text), lambda item: item != "")
 
 
 def absolute_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
@@ -174,58 +303,18 @@ def absolute_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
 
 
 def containers(html: ColumnOrName, specs) -> Column:
-    """Whole elements of the given specs, same-tag nesting respected.
-
-    The markup is cut at every matching start tag; within a piece, start and end
-    tags of that element are counted until they balance.
-    """
-    tests = "|".join(_start_tag_test(spec) for spec in specs)
-    pieces = F.split(as_column(html), rf"(?i)(?=<(?:{tests}))", -1)
-    started = F.filter(pieces, lambda piece: piece.rlike(rf"(?i)^<(?:{tests})"))
-    return F.transform(started, _balanced)
-
-
-def _balanced(piece: Column) -> Column:
-    tag = F.regexp_extract(piece, f"^<({_TAG_NAME})", 1)
-    steps = F.split(piece, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>])")), F.lit(-1))
-
-    def keep(state: Column, step: Column) -> Column:
-        depth = state["depth"] + F.when(F.startswith(step, F.lit("</")), -1).otherwise(1)
-        grown = F.struct(depth.alias("depth"), (state["kept"] + 1).alias("kept"))
-        return F.when((state["kept"] > 0) & (state["depth"] <= 0), state).otherwise(grown)
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"))
-    return bind(
-        steps,
-        lambda s: bind(
-            F.aggregate(s, start, keep),
-            lambda state: F.when(
-                state["depth"] <= 0,
-                # The last kept piece is the end tag and whatever follows it.
-                F.concat(
-                    F.array_join(F.slice(s, 1, state["kept"] - 1), ""),
-                    F.regexp_extract(F.get(s, state["kept"] - 1), "^</[^>]*>?", 0),
-                ),
-            ).otherwise(piece),
-        ),
-    )
+    """Whole elements of the given specs."""
+    return elements(html, specs)
 
 
-def element_with_text(html: ColumnOrName, tag: str, text: str) -> Column:
-    """True when some ``tag`` element holds ``text`` (case-sensitive, unbroken by tags).
+def element_with_text(html: ColumnOrName, tag: str, texts: tuple[str, ...], plain: ColumnOrName) -> Column:
+    """True when some ``tag`` element, read through the tags in it, holds one of ``texts`` (case-sensitive).
 
-    Open and closed tags are counted up to each occurrence of the text.
+    ``plain`` is the text of all of the markup: without one of the texts, no element has it.
     """
-    html = as_column(html)
-
-    def step(state: Column, piece: Column) -> Column:
-        opened = F.regexp_count(piece, F.lit(rf"(?i)<{tag}[\s>]"))
-        closed = F.regexp_count(piece, F.lit(rf"(?i)</{tag}\s*>"))
-        depth = F.greatest(state["depth"] + opened - closed, F.lit(0))
-        inside_tag = piece.rlike(r"<[^>]*$")
-        return F.struct(depth.alias("depth"), (state["hit"] | ((depth > 0) & ~inside_tag)).alias("hit"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("hit"))
-    before = F.split(html, re.escape(text).replace(r"\ ", " "), -1)
-    hit = F.aggregate(F.slice(before, 1, F.size(before) - 1), start, step)["hit"]
-    return F.when(F.contains(html, F.lit(text)), hit).otherwise(False)
+    # An inner element's text is part of the outer one's, so only outermost ones are read.
+    boxes = elements(html, ((tag, "", "", ""),), outermost=True)
+    pattern = "|".join(re.escape(text).replace(r"\ ", " ") for text in texts)
+    return F.when(
+        as_column(plain).rlike(pattern), F.exists(boxes, lambda box: raw_text(box).rlike(pattern))
+    ).otherwise(False)

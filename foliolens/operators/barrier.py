@@ -17,30 +17,33 @@ from foliolens.functions import html as H, text as X
 _BODY = (("article", "", "", ""), ("main", "", "", ""), ("*", "data-testid", "=", "articleContent"))
 
 
-def _any_text(markup: Column, pairs) -> Column:
-    return reduce(or_, [H.element_with_text(markup, tag, text) for tag, text in pairs])
+def _any_text(markup: Column, plain: Column, pairs) -> Column:
+    by_tag: dict[str, list[str]] = {}
+    for tag, text in pairs:
+        by_tag.setdefault(tag, []).append(text)
+    return reduce(or_, [H.element_with_text(markup, tag, tuple(texts), plain) for tag, texts in by_tag.items()])
 
 
-def barrier_cues(markup: Column, compat: bool = False) -> Column:
-    """One field per cue, in cleaned markup: the cue's name if it is there, else null.
+def barrier_cues(markup: Column, plain: Column, compat: bool = False) -> Column:
+    """One field per cue, in cleaned markup and its text: the cue's name if it is there, else null.
 
     With ``compat`` a text cue in a span counts but has no type, and the other
     text cues are not evaluated.
     """
-    span_text = _any_text(markup, [("span", text) for text in V.PREMIUM_SPAN_TEXTS])
+    span_text = _any_text(markup, plain, [("span", text) for text in V.PREMIUM_SPAN_TEXTS])
     premium_mark = H.has_element(markup, V.BARRIER_MARKS)
     member = H.has_element(markup, V.MEMBER_MARKS)
     subscription = H.has_element(markup, V.SUBSCRIPTION_MARKS)
-    body = F.element_at(F.concat(H.containers(markup, _BODY), F.array(F.lit(""))), 1)
+    body = H.first_element(markup, _BODY)
     truncated = F.length(H.raw_text(body)) < V.TRUNCATION_THRESHOLD
     if compat:
         premium = F.when(span_text, F.lit("unknown")).when(premium_mark, F.lit("premium"))
         login = F.lit(False)
     else:
         premium = F.when(span_text | premium_mark, F.lit("premium"))
-        member = member | _any_text(markup, V.MEMBER_TEXTS)
-        subscription = subscription | _any_text(markup, V.SUBSCRIPTION_TEXTS)
-        login = _any_text(markup, V.LOGIN_TEXTS)
+        member = member | _any_text(markup, plain, V.MEMBER_TEXTS)
+        subscription = subscription | _any_text(markup, plain, V.SUBSCRIPTION_TEXTS)
+        login = _any_text(markup, plain, V.LOGIN_TEXTS)
     return F.struct(
         premium.alias("premium"),
         F.when(member, F.lit("member_only")).alias("member_only"),
@@ -78,7 +81,8 @@ def barrier_info(cues: Column) -> Column:
 def barrier_classify(pages: DataFrame, *keep: str, compat: bool = False) -> DataFrame:
     """``(page_id, url, *keep, has_barrier, barrier_type, indicators, confidence)``."""
     cleaned = pages.select("page_id", "url", *keep, H.without_code("html").alias("markup"))
-    cued = cleaned.select("page_id", "url", *keep, barrier_cues(F.col("markup"), compat).alias("cues"))
+    read = X.computed(cleaned, _plain=H.raw_text("markup"))
+    cued = read.select("page_id", "url", *keep, barrier_cues(F.col("markup"), F.col("_plain"), compat).alias("cues"))
     told = cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b"))
     return told.select("page_id", "url", *keep, "b.*")
 

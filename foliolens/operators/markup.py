@@ -55,15 +55,7 @@ def quotes(html: Column) -> Column:
 
 def code_blocks(html: Column) -> Column:
     """``pre`` and ``code`` elements in page order; code inside pre is listed too."""
-    outer = H.elements(html, (("pre", "", "", ""), ("code", "", "", "")))
-    every = F.flatten(
-        F.transform(
-            outer,
-            lambda block: F.when(
-                block.rlike("(?i)^<pre"), F.concat(F.array(block), H.tag_elements(block, "code"))
-            ).otherwise(F.array(block)),
-        )
-    )
+    every = H.elements(html, (("pre", "", "", ""), ("code", "", "", "")))
 
     def described(block: Column) -> Column:
         language = F.regexp_extract(H.attribute(block, "class"), "language-([0-9A-Za-z_]+)", 1)

@@ -186,38 +186,39 @@ def state_blocks(pages: DataFrame) -> DataFrame:
     return usable.select("page_id", "url", _blocks(F.col("records"), F.col("post")).alias("blocks"))
 
 
-def state_content(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, content)``: blocks grouped by kind.
+def content_of_blocks(blocks: Column) -> Column:
+    """Blocks grouped by kind.
 
     The text is the headings, paragraphs, quotes and unknown blocks; code, lists
     and images carry none.
     """
-    blocks = F.col("blocks")
-
     def of(kind: str, build) -> Column:
         return F.transform(F.filter(blocks, lambda b: b["type"] == kind), build)
 
     texts = F.filter(F.transform(blocks, lambda b: b["text"]), lambda text: text != "")
-    text = X.clean_text(F.array_join(texts, " "))
-    grouped = state_blocks(pages).select(
-        "page_id", "url", text.alias("text"),
-        of("heading", lambda b: F.struct(b["level"].alias("level"), b["text"].alias("text"))).alias("headings"),
-        of("paragraph", lambda b: b["text"]).alias("paragraphs"),
-        of("list", lambda b: F.struct(b["list_type"].alias("type"), b["items"].alias("items"))).alias("lists"),
-        of("quote", lambda b: F.struct(b["text"].alias("text"), F.lit("").alias("author"))).alias("quotes"),
-        of("code", lambda b: F.struct(b["language"].alias("language"), b["code"].alias("code"))).alias("code_blocks"),
-        of(
-            "image",
-            lambda b: F.struct(b["src"].alias("src"), b["alt"].alias("alt"), F.lit("").alias("caption")),
-        ).alias("images"),
-    )
-    content = F.struct(
-        F.col("text").alias("text_content"), "headings", "paragraphs", "lists", "quotes", "code_blocks",
-        "images",
-        F.array().cast("array<struct<text:string,url:string,title:string>>").alias("links"),
-        X.word_count("text").alias("word_count"),
-    )
-    return grouped.select("page_id", "url", content.cast(schemas.CONTENT).alias("content"))
+
+    def content(text: Column) -> Column:
+        return F.struct(
+            text.alias("text_content"),
+            of("heading", lambda b: F.struct(b["level"].alias("level"), b["text"].alias("text"))).alias("headings"),
+            of("paragraph", lambda b: b["text"]).alias("paragraphs"),
+            of("list", lambda b: F.struct(b["list_type"].alias("type"), b["items"].alias("items"))).alias("lists"),
+            of("quote", lambda b: F.struct(b["text"].alias("text"), F.lit("").alias("author"))).alias("quotes"),
+            of("code", lambda b: F.struct(b["language"].alias("language"), b["code"].alias("code"))).alias("code_blocks"),
+            of(
+                "image",
+                lambda b: F.struct(b["src"].alias("src"), b["alt"].alias("alt"), F.lit("").alias("caption")),
+            ).alias("images"),
+            F.array().cast("array<struct<text:string,url:string,title:string>>").alias("links"),
+            X.word_count(text).alias("word_count"),
+        ).cast(schemas.CONTENT)
+
+    return X.bind(X.clean_text(F.array_join(texts, " ")), content)
+
+
+def state_content(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, content)`` of the pages whose state names an article."""
+    return state_blocks(pages).select("page_id", "url", content_of_blocks(F.col("blocks")).alias("content"))
 
 
 def state_deref(pages: DataFrame) -> DataFrame:
@@ -263,20 +264,29 @@ def assemble_article(
     ).select("page_id", "url", "markup", "state", state_map(F.col("state")).alias("records"))
     markup, url, post = F.col("markup"), F.col("url"), F.col("post")
     read = read.select(
-        "page_id", "url", "markup", post_record(F.col("state"), F.col("records")).alias("post")
+        "page_id", "url", "markup", "records", post_record(F.col("state"), F.col("records")).alias("post")
     )
     parts = {
         "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(
             M.article_struct(markup, url, now)
         )
     }
-    if include_content:
-        parts["content"] = F.transform(M.content_containers(markup), lambda c: M.content_struct(c, url))
     if include_comments:
         parts["comments"] = M.comment_structs(markup, url)
     if include_publication:
         parts["publication"] = M.publication_struct(markup, url)
-    extracted = read.select("page_id", *[column.alias(name) for name, column in parts.items()])
-    if include_content:
-        extracted = extracted.withColumn("content", M.flatten_content(F.col("content")))
-    return extracted
+    if not include_content:
+        return read.select("page_id", *[column.alias(name) for name, column in parts.items()])
+    # State first, as for the article's fields: its pages have their text nowhere else.
+    # Step by step, as expressions nested this deep would be slow to analyse.
+    found = read.select(
+        "page_id", "url", *[column.alias(name) for name, column in parts.items()],
+        F.when(post.isNotNull(), _blocks(F.col("records"), post)).alias("blocks"),
+        F.when(post.isNull(), M.content_containers(markup)).alias("boxes"),
+    )
+    read_parts = found.select(
+        "page_id", *parts, F.when(F.col("blocks").isNotNull(), content_of_blocks(F.col("blocks"))).alias("stated"),
+        F.transform("boxes", lambda box: M.content_struct(box, url)).alias("contents"),
+    )
+    merged = F.when(F.col("contents").isNotNull(), M.flatten_content(F.col("contents")).cast(schemas.CONTENT))
+    return read_parts.select("page_id", *parts, F.coalesce("stated", merged).alias("content"))

@@ -73,7 +73,7 @@ RESPONSES = "(doc_id * 104729) % 50"
 URL = "'https://example.com/@' || source || '/p/' || doc_id"
 
 ARTICLES = f"""articles AS (
-  SELECT doc_id AS article_id, source AS author, {URL} AS url, substring(text, 1, 60) AS title,
+  SELECT doc_id AS article_id, source AS author, {URL} AS url, split_part(text, chr(10), 1) AS title,
          [lang, source] AS tags, {CLAPS} AS claps, {RESPONSES} AS responses,
          coalesce(l.toxic, 0) = 1 AS is_premium, {PUBLISHED} AS published_at, text, lang
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
@@ -141,7 +141,7 @@ _NO_STATE = "doc_id % 10 IN (3, 7)"
 def _article_fields(kind: str) -> str:
     """Article columns as the embedded state, or the markup, of a derived page gives them."""
     if kind == "state":
-        return f"""doc_id AS page_id, {clean("' ' || substring(text, 1, 60)")} AS title, 'In ' || lang AS subtitle,
+        return f"""doc_id AS page_id, {clean("' ' || split_part(text, chr(10), 1)")} AS title, 'In ' || lang AS subtitle,
   'N ' || source AS author, 'https://medium.com/@' || source AS author_url, {iso(PUBLISHED)} AS published_at,
   (doc_id % 30) / CAST(2 AS DOUBLE) AS read_time, {CLAPS} AS claps, {RESPONSES} AS responses,
   lang || '|' || source AS tags, CASE WHEN doc_id % 4 = 0 THEN 'C ' || source ELSE '' END AS publication_name,
@@ -155,7 +155,7 @@ def _article_fields(kind: str) -> str:
     if kind == "blocks":
         image = """coalesce((SELECT 'https://example.com/i/' || min(i) || '.png' FROM line b
       WHERE b.doc_id = lines.doc_id AND i % 6 = 5 AND contains(line, 'post')), '')"""
-    return f"""doc_id AS page_id, {clean('substring(text, 1, 60)')} AS title, 'In ' || lang AS subtitle,
+    return f"""doc_id AS page_id, {clean('split_part(text, chr(10), 1)')} AS title, 'In ' || lang AS subtitle,
   source AS author, 'https://example.com/@' || source AS author_url,
   {iso(f"date_trunc('day', {PUBLISHED})")} AS published_at, CAST(doc_id % 30 AS DOUBLE) AS read_time,
   {CLAPS} * 10 AS claps, {RESPONSES} AS responses, lang || '|' || source AS tags,
@@ -354,7 +354,7 @@ def expected_sql() -> dict[str, str]:
         "images": _per_kind(5, "'/i/' || i || '.png~' || line || '~' || b.source"),
         "links": _per_kind(5, "line || '~https://example.com/l/' || i || '~' || b.lang"),
         "page_links": f"WITH {PG} SELECT page_id, {listed(PAGE_LINKS.format(shown=f'''{LINK_TEXT} || '~' || {LINK_URL} || '~' '''))} AS found FROM pg",
-        "markup_content": f"""WITH {PG} SELECT page_id, CAST(1 AS BIGINT) AS n_containers,
+        "markup_content": f"""WITH {PG} SELECT page_id, CAST(0 AS BIGINT) AS container, CAST(1 AS BIGINT) AS n_containers,
             '1~' || {trim_ws(strip('''regexp_extract(a, '(?is)<h1>.*?</h1>', 0)'''))} AS headings,
             len(list_filter({PAGE_PARAGRAPHS}, lambda x: x <> '')) AS n_paragraphs, len(regexp_extract_all(a, '<a [^>]*href')) AS n_links,
             {words(strip('a', ' '))} AS word_count FROM art""",
@@ -371,7 +371,7 @@ def expected_sql() -> dict[str, str]:
             CASE WHEN doc_id % 4 = 0 THEN 'https://example.com/pub' END AS url,
             CASE WHEN doc_id % 4 = 0 THEN 'https://example.com/logo.png' END AS logo, CASE WHEN doc_id % 4 = 0 THEN '' END AS description,
             CASE WHEN doc_id % 4 = 0 THEN doc_id * 37 END AS followers FROM documents""",
-        "author_profile": f"""SELECT doc_id AS page_id, source || ' X' AS name, {clean('substring(text, 1, 80)')} AS bio, doc_id * 37 AS followers,
+        "author_profile": f"""SELECT doc_id AS page_id, source || ' X' AS name, {clean('split_part(text, chr(10), 1)')} AS bio, doc_id * 37 AS followers,
             doc_id % 500 AS following, 'https://example.com/me.png' AS avatar, '@' || source AS username, 'https://example.com/@' || source AS url
             FROM documents""",
         "author_links": """SELECT doc_id AS page_id,
@@ -388,9 +388,18 @@ def expected_sql() -> dict[str, str]:
             {listed(PAGE_LINKS.format(shown=f'{LINK_URL} || chr(126) || substring({LINK_TEXT}, 1, 50)') + '[1:10]')} AS first_links FROM pg""",
         "body_text_cascade": f"""WITH {PG}, j AS (SELECT page_id, {listed(f'list_filter({PAGE_PARAGRAPHS}, lambda x: length(x) > 10)', 'SEP')} AS t FROM art)
             SELECT page_id, CASE WHEN length(t) > 50 THEN t END AS body_text FROM j""".replace("'SEP'", "chr(10) || chr(10)"),
-        "assemble_article": f"""WITH {LINES}, {LINE}, {BLOCK_TEXT} SELECT doc_id AS page_id, {clean('substring(text, 1, 60)')} AS title, {CLAPS} * 10 AS claps,
-            {words('t')} AS word_count, n_p AS n_paragraphs, CAST(0 AS BIGINT) AS n_comments,
-            CASE WHEN doc_id % 4 = 0 THEN 'Pub ' || btext.source END AS publication FROM btext JOIN documents USING (doc_id)""",
+        "assemble_article": f"""WITH {LINES}, {LINE}, {BLOCK_TEXT}, stated AS (
+              SELECT l.doc_id, {clean("string_agg(line, ' ' ORDER BY i) FILTER (i % 6 < 3)")} AS t, count(*) FILTER (i % 6 = 0) AS n_p
+              FROM lines l LEFT JOIN line b USING (doc_id) GROUP BY 1),
+            pages_of AS (
+              SELECT doc_id * 2 AS page_id, doc_id, {CLAPS} * 10 AS claps, {words('t')} AS word_count, n_p FROM btext
+              UNION ALL SELECT doc_id * 2 + 1, doc_id, {CLAPS}, {words('t')}, n_p FROM stated WHERE NOT {_NO_STATE}
+              UNION ALL SELECT doc_id * 2 + 1, doc_id, {CLAPS} * 10, {words("split_part(text, chr(10), 1)")} + 14
+                + CASE WHEN doc_id % 97 <> 0 THEN 1 ELSE -1 END + CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 0 END
+                + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 8 = 0 THEN 4 ELSE 0 END, 0
+              FROM documents WHERE {_NO_STATE})
+            SELECT page_id, {clean("split_part(text, chr(10), 1)")} AS title, claps, word_count, n_p AS n_paragraphs, CAST(0 AS BIGINT) AS n_comments,
+            CASE WHEN doc_id % 4 = 0 THEN 'Pub ' || source END AS publication FROM pages_of JOIN documents USING (doc_id)""",
         # scalar functions
         "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
         "word_count": f"SELECT doc_id, {words('text')} AS words FROM documents",
@@ -454,10 +463,10 @@ def expected_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, 'Post:' || doc_id, i, 'Paragraph:' || i, ['P', 'H3', 'BQ', 'PRE', 'UL', 'IMG'][i % 6 + 1] FROM ok
             UNION ALL SELECT doc_id, 'Paragraph:' || i, 0, 'Image:1', NULL FROM ok WHERE i % 6 = 5""",
         "listing_to_article": f"""WITH {ARTICLES}, {LISTING}, {FIRSTS} SELECT f.url, batch, "index", a.article_id, claps, is_premium
-            FROM firsts f LEFT JOIN (SELECT * FROM articles WHERE article_id % 13 <> 0) a ON a.url = f.url""",
-        "not_reached": f"""WITH {LISTING}, {FIRSTS} SELECT url, "index" FROM firsts WHERE "index" % 13 = 0""",
+            FROM firsts f LEFT JOIN (SELECT * FROM articles WHERE article_id IN (SELECT doc_id FROM labels)) a ON a.url = f.url""",
+        "not_reached": f"""WITH {LISTING}, {FIRSTS} SELECT url, "index" FROM firsts WHERE "index" NOT IN (SELECT doc_id FROM labels)""",
         "tags_backfill": f"""WITH {ARTICLES} SELECT url, {listed('tags')} AS tags, claps, responses, is_premium FROM articles
-            WHERE article_id % 13 <> 0 AND len(list_filter(tags, lambda t: contains('de', lower(t)) OR contains(lower(t), 'de'))) > 0""",
+            WHERE article_id IN (SELECT doc_id FROM labels) AND len(list_filter(tags, lambda t: contains('de', lower(t)) OR contains(lower(t), 'de'))) > 0""",
         "article_comments": f"WITH {COMMENT_COUNTS} SELECT doc_id AS article_id, coalesce(cc.n, 0) AS comments_count FROM documents LEFT JOIN cc ON conv_id = doc_id",
         "commented_articles": f"SELECT doc_id AS article_id, {URL} AS url FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)",
         "author_articles": f"""WITH {ARTICLES}, r AS (SELECT *, row_number() OVER (PARTITION BY author {LATEST}) AS k FROM articles)

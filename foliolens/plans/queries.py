@@ -96,8 +96,9 @@ def with_words(spark, folder, **extra):
 
 
 def reached(spark, folder):
-    """Articles that were actually visited; some listed ones never are."""
-    return articles(spark, folder).filter(F.col("article_id") % 13 != 0)
+    """Articles that were actually visited: those with a label."""
+    visited = table(spark, folder, "labels").select(F.col("doc_id").alias("article_id"))
+    return articles(spark, folder).join(visited, "article_id", "left_semi")
 
 
 def brief(rows: DataFrame, *more) -> DataFrame:
@@ -293,10 +294,14 @@ def block_pages(spark, folder):
 
 
 def content_part(spark, folder, build, pages=None):
-    """One kind of block from the first content container of every page."""
+    """One kind of block from all content containers of every page, in page order."""
     pages = block_pages(spark, folder) if pages is None else pages
     found = pages.select("page_id", "url", M.content_containers(H.without_code("html")).alias("boxes"))
-    return found.select("page_id", "url", F.get("boxes", 0).alias("box")).select("page_id", build.alias("found"))
+    return found.select("page_id", F.flatten(F.transform("boxes", build)).alias("found"))
+
+
+def shown_part(spark, folder, build, show, pages=None):
+    return content_part(spark, folder, build, pages).select("page_id", show(F.col("found")).alias("found"))
 
 
 def state_pages(spark, folder):
@@ -372,17 +377,19 @@ def state_content(spark, folder):
 
 @query
 def headings(spark, folder):
-    return content_part(spark, folder, fields(M.headings(F.col("box")), "level", "text"))
+    return shown_part(spark, folder, M.headings, lambda found: fields(found, "level", "text"))
 
 
 @query
 def page_headings(spark, folder):
-    return content_part(spark, folder, fields(M.headings(F.col("box")), "level", "text"), T.scan_pages(spark, folder))
+    return shown_part(
+        spark, folder, M.headings, lambda found: fields(found, "level", "text"), T.scan_pages(spark, folder)
+    )
 
 
 @query
 def paragraphs(spark, folder):
-    found = content_part(spark, folder, H.paragraph_texts("box"), T.scan_pages(spark, folder))
+    found = content_part(spark, folder, H.paragraph_texts, T.scan_pages(spark, folder))
     return X.exploded(found, ["page_id"], F.col("found"), "position", "paragraph")
 
 
@@ -394,7 +401,7 @@ def flat_lists(items: Column) -> Column:
 
 @query
 def lists(spark, folder):
-    return content_part(spark, folder, flat_lists(M.lists(F.col("box"))))
+    return shown_part(spark, folder, M.lists, flat_lists)
 
 
 @query
@@ -405,22 +412,24 @@ def page_lists(spark, folder):
 
 @query
 def quotes(spark, folder):
-    return content_part(spark, folder, fields(M.quotes(F.col("box")), "text", "author"))
+    return shown_part(spark, folder, M.quotes, lambda found: fields(found, "text", "author"))
 
 
 @query
 def code_blocks(spark, folder):
-    return content_part(spark, folder, fields(M.code_blocks(F.col("box")), "language", "code"))
+    return shown_part(spark, folder, M.code_blocks, lambda found: fields(found, "language", "code"))
 
 
 @query
 def images(spark, folder):
-    return content_part(spark, folder, fields(M.images(F.col("box")), "src", "alt", "caption"))
+    return shown_part(spark, folder, M.images, lambda found: fields(found, "src", "alt", "caption"))
 
 
 @query
 def links(spark, folder):
-    return content_part(spark, folder, fields(M.links(F.col("box"), F.col("url")), "text", "url", "title"))
+    return shown_part(
+        spark, folder, lambda box: M.links(box, F.col("url")), lambda found: fields(found, "text", "url", "title")
+    )
 
 
 @query
@@ -433,9 +442,11 @@ def page_links(spark, folder):
 
 @query
 def markup_content(spark, folder):
-    c = F.get("contents", 0)
-    return M.markup_content(T.scan_pages(spark, folder)).select(
-        "page_id", F.size("contents").cast("bigint").alias("n_containers"),
+    contents = M.markup_content(T.scan_pages(spark, folder))
+    placed = X.exploded(contents, ["page_id", "contents"], F.col("contents"), "container", "c")
+    c = F.col("c")
+    return placed.select(
+        "page_id", "container", F.size("contents").cast("bigint").alias("n_containers"),
         fields(c["headings"], "level", "text").alias("headings"),
         F.size(c["paragraphs"]).cast("bigint").alias("n_paragraphs"),
         F.size(c["links"]).cast("bigint").alias("n_links"), c["word_count"].alias("word_count"),
@@ -514,7 +525,10 @@ def body_text_cascade(spark, folder):
 
 @query
 def assemble_article(spark, folder):
-    rows = S.assemble_article(block_pages(spark, folder), now(), include_comments=True)
+    pages = block_pages(spark, folder).withColumn("page_id", F.col("page_id") * 2).unionByName(
+        state_pages(spark, folder).withColumn("page_id", F.col("page_id") * 2 + 1)
+    )
+    rows = S.assemble_article(pages, now(), include_comments=True)
     return rows.select(
         "page_id", "article.title", "article.claps", F.col("content.word_count").alias("word_count"),
         F.size("content.paragraphs").cast("bigint").alias("n_paragraphs"),

@@ -38,6 +38,10 @@ def responses(doc_id: X.ColumnOrName = "doc_id") -> Column:
     return (X.as_column(doc_id) * 104729) % 50
 
 
+def first_line(text: X.ColumnOrName) -> Column:
+    return F.substring_index(X.as_column(text), "\n", 1)
+
+
 def articles(documents: DataFrame, labels: DataFrame | None = None, **from_text: Column) -> DataFrame:
     """Articles with extra columns computed from ``text`` before the join with labels.
 
@@ -48,7 +52,7 @@ def articles(documents: DataFrame, labels: DataFrame | None = None, **from_text:
         F.col("doc_id").alias("article_id"),
         F.col("source").alias("author"),
         article_url("source", "doc_id").alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        first_line("text").alias("title"),
         F.array("lang", "source").alias("tags"),
         claps().alias("claps"),
         responses().alias("responses"),
@@ -73,7 +77,7 @@ def listing(documents: DataFrame) -> DataFrame:
         doc_id.alias("index"),
         F.col("source").alias("author"),
         article_url("source", "doc_id").alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        first_line("text").alias("title"),
         published_at().alias("published_at"),
         F.array().cast("array<string>").alias("tags"),
         F.lit(0).cast("bigint").alias("claps"),
@@ -138,7 +142,7 @@ def _tag(name: str, attributes: str, *inner) -> Column:
 
 
 def _article_head(key: Column) -> Column:
-    title = X.html_escape(F.substring("text", 1, 60))
+    title = X.html_escape(first_line("text"))
     source = X.html_escape("source")
     return F.concat(
         _tag("h1", "", title),
@@ -188,29 +192,48 @@ def _block(line: Column, i: Column) -> Column:
 
 
 def block_pages(documents: DataFrame) -> DataFrame:
-    """Every document as an article page; its lines take turns as six kinds of block."""
-    body = _tag("div", 'data-testid="articleContent"', _joined(lines("text"), _block))
+    """Every document as an article page; its lines take turns as six kinds of block.
+
+    The blocks stand in two containers of a main element, the first one with a div
+    inside, the second one with its attribute in single quotes.
+    """
+    text_lines = lines("text")
+    blocks = F.transform(text_lines, _block)
+    half = F.floor(F.size(blocks) / 2).cast("int")
+    first = F.array_join(F.slice(blocks, F.lit(1), half), "")
+    rest = F.array_join(F.slice(blocks, half + 1, F.size(blocks)), "")
+    body = F.concat(
+        _tag("div", 'data-testid="articleContent"', _tag("div", "class=inner", first)),
+        _tag("div", "data-testid='articleBody'", rest),
+    )
     return documents.select(
         F.col("doc_id").alias("page_id"),
         article_url("source", "doc_id").alias("url"),
         F.concat(
-            F.lit("<html><head><style>p{}</style></head><body><article>"),
-            _article_head(F.col("doc_id")), body, F.lit("</article></body></html>"),
+            F.lit("<html><head><style>p{}</style></head><body><main><article>"),
+            _article_head(F.col("doc_id")), body, F.lit("</article></main></body></html>"),
         ).alias("html"),
     )
 
 
 def barrier_pages(documents: DataFrame) -> DataFrame:
-    """Every document as a plain page with one of seven barrier marks, or none."""
+    """Every document as a page with one of seven barrier marks, or none.
+
+    Marks have attributes in either quotes or none and texts broken by tags; the text
+    stands in an article inside another one, inside main.
+    """
     marks = (
-        "", "<span>Member-only story</span>", '<span data-testid="memberOnlyBadge">x</span>',
-        '<div data-testid="subscriptionPrompt"></div>', "<a>Sign in</a>",
+        "", "<span>Member-<b>only</b> story</span>", "<span data-testid=memberOnlyBadge>x</span>",
+        "<div data-testid='subscriptionPrompt'></div>", "<a>Sign in</a>",
         "<div><div>a</div>Create an account</div>", "<div data-testid='x'>This story is for Medium members only</div>",
     )
     return documents.select(
         F.col("doc_id").alias("page_id"),
         article_url("source", "doc_id").alias("url"),
-        F.concat(_nth(F.col("doc_id"), *marks), _tag("article", "", X.html_escape("text"))).alias("html"),
+        F.concat(
+            _nth(F.col("doc_id"), *marks), F.lit("<main>"),
+            _tag("article", "", _tag("article", "", ""), F.coalesce(X.html_escape("text"), F.lit(""))), F.lit("</main>"),
+        ).alias("html"),
     )
 
 
@@ -224,7 +247,7 @@ def comment_pages(conversations: DataFrame) -> DataFrame:
         )
         return _tag(
             "div", 'data-testid="comment"', author,
-            _tag("div", 'data-testid="commentContent"', _tag("div", "", X.html_escape(line))),
+            _tag("div", 'data-testid="commentContent"', _tag("div", "", X.html_escape(line)), _tag("div", "", "")),
             _tag("span", 'data-testid="commentDate"', (i + 1).cast("string"), " days ago"),
             _tag("span", 'data-testid="commentClaps"', F.format_number((key + i) * 13, 0)),
         )
@@ -255,7 +278,7 @@ def author_pages(documents: DataFrame) -> DataFrame:
 
     head = F.concat(
         _tag("h1", 'data-testid="authorName"', " ", source, "  X "),
-        _tag("p", 'data-testid="authorBio"', X.html_escape(F.substring("text", 1, 80))),
+        _tag("p", 'data-testid="authorBio"', X.html_escape(first_line("text"))),
         _tag("button", 'data-testid="followersCount"', F.format_number(key * 37, 0), " Followers"),
         _tag("a", 'data-testid="followingLink" href="/f"', (key % 500).cast("string"), " Following"),
         F.lit('<img data-testid="authorImage" src="/me.png">'),
@@ -291,7 +314,7 @@ def state_pages(documents: DataFrame) -> DataFrame:
     quoted = lambda name: F.concat(F.lit('"'), name, F.lit('":'))
     ref = lambda i: F.concat(F.lit("Paragraph:"), i.cast("string"))
     post = F.struct(
-        F.concat(F.lit(" "), F.substring("text", 1, 60)).alias("title"),
+        F.concat(F.lit(" "), first_line("text")).alias("title"),
         F.concat(F.lit("In "), F.col("lang")).alias("subtitle"),
         F.struct(F.concat(F.lit("N "), F.col("source")).alias("name"), F.col("source").alias("username")).alias("creator"),
         F.unix_millis(published_at(key)).alias("firstPublishedAt"),

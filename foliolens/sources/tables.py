@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens import schemas
+from foliolens.functions import text as X
 
 
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,13 +14,11 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, folder: str, host: str | None = None) -> DataFrame:
-    """Stored pages.  A host filter is a prefix test on ``url`` that reaches the scan."""
+    """Stored pages, of one host if asked for: the URL's host decides, whatever its case, port or path."""
     pages = spark.read.schema(schemas.PAGES).parquet(f"{folder}/pages.parquet")
     if host is None:
         return pages
-    return pages.filter(
-        F.startswith("url", F.lit(f"https://{host}/")) | F.startswith("url", F.lit(f"http://{host}/"))
-    )
+    return pages.filter(X.domain(F.col("url")) == host.lower().removeprefix("www."))
 
 
 def scan_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,10 +20,15 @@ def exchanges(plan: str) -> list[str]:
     return re.findall(r"\(\d+\) Exchange\n(?:.*\n)*?\n", plan)
 
 
-def test_host_filter_reaches_the_scan(spark, sf_dir):
-    plan = plan_of(T.scan_pages(spark, sf_dir, "example.com").select("page_id"))
-    assert "StringStartsWith(url,https://example.com/)" in plan
-    assert "html" not in re.search(r"ReadSchema: (.*)", plan).group(1)
+def test_host_filter_decides_on_the_whole_host(spark, tmp_path):
+    urls = [
+        "https://example.com", "https://example.com?x=1", "HTTPS://Example.com/a", "https://example.com:443/", "http://www.example.com/b",
+        "https://example.com.org/", "https://other.org/example.com", "nothing",
+    ]
+    rows = [(i, url, "") for i, url in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    kept = T.scan_pages(spark, str(tmp_path), "example.com").select("page_id").collect()
+    assert sorted(row["page_id"] for row in kept) == [0, 1, 2, 3, 4]
 
 
 def test_html_is_not_shuffled(spark, sf_dir):

@@ -4,8 +4,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from foliolens.plans.expected_sql import expected_sql
+from foliolens.plans.queries import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = expected_sql()
 
 
 @pytest.fixture(scope="module")
