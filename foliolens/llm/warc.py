@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith,
     WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,8 +202,8 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         known = {("record_type",), ("page_id",), ("url",)}
         for one in filters:
-            if isinstance(one, (EqualTo, In, StringStartsWith)) and one.attribute in known:
-                self.tests.append((type(one).__name__, one.attribute[0], one.value))
+            if isinstance(one, (EqualTo, In, StringStartsWith, IsNotNull)) and one.attribute in known:
+                self.tests.append((type(one).__name__, one.attribute[0], getattr(one, "value", None)))
             else:
                 yield one
 
@@ -212,7 +212,7 @@ class WarcReader(DataSourceReader):
             own = row[name]
             if own is None:
                 return False
-            if not (own == value if kind == "EqualTo" else own in value if kind == "In" else own.startswith(value)):
+            if kind != "IsNotNull" and not (own == value if kind == "EqualTo" else own in value if kind == "In" else own.startswith(value)):
                 return False
         return True
 
