@@ -5,6 +5,7 @@ Barriers are only recognised; pages behind one are skipped, never opened.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -78,9 +79,17 @@ def barrier_info(cues: Column) -> Column:
     )
 
 
-def barrier_classify(pages: DataFrame, *keep: str, compat: bool = False) -> DataFrame:
-    """``(page_id, url, *keep, has_barrier, barrier_type, indicators, confidence)``."""
+def barrier_classify(
+    pages: DataFrame, *keep: str, compat: bool = False, **from_markup: Callable[[Column], Column]
+) -> DataFrame:
+    """``(page_id, url, *keep, *from_markup, has_barrier, barrier_type, indicators, confidence)``.
+
+    ``from_markup`` are columns worked out from the cleaned markup while it is at hand.
+    """
     cleaned = pages.select("page_id", "url", *keep, H.without_code("html").alias("markup"))
+    if from_markup:
+        built = {name: build(F.col("markup")) for name, build in from_markup.items()}
+        cleaned, keep = X.computed(cleaned, **built), (*keep, *from_markup)
     read = X.computed(cleaned, _plain=H.raw_text("markup"))
     cued = read.select("page_id", "url", *keep, barrier_cues(F.col("markup"), F.col("_plain"), compat).alias("cues"))
     told = cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b"))

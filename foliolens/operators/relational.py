@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from foliolens import fixed_values as V
 from foliolens.functions import text as X
 
-MAX_POSTS = V.MAX_MAX_POSTS
+# Parts of a key whose first rows are found on their own, before those of the key.
+SPREAD = 64
+# Entries of one list; longer ones are given in numbered parts.
+PART_SIZE = 1000
 
 
 def checked_limit(max_posts: int) -> int:
-    if not V.MIN_MAX_POSTS <= max_posts <= V.MAX_MAX_POSTS:
+    if max_posts < V.MIN_MAX_POSTS:
         raise ValueError(V.REQUEST_MESSAGES["max_posts"])
     return max_posts
 
@@ -96,16 +99,51 @@ def limit_posts(
     tie: str = "article_id",
     rank: str | None = None,
 ) -> DataFrame:
-    """The first ``max_posts`` articles, overall or per key."""
+    """The first ``max_posts`` articles, overall or per key.
+
+    Per key in two steps, of parts of the key and then of what they leave, so that a key
+    with a third of all rows is spread over tasks and its last one gets few rows.
+    """
     order, limit = sort_order(sort_by, tie), checked_limit(max_posts)
     if not per:
         return articles.orderBy(*order).limit(limit)
     name = rank or "_rank"
-    ranked = articles.withColumn(name, F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
+    parts = articles.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(SPREAD)))
+    near = parts.withColumn("_near", F.row_number().over(Window.partitionBy(*per, "_part").orderBy(*order)))
+    first = near.filter(F.col("_near") <= limit).drop("_near", "_part")
+    ranked = first.withColumn(name, F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= limit)
     return kept if rank else kept.drop(name)
 
 
+def numbered_posts(articles: DataFrame, per: str, sort_by: str = "latest", tie: str = "article_id") -> DataFrame:
+    """Adds ``_rank``, each article's place (from 1) among all of its key.
+
+    A key is cut where its order is: into days, numbers of reactions, or ranges of ids for
+    undated articles.  Only counts of these are accumulated per key, and rows are ordered
+    inside them, so that no task orders a whole key.
+    """
+    order = sort_order(sort_by, tie)
+    if sort_by == "popular":
+        cut = X.engagement("claps", "responses")
+        before = [F.col("_cut").desc()]
+    else:
+        cut = F.date_trunc("day", "published_at")
+        before = [F.col("_cut").asc_nulls_last() if sort_by == "oldest" else F.col("_cut").desc_nulls_last()]
+    block = F.when(cut.isNull(), F.floor(F.col(tie) / 65536)).otherwise(0)
+    keyed = articles.withColumns({"_cut": cut, "_block": block})
+    earlier = Window.partitionBy(per).orderBy(*before, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy(per, "_cut", "_block").agg(F.count("*").alias("_count")).select(
+        F.col(per).alias("_key"), F.col("_cut").alias("_day"), F.col("_block").alias("_ids"),
+        F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
+    )
+    inside = keyed.withColumn("_inside", F.row_number().over(Window.partitionBy(per, "_cut", "_block").orderBy(*order)))
+    same = (
+        F.col(per).eqNullSafe(F.col("_key")) & F.col("_cut").eqNullSafe(F.col("_day")) & (F.col("_block") == F.col("_ids"))
+    )
+    return inside.join(offsets, same).select(*articles.columns, (F.col("_before") + F.col("_inside")).alias("_rank"))
+
+
 def filter_sort_limit(
     articles: DataFrame,
     tags: list[str] | None = None,
@@ -229,19 +267,16 @@ def author_totals(articles: DataFrame, kept: Column, per: str = "author") -> Dat
 
 
 def author_articles(
-    articles: DataFrame, fields: tuple[str, ...], max_posts: int, sort_by: str = "latest"
+    articles: DataFrame, fields: tuple[str, ...], part_size: int = PART_SIZE, sort_by: str = "latest"
 ) -> DataFrame:
-    """One row per author: its first ``max_posts`` articles, in order, and the total.
-
-    ``max_posts`` is at most 1000, so the list is bounded for any author.
-    """
-    top = limit_posts(articles, max_posts, sort_by, per=("author",), rank="_rank")
-    listed = top.groupBy("author").agg(
+    """All articles of every author in order, ``part_size`` to a row: ``(author, part, articles, total_articles)``."""
+    ranked = numbered_posts(articles, "author", sort_by)
+    listed = ranked.groupBy("author", F.floor((F.col("_rank") - 1) / part_size).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("_rank", *fields))).alias("_listed")
     )
     bundled = listed.select(
-        "author",
+        "author", "part",
         F.transform("_listed", lambda item: F.struct(*[item[f].alias(f) for f in fields])).alias("articles"),
     )
-    totals = articles.groupBy("author").agg(F.count("*").alias("total_articles"))
-    return bundled.join(totals, "author")
+    totals = articles.groupBy(F.col("author").alias("_author")).agg(F.count("*").alias("total_articles"))
+    return bundled.join(totals, F.col("author").eqNullSafe(F.col("_author"))).drop("_author")

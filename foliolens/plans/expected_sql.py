@@ -470,11 +470,14 @@ def expected_sql() -> dict[str, str]:
         "article_comments": f"WITH {COMMENT_COUNTS} SELECT doc_id AS article_id, coalesce(cc.n, 0) AS comments_count FROM documents LEFT JOIN cc ON conv_id = doc_id",
         "commented_articles": f"SELECT doc_id AS article_id, {URL} AS url FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)",
         "author_articles": f"""WITH {ARTICLES}, r AS (SELECT *, row_number() OVER (PARTITION BY author {LATEST}) AS k FROM articles)
-            SELECT author, count(*) AS total_articles, string_agg(article_id || '~' || claps, '|' ORDER BY k) FILTER (k <= 20) AS articles FROM r GROUP BY 1""",
+            SELECT author, CAST((k - 1) // 20 AS BIGINT) AS part, any_value(total) AS total_articles,
+              string_agg(article_id || '~' || claps, '|' ORDER BY k) AS articles
+            FROM (SELECT *, count(*) OVER (PARTITION BY author) AS total FROM r) GROUP BY 1, 2""",
         # statistics
-        "run_stats": f"""WITH {PG}, c AS (SELECT {HOST} AS host, page_id, {page_short} AS hit FROM art),
-            t AS (SELECT host, count(*) AS total_articles, count(*) FILTER (NOT hit) AS successful_extractions, count(*) FILTER (hit) AS paywall_hits,
-              CAST(0 AS BIGINT) AS errors, (max(page_id) - min(page_id)) * 1000 AS session_duration FROM c GROUP BY 1)
+        "run_stats": f"""WITH {PG}, c AS (SELECT {HOST} AS host, page_id, {page_short} AS hit,
+              {trim_ws(strip("regexp_extract(a, '(?is)<h1>.*?</h1>', 0)"))} = '' OR {trim_ws(strip('a'))} = '' AS failed FROM art),
+            t AS (SELECT host, count(*) AS total_articles, count(*) FILTER (NOT hit AND NOT failed) AS successful_extractions,
+              count(*) FILTER (hit) AS paywall_hits, count(*) FILTER (NOT hit AND failed) AS errors, (max(page_id) - min(page_id)) * 1000 AS session_duration FROM c GROUP BY 1)
             SELECT *, {percent('paywall_hits', 'total_articles')} AS paywall_rate, {percent('successful_extractions', 'total_articles')} AS success_rate FROM t""",
         "barrier_stats": f"""WITH {_barriers(False)}, t AS (SELECT count(*) AS total_articles,
             count(*) FILTER (list_contains(active, 'premium')) AS premium_articles,

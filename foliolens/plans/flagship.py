@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.functions import dates, text as X
-from foliolens.operators import barrier, relational as R, stats
+from foliolens import fixed_values as V
+from foliolens.functions import dates, html as H, text as X
+from foliolens.operators import barrier, markup as M, relational as R, stats
 from foliolens.sources import adapters as A, tables as T
 
 
@@ -40,11 +41,16 @@ def page_run_stats(pages: DataFrame) -> DataFrame:
     """Stored pages, classified by barrier, as run statistics per host.
 
     ``html`` is read once and dropped inside the scan stage; only a few flags per
-    page are partially aggregated and shuffled.
+    page are partially aggregated and shuffled.  A page that is read but gives no title or
+    no text is an error.
     """
-    classified = barrier.barrier_classify(pages)
+    def nothing_read(markup: Column) -> Column:
+        text = F.array_join(M.content_containers(markup), "")
+        return (H.first_text(markup, V.TITLE) == "") | (H.element_text(text) == "")
+
+    classified = barrier.barrier_classify(pages, nothing_read=nothing_read)
     outcomes = classified.select(
-        X.domain("url").alias("host"), "has_barrier", F.lit(False).alias("is_error"),
+        X.domain("url").alias("host"), "has_barrier", (~F.col("has_barrier") & F.col("nothing_read")).alias("is_error"),
         F.timestamp_seconds(F.lit(A.EPOCH) + F.col("page_id")).alias("scraped_at"),
     )
     return stats.run_stats(outcomes, ("host",))

@@ -822,7 +822,7 @@ def commented_articles(spark, folder):
 @query
 def author_articles(spark, folder):
     rows = R.author_articles(unflagged(spark, folder), ("article_id", "claps"), 20)
-    return rows.select("author", "total_articles", fields("articles", "article_id", "claps").alias("articles"))
+    return rows.select("author", "part", "total_articles", fields("articles", "article_id", "claps").alias("articles"))
 
 
 # --- statistics -----------------------------------------------------------------------

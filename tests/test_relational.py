@@ -54,15 +54,24 @@ def test_limits(articles):
     assert ids(R.limit_posts(articles, 2, "popular")) == [2, 1]
     assert sorted(ids(R.limit_posts(articles, 1, per=("author",)))) == [3, 5]
     assert ids(R.paginate(articles, 1, 2, R.sort_order("latest"))) == [1, 5]
-    for wrong in (0, 1001):
+    for wrong in (0, -1):
         with pytest.raises(ValueError):
             R.limit_posts(articles, wrong)
 
 
 def test_bundle(articles):
-    rows = {r["author"]: r for r in R.author_articles(articles, ("article_id",), 2).collect()}
-    assert [a["article_id"] for a in rows["a"]["articles"]] == [3, 1]
-    assert rows["a"]["total_articles"] == 3
+    rows = {(r["author"], r["part"]): r for r in R.author_articles(articles, ("article_id",), 2).collect()}
+    assert [a["article_id"] for a in rows["a", 0]["articles"]] == [3, 1]
+    assert len(rows["a", 1]["articles"]) == 1 and rows["a", 0]["total_articles"] == rows["a", 1]["total_articles"] == 3
+
+
+@pytest.mark.parametrize("sort_by", ["latest", "oldest", "popular"])
+def test_numbers_follow_the_order(articles, sort_by):
+    ranked = R.numbered_posts(articles, "author", sort_by).collect()
+    for author in {row["author"] for row in ranked}:
+        wanted = ids(R.sorted_articles(articles.filter(F.col("author") == author), sort_by))
+        own = sorted((row["_rank"], row["article_id"]) for row in ranked if row["author"] == author)
+        assert own == list(enumerate(wanted, 1))
 
 
 @pytest.fixture(scope="module")
