@@ -280,6 +280,73 @@ def item_texts(html: ColumnOrName) -> Column:
     return F.filter(F.transform(tag_elements(html, "li"), text), lambda item: item != "")
 
 
+# List items with their depth.  Of each list tag: its level, and the level whose open item
+# the text after the tag belongs to.  In order of level and place, an item's own text
+# stands together, with that of lists inside it left out.
+_LIST_ITEMS = f"""
+markup -> transform(array(split(concat(' ', markup), {_sql_text('(?i)(?=</?(?:ul|ol|li)[' + chr(92) + 's/>])')}, -1)), pieces ->
+  transform(array(filter(transform(pieces, (piece, i) -> named_struct(
+    'name', 'list', 'at', i,
+    'step', CASE WHEN lower(substr(piece, 1, 3)) IN ('<ul', '<ol') THEN 1
+      WHEN lower(substr(piece, 1, 4)) IN ('</ul', '</ol') THEN -1 ELSE 0 END
+  )), e -> e.at > 0)), ev ->
+  transform(array(array_sort(flatten(zip_with(ev, {_LEVELS}, (e, level) -> transform(
+    array(named_struct(
+      'tag', lower(regexp_extract(get(pieces, e.at), '^</?([a-zA-Z]+)', 1)),
+      'closes', startswith(get(pieces, e.at), '</'),
+      'tail', regexp_replace(get(pieces, e.at), '^<[^<>]*>?', '')
+    )),
+    piece -> CASE
+      WHEN piece.tag = 'li' AND NOT piece.closes THEN array(
+        named_struct('level', level, 'at', e.at, 'role', 'item', 'text', piece.tail))
+      WHEN piece.closes THEN array(
+        named_struct('level', level, 'at', e.at, 'role', 'end', 'text', ''),
+        named_struct('level', level - 1, 'at', e.at, 'role', 'text', 'text', piece.tail))
+      ELSE array(
+        named_struct('level', level, 'at', e.at, 'role', 'list', 'text', piece.tag),
+        named_struct('level', level - 1, 'at', e.at, 'role', 'text', 'text', piece.tail))
+    END
+  )[0])))), parts ->
+  transform(array(aggregate(
+    transform(sequence(0, int(floor((size(parts) - 1) / {_CHUNK}))), c -> slice(parts, c * {_CHUNK} + 1, {_CHUNK})),
+    named_struct('kind', '', 'item', {{none}}, 'done', array_repeat({{none}}, 0)),
+    (whole, chunk) -> transform(array(aggregate(
+      chunk,
+      named_struct('kind', whole.kind, 'item', whole.item, 'done', array_repeat({{none}}, 0)),
+      (own, part) -> CASE
+        WHEN part.role = 'text' THEN named_struct(
+          'kind', own.kind,
+          'item', CASE WHEN own.item.open AND own.item.depth = part.level THEN named_struct(
+            'at', own.item.at, 'depth', own.item.depth, 'kind', own.item.kind,
+            'text', concat(own.item.text, part.text), 'open', true) ELSE own.item END,
+          'done', own.done)
+        WHEN part.role = 'item' THEN named_struct(
+          'kind', own.kind,
+          'item', named_struct('at', part.at, 'depth', part.level, 'kind', own.kind, 'text', part.text, 'open', part.level > 0),
+          'done', CASE WHEN own.item.depth > 0 THEN concat(own.done, array(own.item)) ELSE own.done END)
+        ELSE named_struct(
+          'kind', CASE WHEN part.role = 'list' THEN part.text ELSE own.kind END,
+          'item', named_struct('at', own.item.at, 'depth', own.item.depth, 'kind', own.item.kind, 'text', own.item.text, 'open', false),
+          'done', own.done)
+      END
+    )), own -> named_struct('kind', own.kind, 'item', own.item, 'done', concat(whole.done, own.done)))[0]
+  )), state -> array_sort(CASE WHEN state.item.depth > 0 THEN concat(state.done, array(state.item)) ELSE state.done END)
+  )[0])[0])[0])[0]
+""".replace("{none}", "named_struct('at', 0, 'depth', 0, 'kind', '', 'text', '', 'open', false)")
+
+
+def list_items(html: ColumnOrName) -> Column:
+    """All list items in page order: ``(depth, list_type, item)``, the text without that of lists inside.
+
+    An item ends at its end tag, the next item of its list or the list's end; items outside
+    of lists are left out.
+    """
+    found = F.call_function("transform", F.array(text_or_empty(html)), F.expr(_LIST_ITEMS))[0]
+    return F.transform(found, lambda one: F.struct(
+        one["depth"].alias("depth"), one["kind"].alias("list_type"), element_text(one["text"]).alias("item")
+    ))
+
+
 def absolute_url(href: ColumnOrName, page_url: ColumnOrName) -> Column:
     """Resolve relative hrefs against a page URL.
 

@@ -43,6 +43,12 @@ def lists(html: Column) -> Column:
     )
 
 
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """``(page_id, position, depth, list_type, item)`` for every list item of every page, lists in lists too."""
+    found = pages.select("page_id", H.list_items(H.without_code("html")).alias("found"))
+    return X.exploded(found, ["page_id"], F.col("found"), "position", "one").select("page_id", "position", "one.*")
+
+
 def quotes(html: Column) -> Column:
     return F.transform(
         H.tag_elements(html, "blockquote"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
-from foliolens.functions import dates, html as H, html_blocks, register, text as X
+from foliolens.functions import dates, html as H, register, text as X
 from foliolens.operators import (
     barrier, events as E, exports, keywords, markup as M, relational as R, requests, state as S, stats,
 )
@@ -1012,5 +1012,4 @@ def register_functions(spark, folder):
 
 @named("html_blocks")
 def list_items(spark, folder):
-    rows = html_blocks.html_blocks(T.scan_pages(spark, folder))
-    return rows.withColumns({name: F.col(name).cast("bigint") for name in ("position", "depth")})
+    return M.html_blocks(T.scan_pages(spark, folder)).withColumn("depth", F.col("depth").cast("bigint"))

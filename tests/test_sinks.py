@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from foliolens.functions.html_blocks import html_blocks
+from foliolens.operators.markup import html_blocks
 from foliolens.functions.register import register_functions
 from foliolens.operators import exports
 from foliolens.session import new_folder, shared_folder
