@@ -55,32 +55,56 @@ def metric_value(counted: DataFrame) -> DataFrame:
     return renamed.unpivot(keys, list(V.METRIC_NAMES), "metric", "value")
 
 
-def session_stats(
-    events: DataFrame, key: str = "user_id", gap_minutes: int = V.SESSION_GAP_MINUTES
+def minute_sums(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """First and last time and counters per key and minute.
+
+    A key with a third of all events shrinks to one row per minute in the map tasks.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.withColumn("_micros", micros).groupBy(key, F.expr("_micros div 60000000").alias("_minute")).agg(
+        F.min("_micros").alias("_first"), F.max("_micros").alias("_last"), F.count("*").alias("events"), *counters(),
+    )
+
+
+def merged_minutes(parts: DataFrame, key: str = "user_id") -> DataFrame:
+    """Minute sums of several batches as those of all of them."""
+    names = ["events", *EVENT_COUNTERS.values()]
+    return parts.groupBy(key, "_minute").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(name).alias(name) for name in names]
+    )
+
+
+def sessions_of_minutes(
+    minutes: DataFrame, key: str = "user_id", gap_minutes: int = V.SESSION_GAP_MINUTES
 ) -> DataFrame:
-    """Sessions per key (a gap of ``gap_minutes`` or more starts a new one) with counters.
+    """Sessions from minute sums.
 
-    Events are first summed per key and minute.  A minute is shorter than the gap, so
-    its events always share a session, and a key with a third of all events shrinks
-    to one row per minute in the map tasks.  Only those rows are put in order.
+    A minute is shorter than the gap, so its events always share a session.  A key is cut
+    into days: rows are put in order inside a day, only each day's ends and number of
+    session starts are put in order for the key.
     """
     if gap_minutes < 1:
         raise ValueError("gap_minutes must be at least 1")
     gap_micros = gap_minutes * 60 * 1_000_000
     names = list(EVENT_COUNTERS.values())
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    minutes = (
-        events.withColumn("_micros", micros)
-        .groupBy(key, F.expr("_micros div 60000000").alias("_minute"))
-        .agg(
-            F.min("_micros").alias("_first"), F.max("_micros").alias("_last"),
-            F.count("*").alias("events"), *counters(),
-        )
+    by_time = Window.partitionBy(key, "_day").orderBy("_minute")
+    daily = minutes.withColumn("_day", F.expr("_minute div 1440"))
+    gap = F.col("_first") - F.lag("_last").over(by_time) >= gap_micros
+    # The first minute of a day is judged by the day before.
+    marked = daily.withColumn("_starts", F.coalesce(gap, F.lit(False)).cast("int"))
+    days = marked.groupBy(key, "_day").agg(
+        F.min("_first").alias("_opens"), F.max("_last").alias("_closes"), F.sum("_starts").alias("_inside")
+    )
+    in_order = Window.partitionBy("_key").orderBy("_of")
+    fresh = F.coalesce(F.col("_opens") - F.lag("_closes").over(in_order) >= gap_micros, F.lit(True)).cast("int")
+    placed = days.select(F.col(key).alias("_key"), F.col("_day").alias("_of"), "_opens", "_closes", "_inside").withColumn(
+        "_fresh", fresh
+    ).select(
+        "_key", "_of",
+        (F.sum(F.col("_fresh") + F.col("_inside")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside")).alias("_base"),
     )
-    by_time = Window.partitionBy(key).orderBy("_minute")
-    starts = F.coalesce(F.col("_first") - F.lag("_last").over(by_time) >= gap_micros, F.lit(True))
-    numbered = minutes.withColumn("_starts", starts.cast("int")).withColumn(
-        "_session", F.sum("_starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.join(placed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_of"))).withColumn(
+        "_session", F.col("_base") + F.sum("_starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     )
     sessions = numbered.groupBy(key, "_session").agg(
         F.timestamp_micros(F.min("_first")).alias("session_start"),
@@ -92,18 +116,27 @@ def session_stats(
     return with_success_rate(sessions.drop("_session"))
 
 
+def session_stats(
+    events: DataFrame, key: str = "user_id", gap_minutes: int = V.SESSION_GAP_MINUTES
+) -> DataFrame:
+    """Sessions per key (a gap of ``gap_minutes`` or more starts a new one) with counters."""
+    return sessions_of_minutes(minute_sums(events, key), key, gap_minutes)
+
+
+def requests_per_minute(events: DataFrame, key: str = "user_id") -> DataFrame:
+    counted = events.groupBy(key, F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("requests"))
+    return counted.select(key, F.col("w.start").alias("minute"), "requests")
+
+
+def over_limit(counted: DataFrame, requests_per_second: float) -> DataFrame:
+    return counted.withColumn("over_limit", F.col("requests") > F.lit(requests_per_second * 60))
+
+
 def rate_audit(
     events: DataFrame, requests_per_second: float, key: str = "user_id"
 ) -> DataFrame:
     """Events per key and minute against the limit of ``requests_per_second * 60``."""
-    limit = requests_per_second * 60
-    counted = events.groupBy(key, F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("requests"))
-    return counted.select(
-        key,
-        F.col("w.start").alias("minute"),
-        "requests",
-        (F.col("requests") > F.lit(limit)).alias("over_limit"),
-    )
+    return over_limit(requests_per_minute(events, key), requests_per_second)
 
 
 def counts_by_window(events: DataFrame, width: str = "1 hour") -> DataFrame:

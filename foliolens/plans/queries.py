@@ -951,7 +951,9 @@ def stream_dedupe(spark, folder):
     stream = T.stream_events(spark, folder).select(
         F.concat(F.lit(f"{A.ORIGIN}/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("url"), "ts"
     )
-    return jobs.run_available(jobs.stream_dedupe(stream, delay="30 days").select("url"), "dedupe")
+    return jobs.run_available(
+        jobs.stream_dedupe(stream, delay="30 days").select("url"), new_folder(spark, "dedupe")
+    )
 
 
 @query
@@ -968,7 +970,7 @@ def flat_sessions(rows: DataFrame) -> DataFrame:
 
 @query
 def stream_session_stats(spark, folder):
-    return flat_sessions(jobs.run_available(jobs.stream_session_stats(T.stream_events(spark, folder)), "sessions"))
+    return flat_sessions(jobs.stream_session_stats(T.stream_events(spark, folder), new_folder(spark, "sessions")))
 
 
 @query
@@ -978,13 +980,13 @@ def rate_audit(spark, folder):
 
 @query
 def stream_rate_audit(spark, folder):
-    rows = jobs.run_available(jobs.stream_rate_audit(T.stream_events(spark, folder), 1 / 60), "rates")
+    rows = jobs.stream_rate_audit(T.stream_events(spark, folder), new_folder(spark, "rates"), 1 / 60)
     return rows.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
 @query
 def stream_counters(spark, folder):
-    rows = jobs.run_available(jobs.stream_counters(T.stream_events(spark, folder)), "counters")
+    rows = jobs.stream_counters(T.stream_events(spark, folder), new_folder(spark, "counters"))
     return rows.withColumns({name: F.date_format(name, "yyyy-MM-dd HH:mm") for name in ("window_start", "window_end")})
 
 
@@ -993,7 +995,7 @@ def stream_append_results(spark, folder):
     stream = T.stream_events(spark, folder).select(
         F.col("event_type").alias("type"), "event_id", "user_id", "value"
     )
-    return jobs.run_available(stream, "append", ("type",))
+    return jobs.run_available(stream, new_folder(spark, "append"), ("type",))
 
 
 # --- user functions -------------------------------------------------------------------

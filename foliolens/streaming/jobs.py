@@ -1,17 +1,20 @@
 """Structured Streaming forms of the event and listing operators.
 
-Streams carry ``ts`` as TIMESTAMP.  Rows later than the watermark are dropped;
-append mode writes a window once, when the watermark has passed its end.
+Counters, rates and sessions are sums, so a micro-batch is summed by itself and its sums
+are stored under its number; reading adds the sums of all batches.  No row is ever too
+late, no window stays open, and no state is kept between batches.  A batch that is run
+again replaces its own sums.  Streams carry ``ts`` as TIMESTAMP.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.operators import events as E
-from foliolens.session import new_folder
 
 LATENESS = "1 hour"
 
@@ -21,41 +24,47 @@ def stream_dedupe(items: DataFrame, keys: tuple[str, ...] = ("url",), delay: str
     return items.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stored_sums(stream: DataFrame, folder: str, sums: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sums of every micro-batch of what is there, under ``folder``; started again with it, the job goes on."""
+    def store(batch: DataFrame, number: int) -> None:
+        sums(batch).write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(store).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{folder}/progress").start().awaitTermination()
+    return stream.sparkSession.read.option("basePath", f"{folder}/sums").schema(
+        sums(stream).schema
+    ).parquet(f"{folder}/sums").drop("batch")
+
+
 def stream_session_stats(
-    events: DataFrame, key: str = "user_id", gap_minutes: int = V.SESSION_GAP_MINUTES, delay: str = LATENESS
+    events: DataFrame, folder: str, key: str = "user_id", gap_minutes: int = V.SESSION_GAP_MINUTES
 ) -> DataFrame:
     """Sessions with counters; batch twin: ``session_stats``."""
-    window = F.session_window("ts", f"{gap_minutes} minutes").alias("w")
-    millis = (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("session_duration")
-    counted = events.withWatermark("ts", delay).groupBy(key, window).agg(
-        millis, F.count("*").alias("events"), *E.counters()
-    )
-    flat = counted.select(
-        key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
-        "session_duration", "events", *E.EVENT_COUNTERS.values(),
-    )
-    return E.with_success_rate(flat)
+    parts = stored_sums(events, folder, lambda batch: E.minute_sums(batch, key))
+    return E.sessions_of_minutes(E.merged_minutes(parts, key), key, gap_minutes)
 
 
-def stream_counters(events: DataFrame, width: str = "1 hour", delay: str = LATENESS) -> DataFrame:
-    return E.counts_by_window(events.withWatermark("ts", delay), width)
+def stream_counters(events: DataFrame, folder: str, width: str = "1 hour") -> DataFrame:
+    """Events per type and window; batch twin: ``counts_by_window``."""
+    parts = stored_sums(events, folder, lambda batch: E.counts_by_window(batch, width))
+    return parts.groupBy("window_start", "window_end", "event_type").agg(F.sum("n").alias("n"))
 
 
-def stream_rate_audit(events: DataFrame, requests_per_second: float, delay: str = LATENESS) -> DataFrame:
-    return E.rate_audit(events.withWatermark("ts", delay), requests_per_second)
+def stream_rate_audit(events: DataFrame, folder: str, requests_per_second: float, key: str = "user_id") -> DataFrame:
+    """Events per key and minute against the limit; batch twin: ``rate_audit``."""
+    parts = stored_sums(events, folder, lambda batch: E.requests_per_minute(batch, key))
+    return E.over_limit(parts.groupBy(key, "minute").agg(F.sum("requests").alias("requests")), requests_per_second)
 
 
-def run_available(stream: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Process everything that is there into a table in the shared folder and read it back.
+def run_available(stream: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Append everything that is there to a table under ``folder`` and read it.
 
-    Output and checkpoint are written together, so a restarted run continues
-    without loss or repeats.
+    Output and progress stand together there, so a job started again with the same folder
+    goes on without loss or repeats.
     """
-    spark = stream.sparkSession
-    folder = new_folder(spark, purpose)
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     query = writer.option("checkpointLocation", f"{folder}/progress").start(f"{folder}/rows")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -60,13 +60,24 @@ def test_keywords_do_not_shuffle(spark, sf_dir):
     assert not exchanges(plan)
 
 
-def test_streams_equal_batches_on_closed_windows(spark, sf_dir):
+def rows_of(frame):
+    return sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+
+
+def test_streams_equal_batches_after_a_restart_and_late_rows(spark, sf_dir, tmp_path):
+    """The second half of the events, which comes first in time, is read by a second start in the same folders."""
     events = T.scan_events(spark, sf_dir)
-    closed = events.select((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("t")).first()["t"]
-    streamed = jobs.run_available(jobs.stream_session_stats(T.stream_events(spark, sf_dir)), "sessions")
-    batch = E.session_stats(events).filter(F.col("session_end") <= closed)
-    columns = streamed.columns
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (events.filter(F.col("event_id") > middle), events.filter(F.col("event_id") <= middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        stream = lambda: T.stream_events(spark, str(tmp_path))
+        sessions = jobs.stream_session_stats(stream(), f"{tmp_path}/sessions")
+        counts = jobs.stream_counters(stream(), f"{tmp_path}/counts")
+        rates = jobs.stream_rate_audit(stream(), f"{tmp_path}/rates", 1 / 60)
+    assert rows_of(sessions) == rows_of(E.session_stats(events))
+    typed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert rows_of(counts) == rows_of(E.counts_by_window(typed))
+    assert rows_of(rates) == rows_of(E.rate_audit(typed, 1 / 60))
 
 
 def test_sessions_equal_session_windows(spark, sf_dir):
