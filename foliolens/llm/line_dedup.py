@@ -34,9 +34,9 @@ from foliolens.llm.common import stored, whole_rows
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-# Filter bits for each byte of text, and bytes of one filter at most.
-BITS_PER_BYTE = 0.2
-MAX_BYTES = 64 * 1024 * 1024
+# Filter bits for each byte of text (about ten for a line), and bytes of one filter at most.
+BITS_PER_BYTE = 0.06
+MAX_BYTES = 128 * 1024 * 1024
 # A slice is the unit in which filters are merged; a hash lies in one 64-bit word of it.
 SLICE_WORDS = 16 * 1024
 _BITS = 4
