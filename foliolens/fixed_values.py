@@ -229,4 +229,12 @@ REQUEST_MESSAGES = {
     "end": "dateRange.end must be a valid date string",
     "order": "dateRange.start must be before dateRange.end",
     "tags": "All tags must be non-empty strings",
+    "input": "Input is required",
+    "range": "dateRange must be an object",
+    "tags_list": "tags must be an array",
+    "include_content": "includeContent must be a boolean value",
+    "include_comments": "includeComments must be a boolean value",
+    "include_publication": "includePublication must be a boolean value",
+    "use_proxy": "useProxy must be a boolean value",
+    "premium_content": "premiumContent must be a boolean value",
 }

@@ -450,6 +450,15 @@ def expected_sql() -> dict[str, str]:
             CASE WHEN page_id % 2 = 1 THEN {quoted(V.REQUEST_MESSAGES['end'])} END,
             CASE WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN {quoted(V.REQUEST_MESSAGES['order'])} END,
             CASE WHEN page_id % 5 = 0 THEN {quoted(V.REQUEST_MESSAGES['tags'])} END) AS errors FROM pages)""",
+        "validate_json_requests": f"""SELECT page_id, errors, errors = '' AS is_valid FROM (SELECT page_id, CASE page_id % 12
+            WHEN 10 THEN 'Input is required' WHEN 11 THEN 'Author URL is required and must be a string' ELSE concat_ws('|',
+            CASE WHEN NOT contains({HOST}, 'example.com') THEN {quoted(V.REQUEST_MESSAGES['url_host'].replace(V.SITE, 'example.com'))} END,
+            CASE page_id % 12 WHEN 1 THEN 'maxPosts must be a number between 1 and 1000'
+              WHEN 2 THEN 'requestsPerSecond must be a number between 0.1 and 5' WHEN 3 THEN 'outputFormat must be one of: json, csv, xlsx'
+              WHEN 4 THEN 'sortBy must be one of: latest, popular, oldest' WHEN 5 THEN 'dateRange must be an object'
+              WHEN 6 THEN 'dateRange.start must be a valid date string' WHEN 7 THEN 'tags must be an array'
+              WHEN 8 THEN 'All tags must be non-empty strings'
+              WHEN 9 THEN 'includeContent must be a boolean value|useProxy must be a boolean value' END) END AS errors FROM pages)""",
         "normalise_requests": """SELECT page_id, url AS author_url, page_id % 1200 AS max_posts, true AS include_content, false AS include_comments,
             true AS include_publication, CASE page_id % 5 WHEN 0 THEN 'ai' WHEN 1 THEN 'data' ELSE '' END AS tags,
             (page_id % 70) / CAST(10 AS DOUBLE) AS requests_per_second, true AS use_proxy,

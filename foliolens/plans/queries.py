@@ -770,6 +770,13 @@ def validate_requests(spark, folder):
     return rows.select("page_id", joined("errors").alias("errors"), "is_valid")
 
 
+@query
+def validate_json_requests(spark, folder):
+    rows = requests.read_requests(A.json_requests(T.scan_pages(spark, folder)))
+    checked = requests.validate_requests(rows, site="example.com")
+    return checked.select("page_id", joined("errors").alias("errors"), "is_valid")
+
+
 @query
 def normalise_requests(spark, folder):
     rows = requests.normalise_requests(A.job_requests(T.scan_pages(spark, folder)))

@@ -125,6 +125,20 @@ def job_requests(pages: DataFrame) -> DataFrame:
     )
 
 
+def json_requests(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, input)``: requests as JSON texts, most of them with a fault of type."""
+    faults = (
+        "", ',"maxPosts":"5"', ',"requestsPerSecond":null', ',"outputFormat":3', ',"sortBy":["latest"]', ',"dateRange":"2024"',
+        ',"dateRange":{"start":"soon","end":"2024-01-01"}', ',"tags":"a"', ',"tags":["a",1,""]',
+        ',"includeContent":"yes","useProxy":1', None, None,
+    )
+    key = F.col("page_id")
+    whole = F.concat(F.lit('{"authorUrl":'), F.to_json(F.struct("url")).substr(F.lit(8), F.length(F.to_json(F.struct("url"))) - 8), _nth(key, *faults), F.lit("}"))
+    return pages.select(
+        "page_id", "url", F.when(key % 12 == 10, "null").when(key % 12 == 11, '{"authorUrl":7}').otherwise(whole).alias("input")
+    )
+
+
 def lines(text: X.ColumnOrName) -> Column:
     """Trimmed non-empty lines of a text."""
     return F.filter(
