@@ -177,7 +177,7 @@ transform(
 """
 
 
-def elements(html: ColumnOrName, specs, outermost: bool = False) -> Column:
+def elements(html: ColumnOrName, specs, outermost: bool = False, only_first: bool = False) -> Column:
     """Every element that meets one of the specs, in page order, each from its start to its own end.
 
     A spec is ``(tag, attribute, test, value)``, or a pair of these for an inner element
@@ -199,12 +199,16 @@ def elements(html: ColumnOrName, specs, outermost: bool = False) -> Column:
             f"box -> box.at < s.at AND s.at < box.until AND {starts('box', _start_tag_test(around))}))"
         )
     test = f"({' OR '.join(meets)})" + (" AND s.level = 1" if outermost else "")
+    tags = {spec[0] for spec in (*single, *outer, *inner)}
+    if "*" in tags:
+        # The names of the tags that meet a spec in this very markup.
+        start_names = _sql_text(rf"(?is)<(?={looked_at})({_TAG_NAME})")
+        names = f"array_join(array_distinct(transform(regexp_extract_all(markup, {start_names}, 1), n -> lower(n))), '|')"
+        pattern = f"concat('(?i)(?=</?(?:', {names}, {_sql_text(')[' + chr(92) + 's/>])')})"
+    else:
+        pattern = _sql_text(rf"(?i)(?=</?(?:{'|'.join(sorted(tags))})[\s/>])")
     # The leading space makes the first piece one without a tag.
-    names = _sql_text(rf"(?is)<(?={looked_at})({_TAG_NAME})")
-    cut = (
-        f"split(concat(' ', markup), concat('(?i)(?=</?(?:', array_join(array_distinct(transform("
-        f"regexp_extract_all(markup, {names}, 1), n -> lower(n))), '|'), {_sql_text(')[' + chr(92) + 's/>])')}), -1)"
-    )
+    cut = f"split(concat(' ', markup), {pattern}, -1)"
     name_of = _sql_text(f"^</?({_TAG_NAME})")
     events = f"""
       array_sort(filter(transform(pieces, (piece, i) -> named_struct(
@@ -222,7 +226,7 @@ def elements(html: ColumnOrName, specs, outermost: bool = False) -> Column:
     """
     found = f"""
       transform(array({cut}), pieces -> transform(array({events}), ev -> transform(array({_SPANS}), spans ->
-        transform(filter(spans, s -> {test}), s -> {markup_of})
+        transform({f"slice(filter(spans, s -> {test}), 1, 1)" if only_first else f"filter(spans, s -> {test})"}, s -> {markup_of})
       )[0])[0])[0]
     """
     body = F.expr(
@@ -234,7 +238,7 @@ def elements(html: ColumnOrName, specs, outermost: bool = False) -> Column:
 
 def first_element(html: ColumnOrName, specs) -> Column:
     """The first matching element's markup; '' if there is none."""
-    return F.coalesce(F.get(elements(html, specs), 0), F.lit(""))
+    return F.coalesce(F.get(elements(html, specs, only_first=True), 0), F.lit(""))
 
 
 def has_element(html: ColumnOrName, specs) -> Column:
@@ -374,14 +378,17 @@ def containers(html: ColumnOrName, specs) -> Column:
     return elements(html, specs)
 
 
-def element_with_text(html: ColumnOrName, tag: str, texts: tuple[str, ...], plain: ColumnOrName) -> Column:
-    """True when some ``tag`` element, read through the tags in it, holds one of ``texts`` (case-sensitive).
+def any_text(texts: tuple[str, ...]) -> str:
+    """Pattern for one of the texts."""
+    return "|".join(re.escape(text).replace(r"\ ", " ") for text in texts)
+
 
-    ``plain`` is the text of all of the markup: without one of the texts, no element has it.
+def tag_texts(html: ColumnOrName, tags: tuple[str, ...]) -> Column:
+    """``(tag, text)`` of the elements of these tags, read through the tags in them.
+
+    Only elements outside of others of their tag: an inner one's text is part of the outer one's.
     """
-    # An inner element's text is part of the outer one's, so only outermost ones are read.
-    boxes = elements(html, ((tag, "", "", ""),), outermost=True)
-    pattern = "|".join(re.escape(text).replace(r"\ ", " ") for text in texts)
-    return F.when(
-        as_column(plain).rlike(pattern), F.exists(boxes, lambda box: raw_text(box).rlike(pattern))
-    ).otherwise(False)
+    boxes = elements(html, tuple((tag, "", "", "") for tag in tags), outermost=True)
+    return F.transform(boxes, lambda box: F.struct(
+        F.lower(F.regexp_extract(box, f"^<({_TAG_NAME})", 1)).alias("tag"), raw_text(box).alias("text")
+    ))

@@ -18,20 +18,34 @@ from foliolens.functions import html as H, text as X
 _BODY = (("article", "", "", ""), ("main", "", "", ""), ("*", "data-testid", "=", "articleContent"))
 
 
-def _any_text(markup: Column, plain: Column, pairs) -> Column:
+_PREMIUM_TEXTS = tuple(("span", text) for text in V.PREMIUM_SPAN_TEXTS)
+_TEXTS = (*_PREMIUM_TEXTS, *V.MEMBER_TEXTS, *V.SUBSCRIPTION_TEXTS, *V.LOGIN_TEXTS)
+
+
+def text_boxes(markup: Column, plain: Column) -> Column:
+    """Elements that may hold a text cue, in one pass; none if the text of the whole page holds no such text."""
+    boxes = H.tag_texts(markup, tuple(sorted({tag for tag, _ in _TEXTS})))
+    return F.when(plain.rlike(H.any_text(tuple(sorted({text for _, text in _TEXTS})))), boxes)
+
+
+def _any_text(boxes: Column, pairs) -> Column:
     by_tag: dict[str, list[str]] = {}
     for tag, text in pairs:
         by_tag.setdefault(tag, []).append(text)
-    return reduce(or_, [H.element_with_text(markup, tag, tuple(texts), plain) for tag, texts in by_tag.items()])
+    found = [
+        F.exists(boxes, lambda box: (box["tag"] == tag) & box["text"].rlike(H.any_text(tuple(texts))))
+        for tag, texts in by_tag.items()
+    ]
+    return F.coalesce(reduce(or_, found), F.lit(False))
 
 
-def barrier_cues(markup: Column, plain: Column, compat: bool = False) -> Column:
-    """One field per cue, in cleaned markup and its text: the cue's name if it is there, else null.
+def barrier_cues(markup: Column, boxes: Column, compat: bool = False) -> Column:
+    """One field per cue, in cleaned markup and its text boxes: the cue's name if it is there, else null.
 
     With ``compat`` a text cue in a span counts but has no type, and the other
     text cues are not evaluated.
     """
-    span_text = _any_text(markup, plain, [("span", text) for text in V.PREMIUM_SPAN_TEXTS])
+    span_text = _any_text(boxes, _PREMIUM_TEXTS)
     premium_mark = H.has_element(markup, V.BARRIER_MARKS)
     member = H.has_element(markup, V.MEMBER_MARKS)
     subscription = H.has_element(markup, V.SUBSCRIPTION_MARKS)
@@ -42,9 +56,9 @@ def barrier_cues(markup: Column, plain: Column, compat: bool = False) -> Column:
         login = F.lit(False)
     else:
         premium = F.when(span_text | premium_mark, F.lit("premium"))
-        member = member | _any_text(markup, plain, V.MEMBER_TEXTS)
-        subscription = subscription | _any_text(markup, plain, V.SUBSCRIPTION_TEXTS)
-        login = _any_text(markup, plain, V.LOGIN_TEXTS)
+        member = member | _any_text(boxes, V.MEMBER_TEXTS)
+        subscription = subscription | _any_text(boxes, V.SUBSCRIPTION_TEXTS)
+        login = _any_text(boxes, V.LOGIN_TEXTS)
     return F.struct(
         premium.alias("premium"),
         F.when(member, F.lit("member_only")).alias("member_only"),
@@ -90,8 +104,8 @@ def barrier_classify(
     if from_markup:
         built = {name: build(F.col("markup")) for name, build in from_markup.items()}
         cleaned, keep = X.computed(cleaned, **built), (*keep, *from_markup)
-    read = X.computed(cleaned, _plain=H.raw_text("markup"))
-    cued = read.select("page_id", "url", *keep, barrier_cues(F.col("markup"), F.col("_plain"), compat).alias("cues"))
+    read = X.computed(X.computed(cleaned, _plain=H.raw_text("markup")), _boxes=text_boxes(F.col("markup"), F.col("_plain")))
+    cued = read.select("page_id", "url", *keep, barrier_cues(F.col("markup"), F.col("_boxes"), compat).alias("cues"))
     told = cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b"))
     return told.select("page_id", "url", *keep, "b.*")
 

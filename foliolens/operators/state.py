@@ -29,9 +29,9 @@ def state_map(state: Column) -> Column:
     return F.from_json(state, "map<string,string>")
 
 
-def post_key(state: Column) -> Column:
+def post_key(records: Column) -> Column:
     """Key of the article record: the first ``post(`` edge of the root record."""
-    root = F.get_json_object(state, "$.ROOT_QUERY")
+    root = F.try_element_at(records, F.lit("ROOT_QUERY"))
     edge = F.get(
         F.filter(F.json_object_keys(root), lambda key: F.startswith(key, F.lit("post("))), 0
     )
@@ -39,8 +39,8 @@ def post_key(state: Column) -> Column:
     return F.from_json(F.try_element_at(edges, edge), schemas.STATE_REF)["__ref"]
 
 
-def post_record(state: Column, records: Column) -> Column:
-    return F.from_json(F.try_element_at(records, post_key(state)), schemas.STATE_POST)
+def post_record(records: Column) -> Column:
+    return F.from_json(F.try_element_at(records, post_key(records)), schemas.STATE_POST)
 
 
 def state_pages(pages: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def state_pages(pages: DataFrame) -> DataFrame:
     found = pages.select("page_id", "url", embedded_state(F.col("html")).alias("state"))
     parsed = found.select("page_id", "url", "state", state_map(F.col("state")).alias("records"))
     return parsed.select(
-        "page_id", "url", "records", post_record(F.col("state"), F.col("records")).alias("post")
+        "page_id", "url", "records", post_record(F.col("records")).alias("post")
     )
 
 
@@ -118,14 +118,12 @@ def state_article(post: Column, page_url: Column, now: Column) -> Column:
 
 def article_info(pages: DataFrame, now: Column) -> DataFrame:
     """``(page_id, article)``: from embedded state where usable, else from markup."""
-    read = pages.select(
-        "page_id", "url",
-        embedded_state(F.col("html")).alias("state"),
-        H.without_code("html").alias("markup"),
+    read = pages.select("page_id", "url", "html", state_map(embedded_state(F.col("html"))).alias("records"))
+    found = read.select("page_id", "url", "html", post_record(F.col("records")).alias("post"))
+    # Markup is cleaned only where it is read.
+    parsed = found.select(
+        "page_id", "url", "post", F.when(F.col("post").isNull(), H.without_code("html")).alias("markup")
     )
-    parsed = read.select(
-        "page_id", "url", "markup", "state", state_map(F.col("state")).alias("records")
-    ).select("page_id", "url", "markup", post_record(F.col("state"), F.col("records")).alias("post"))
     return parsed.select(
         "page_id",
         F.when(F.col("post").isNotNull(), state_article(F.col("post"), F.col("url"), now))
@@ -264,7 +262,7 @@ def assemble_article(
     ).select("page_id", "url", "markup", "state", state_map(F.col("state")).alias("records"))
     markup, url, post = F.col("markup"), F.col("url"), F.col("post")
     read = read.select(
-        "page_id", "url", "markup", "records", post_record(F.col("state"), F.col("records")).alias("post")
+        "page_id", "url", "markup", "records", post_record(F.col("records")).alias("post")
     )
     parts = {
         "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(

@@ -319,8 +319,10 @@ def embedded_state(spark, folder):
 
 @query
 def state_ref_lookup(spark, folder):
-    found = state_pages(spark, folder).select("page_id", S.embedded_state(F.col("html")).alias("state"))
-    keys = X.exploded(found, ["page_id"], F.array(S.post_key(F.col("state"))), "_", "post_key")
+    found = state_pages(spark, folder).select(
+        "page_id", S.state_map(S.embedded_state(F.col("html"))).alias("records")
+    )
+    keys = X.exploded(found, ["page_id"], F.array(S.post_key(F.col("records"))), "_", "post_key")
     return keys.filter(F.col("post_key").isNotNull()).drop("_")
 
 
