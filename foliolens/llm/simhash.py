@@ -240,14 +240,17 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def groups(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(fp, keeper)`` for ``(fp, doc_id)`` rows: the smallest doc_id of each fingerprint's component."""
+    """``(fp, root, keeper)`` for ``(fp, doc_id)`` rows: the smallest fingerprint and doc_id of each one's component.
+
+    Only ``root`` tells components apart: ids can be null, or stand on texts that are not linked.
+    """
     distinct = stored(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = connected(links(distinct.select("fp"), distinct.count(), radius))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("keeper"))
-    return named.select("fp", "root").join(least, "root").select("fp", "keeper")
+    return named.select("fp", "root").join(least, "root").select("fp", "root", "keeper")
 
 
 def components(
@@ -264,7 +267,7 @@ def components(
 def deduplicated(documents: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns.
 
-    If rows share that id, the one with the smallest text hash stays.
+    If rows of the component share that id, the one with the smallest text hash stays.
     """
     prints = stored(
         documents.select(
@@ -273,7 +276,7 @@ def deduplicated(documents: DataFrame, radius: int = RADIUS, shingle_words: int
         "fingerprints",
     )
     named = groups(prints.select("fp", "doc_id"), radius)
-    kept = prints.join(named, "fp").groupBy(F.col("keeper")).agg(
+    kept = prints.join(named, "fp").groupBy("root", "keeper").agg(
         F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("_text_key")
     ).select(F.col("keeper").alias("_doc_id"), "_text_key")
     rows = whole_rows(documents, doc_id=F.col("doc_id"), text_key=F.xxhash64("text")).join(

@@ -322,6 +322,16 @@ def test_simhash_of_odd_rows(odd):
     assert kept == sorted({row.component_id for row in rows if row.component_id is not None})
 
 
+def test_groups_with_equal_or_no_ids_all_stay(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "uvwxyz"}
+    rows = [(None, texts["u"]), (None, texts["v"]), (None, texts["w"]), (None, texts["w"]),
+            (5, texts["x"]), (5, texts["y"]), (6, texts["x"]), (7, texts["y"]), (8, texts["z"]), (None, texts["z"])]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [tuple(row) for row in simhash.deduplicated(documents).collect()]
+    wanted = [(None, texts["u"]), (None, texts["v"]), (None, texts["w"]), (5, texts["x"]), (5, texts["y"]), (8, texts["z"])]
+    assert sorted(kept, key=lambda row: row[1]) == wanted
+
+
 def random_prints(count, seed=3):
     random = np.random.default_rng(seed)
     centres = random.integers(0, 2**64, count // 4, dtype=np.uint64)
