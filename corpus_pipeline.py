@@ -7,8 +7,8 @@ last returns the columns of ``docs``.
 2. line dedup: repeated lines leave the texts (``n_chars`` stays as it was given).
 3. SimHash near-dedup: one document of each group stays.
 4. benchmark decontamination: contaminated documents go.
-5. mixing: documents that the mix takes, sorted by training position, with ``size``,
-   ``source_size``, ``target``, ``taken`` and ``position``.
+5. mixing: a row for each pass of the mix over a document, sorted by training position, with
+   ``size``, ``source_size``, ``target``, ``taken``, ``pass``, ``words`` and ``position``.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(docs)
+    return mixing.training_order(docs)
 
 
 STAGES = [

@@ -264,6 +264,25 @@ def test_later_weights_place_later(spark):
     assert means["early"] < 0.4 < 0.6 < means["late"]
 
 
+def test_every_pass_has_its_place(spark):
+    rows = [(i, "a b c", "small") for i in range(10)] + [(100 + i, "a b c", "large") for i in range(90)]
+    documents = spark.createDataFrame(rows + [(-1, "", "small")], "doc_id bigint, text string, source string")
+    schedules = spark.createDataFrame([("small", [1.0, 1.0]), ("large", [3.0, 3.0])], "source string, schedule array<double>")
+    order = mixing.training_order(documents, schedules).collect()
+    own = [r for r in order if r.source == "small"]
+    # 75 of 300 words from 30: two whole passes and half of a third, evenly over the time.
+    assert [sum(r.words for r in own if r["pass"] == n) for n in (1, 2, 3)] == [30, 30, 15]
+    assert [r.position for r in own] == pytest.approx([i * 3 / 75 for i in range(25)])
+    assert [r.doc_id for r in own[:10]] == [r.doc_id for r in own[10:20]]
+    taken = {}
+    for row in order:
+        taken[row.doc_id] = taken.get(row.doc_id, 0) + row.words
+    assert all(taken[r.doc_id] == r.taken for r in order) and sum(taken.values()) == 300
+    assert all(a.position <= b.position for a, b in zip(order, order[1:]))
+    passes = {r.doc_id: [p.position for p in r.passes] for r in mixing.curriculum(documents, schedules).collect()}
+    assert passes == {doc: [r.position for r in order if r.doc_id == doc] for doc in taken}
+
+
 # --- WARC
 
 
