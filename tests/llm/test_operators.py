@@ -8,7 +8,8 @@ from conftest import COPIED, ODD_ROWS
 from pyspark.sql import functions as F
 
 from foliolens.llm import (
-    chat, decontamination, license_scan, line_dedup, mixing, simhash, sketches, token_counts, toxicity, warc,
+    chat, decontamination, license_scan, license_templates, license_texts, line_dedup, mixing, simhash, sketches,
+    token_counts, toxicity, warc,
 )
 
 BENCHMARK = "item_id bigint, text string"
@@ -156,6 +157,51 @@ def test_size_bounds_lose_nothing():
             assert best == (any_ if any_ and any_[0] >= 0.8 else None)
 
 
+def test_notices_inside_longer_texts(spark):
+    texts = [
+        "The töol is free to use. Released under the MIT License. See the site for more.",
+        "Released under the MIT License. Copyright 2020 Jane Doe",
+        "# Copyright 2020 Jane Doe\n# This work is licensed under a Creative\n# Commons Attribution 4.0\n#\n# International License.\nx = 1",
+        "Released under the MIT License. Some more words. Licensed under CC BY-NC 4.0. " * 2,
+        "the license of the MIT under which nothing was released", None, "word", f"Some words. {dict(license_templates.MORE_NOTICES)['GPL-2.0']} More.",
+    ]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(documents).select("row.doc_id", "span_licenses", "spans").collect()}
+    assert [rows[i].span_licenses for i in range(8)] == [
+        ["MIT"], ["MIT"], ["CC-BY-4.0"], ["CC-BY-NC-4.0", "MIT"], [], [], [], ["GPL-2.0"]
+    ]
+    given = [texts[0][s.start:s.end] for s in rows[0].spans]
+    assert given == ["Released under the MIT License"] and rows[0].spans[0].dice == 1.0
+    assert [s.license for s in rows[3].spans] == ["MIT", "CC-BY-NC-4.0"] * 2
+
+
+@pytest.mark.parametrize("name, text", license_texts.FULL_TEXTS)
+def test_full_texts(name, text):
+    """Each in numbered blocks, with a copyright line and between other words."""
+    runs = license_scan.Runs(license_scan.TEMPLATES + license_scan.MORE_NOTICES + license_texts.FULL_TEXTS, 0.8)
+    planted = "Copyright (c) 2020 Jane Doe\n\n" + text.replace(". ", ".\n\n") + "\n\nOther words follow it here."
+    found = license_scan.spans(planted, runs)
+    assert [span["license"] for span in found] == [name] and found[0]["dice"] > 0.99
+    words = license_scan.words(planted[found[0]["start"]:found[0]["end"]].encode())
+    assert words == license_scan.words(text.encode())
+
+
+def test_runs_are_the_best_of_all():
+    random, notice = np.random.default_rng(5), b"a b c d e f g".split()
+    runs = license_scan.Runs((("x", b" ".join(notice).decode()),), 0.8)
+    held = license_scan.bigrams(notice)
+    for _ in range(300):
+        of = [*random.choice(list("abcdefgz"), 6), *"abcdefg", *random.choice(list("abcz"), 5)]
+        of = [word.encode() for place, word in enumerate(of) if random.random() > 0.08]
+        best = 0.0
+        for start in range(len(of)):
+            for end in range(start + 2, min(len(of), start + runs.known[0][2] + 1) + 1):
+                own = license_scan.bigrams(of[start:end])
+                best = max(best, 2 * len(own & held) / (len(own) + len(held)))
+        found = runs.found(of)
+        assert bool(found) == (best >= 0.8)
+
+
 # --- chat
 
 
