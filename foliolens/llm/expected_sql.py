@@ -150,3 +150,49 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM hashed
 """
+
+# The checksum of a decimal id, bit by bit; a node of the trie is the hashes of its turns end to end.
+SQL["op12_prefix_trie"] = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, coalesce(role, '') AS role, sha256(coalesce(text, '')) AS t,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations
+), turns AS (
+  SELECT conv_id, sha256(t || role) AS hash, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS place
+  FROM said
+), convs AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY ALL),
+bits(conv_id, i, c) AS (
+  SELECT conv_id, 0, 4294967295::BIGINT FROM convs
+  UNION ALL
+  SELECT conv_id, i + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END FROM (
+    SELECT conv_id, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(conv_id::VARCHAR, i // 8 + 1, 1))::BIGINT) ELSE c END AS x
+    FROM bits WHERE i < 8 * len(conv_id::VARCHAR)
+  )
+), taken AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(c, 4294967295::BIGINT) % 4 AS h FROM bits WHERE i = 8 * len(conv_id::VARCHAR)
+), parts AS (
+  SELECT taken.conv_id, 0 AS own, place, hash, words FROM taken JOIN turns ON turns.conv_id = base AND place <= h
+  UNION ALL
+  SELECT conv_id, 1, place, hash, words FROM taken JOIN turns USING (conv_id) WHERE place > h
+), lists AS (
+  SELECT conv_id, coalesce(list(hash ORDER BY own, place) FILTER (WHERE hash IS NOT NULL), []) AS s,
+    list(words ORDER BY own, place) AS w
+  FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, d, len(s) AS n, array_to_string(s[1:d], '') AS node, array_to_string(s[1:d - 1], '') AS above, w[d] AS words
+  FROM lists, unnest(range(len(s) + 1)) AS r(d)
+), nodes AS (
+  SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * max(words) END AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d
+), children AS (SELECT above, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY above),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children ON children.above = nodes.node),
+below AS (
+  SELECT a.node, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum(b.saved) AS saved_tokens
+  FROM counted a JOIN counted b ON starts_with(b.node, a.node) GROUP BY a.node
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below USING (node) LEFT JOIN nodes p ON c.d > 0 AND p.node = c.above
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.functions.text import computed
-from foliolens.llm import chat, decontamination, license_scan, line_dedup, mixing, simhash, sketches, spelling, token_counts, toxicity, warc
+from foliolens.llm import chat, decontamination, license_scan, line_dedup, mixing, prefix_trie, simhash, sketches, spelling, token_counts, toxicity, warc
 from foliolens.session import new_folder
 from foliolens.sources.tables import scan_table
 
@@ -140,3 +140,8 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_groups(scan_table(spark, folder, "documents")).select(
         "word", "form", "root", "n", "n_near", "form_n"
     )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(scan_table(spark, folder, "conversations"))
