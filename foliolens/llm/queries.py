@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.functions.text import computed
-from foliolens.llm import chat, decontamination, license_scan, line_dedup, mixing, prefix_trie, simhash, sketches, spelling, token_counts, toxicity, warc
+from foliolens.llm import (
+    chat, decontamination, license_scan, line_dedup, mixing, posting_lists, prefix_trie, simhash, sketches, spelling,
+    token_counts, toxicity, warc,
+)
 from foliolens.session import new_folder
 from foliolens.sources.tables import scan_table
 
@@ -145,3 +148,8 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(scan_table(spark, folder, "conversations"))
+
+
+@query
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return posting_lists.nearest(scan_table(spark, folder, "embeddings"), 20)
