@@ -13,8 +13,9 @@ the one that leads to a target share of the true neighbours.  Where none within
 query reads all lists.
 
 Equal vectors are indexed as one row with all their ids beside it (``members``).  As ties go to the
-smaller id, a query needs only the first ``k + 1`` ids of equal vectors, its own id among them.  Lists and their queries
-are cut into blocks of bounded size, and every block of a list meets every block of its queries in
+smaller id, a query needs only the first ``k + 1`` ids of equal vectors, its own id among them.
+The nearest lists are read first; the others pass on only vectors that reach the ``k + 1`` best found
+there.  Lists and their queries are cut into blocks of bounded size, and every block of a list meets every block of its queries in
 a task of its own, so that a large list or a frequent query is spread.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take
@@ -43,9 +44,12 @@ SAMPLE_QUERIES = 200
 # Centroids: one for so many vectors, at most so many.
 LIST_ROWS = 100
 MAX_LISTS = 2_000
-# Neighbours of a centroid in the graph, and centroids that a walk keeps.
+# Neighbours of a centroid in the graph, and centroids that a walk keeps for a vector and, at least, for a query.
 DEGREE = 24
+VECTOR_BEAM = 24
 BEAM = 64
+# Lists that tell a query how large a product has to be to count.
+FIRST_LISTS = 8
 # Lists that hold a vector, and how much farther than the nearest one they may be.
 REPLICAS = 4
 REPLICA_RATIO = 1.05
@@ -143,7 +147,8 @@ class Centroids:
 
     def search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and distances of the centroids near each vector, nearest first; what was not found is -1."""
-        if beam >= len(self.points):
+        if 4 * beam >= len(self.points):
+            # A walk that keeps so many would see nearly all.
             found = distances(vectors, self.points)
             order = np.argsort(found, axis=1, kind="stable")
             return order, np.take_along_axis(found, order, 1)
@@ -191,19 +196,19 @@ class Centroids:
         return np.take_along_axis(held, order, 1), np.sqrt(np.take_along_axis(far, order, 1))
 
 
-def within(near: tuple[np.ndarray, np.ndarray], ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, list)`` of centroids at most ``ratio`` times as far as the nearest one."""
+def within(near: tuple[np.ndarray, np.ndarray], ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, place, list)`` of centroids at most ``ratio`` times as far as the nearest one, the nearest in place 0."""
     numbers, away = near
     taken = (away <= away[:, :1] * ratio + 1e-12) & (numbers >= 0)
     taken[:, 0] = numbers[:, 0] >= 0
     if most is not None:
         taken[:, most:] = False
     rows, places = np.nonzero(taken)
-    return rows, numbers[rows, places]
+    return rows, places, numbers[rows, places]
 
 
 def _assign(centroids, query: bool, beam: int, ratio: float, most: int | None):
-    """Rows ``(key, vec)`` as ``(list, key, vec)`` for each list they belong to or, as queries, read."""
+    """Rows ``(key, vec)`` as ``(list, place, key, vec)`` for each list they belong to or, as queries, read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = centroids.value
@@ -212,9 +217,12 @@ def _assign(centroids, query: bool, beam: int, ratio: float, most: int | None):
                 part = batch.slice(first, 512)
                 vectors = matrix(part["vec"], held.width)
                 points = np.hstack([vectors, np.zeros((len(vectors), 1))]) if query else lifted(vectors, held.longest)
-                rows, lists = within(held.search(points, beam), ratio, most)
+                rows, places, lists = within(held.search(points, beam), ratio, most)
                 picked = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), picked["key"], picked["vec"]], names=["list", "key", "vec"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists, pa.int64()), pa.array(places, pa.int32()), picked["key"], picked["vec"]],
+                    names=["list", "place", "key", "vec"],
+                )
 
     return run
 
@@ -249,7 +257,7 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, smallest: np.ndarray, k: i
 
 
 def _meet(width: int, k: int):
-    """The best vectors of a block for each query of a block."""
+    """The best vectors of a block for each query of a block, of those with at least the query's ``floor``."""
 
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
         if not len(queries) or not len(block):
@@ -259,6 +267,8 @@ def _meet(width: int, k: int):
             rows, places, scores = best_of(
                 matrix(queries["vec"], width), matrix(block["vec"], width), block["least"].to_numpy(), k
             )
+            enough = scores >= queries["floor"].to_numpy()[rows]
+            rows, places, scores = rows[enough], places[enough], scores[enough]
         return pa.table({
             "query": queries["key"].take(pa.array(rows)), "key": block["key"].take(pa.array(places)),
             "least": block["least"].take(pa.array(places)), "score": pa.array(scores),
@@ -284,13 +294,14 @@ def _all_pairs(queries, width: int, k: int):
     return run
 
 
+ASSIGNED = f"list bigint, place int, key bigint, vec {DOUBLES}"
 FOUND = "query bigint, key bigint, least bigint, score double"
 
 
 def best_found(found: DataFrame, k: int) -> DataFrame:
-    """``(query, key, score)``: of what all blocks found, the ``k`` best of each query."""
+    """``(query, key, least, score)``: of what all blocks found, the ``k`` best of each query."""
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "least", "key")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank", "least")
+    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
 @dataclass
@@ -330,8 +341,8 @@ def build_index(embeddings: DataFrame, k: int = K, target: float = TARGET_RECALL
     lists = max(1, min(MAX_LISTS, total // LIST_ROWS))
     fitted = Centroids.fitted(sample, lists, longest * (1 + 1e-9))
     centroids = spark.sparkContext.broadcast(fitted)
-    assign = _assign(centroids, False, BEAM, REPLICA_RATIO, REPLICAS)
-    placed = vectors.select("key", "vec").mapInArrow(assign, f"list bigint, key bigint, vec {DOUBLES}")
+    assign = _assign(centroids, False, VECTOR_BEAM, REPLICA_RATIO, REPLICAS)
+    placed = vectors.select("key", "vec").mapInArrow(assign, ASSIGNED).drop("place")
     smallest = vectors.select("key", F.element_at("ids", 1).alias("least"))
     postings = stored(placed.join(smallest, "key").repartition("list", "key"), "ann-postings")
     ratio, beam, recall = _fitted_ratio(spark, vectors, postings, fitted, total, k, target)
@@ -370,18 +381,8 @@ def _fitted_ratio(spark, vectors: DataFrame, postings: DataFrame, fitted: Centro
     return ratio, beam, float((needed[:, 0] <= ratio).mean())
 
 
-def search(index: Index, queries: DataFrame) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each row ``(vec_id, vec)`` of usable vectors."""
-    k, spark = index.k, index.spark
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if index.postings is None:
-        return spark.createDataFrame([], schema)
-    # Equal query vectors are searched for once.
-    asking = stored(
-        queries.select("vec").distinct().select(F.monotonically_increasing_id().alias("key"), "vec"), "ann-asking"
-    )
-    assign = _assign(index.centroids, True, index.beam, index.ratio, None)
-    asked = stored(asking.mapInArrow(assign, f"list bigint, key bigint, vec {DOUBLES}"), "ann-asked")
+def _met(index: Index, asked: DataFrame) -> DataFrame:
+    """What the lists hold for the queries that read them: every block of a list with every block of its queries."""
     left, right = (
         frame.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
         for frame, name in ((asked, "query_blocks"), (index.postings, "blocks"))
@@ -396,7 +397,31 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
 
     ask = blocks(asked, "query_blocks", "blocks", ("a", "b")).groupBy("list", "a", "b")
     hold = blocks(index.postings, "blocks", "query_blocks", ("b", "a")).groupBy("list", "a", "b")
-    found = ask.cogroup(hold).applyInArrow(_meet(index.width, k + 1), FOUND)
+    return ask.cogroup(hold).applyInArrow(_meet(index.width, index.k + 1), FOUND)
+
+
+def search(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each row ``(vec_id, vec)`` of usable vectors."""
+    k, spark = index.k, index.spark
+    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    if index.postings is None:
+        return spark.createDataFrame([], schema)
+    # Equal query vectors are searched for once.
+    asking = stored(
+        queries.select("vec").distinct().select(F.monotonically_increasing_id().alias("key"), "vec"), "ann-asking"
+    )
+    assign = _assign(index.centroids, True, index.beam, index.ratio, None)
+    # Few rows, much work on each: they are dealt out over all cores.
+    parts = max(spark.sparkContext.defaultParallelism, asking.count() // 10_000)
+    asked = stored(asking.repartition(parts, "key").mapInArrow(assign, ASSIGNED), "ann-asked")
+    nearer = asked.filter(F.col("place") < FIRST_LISTS).withColumn("floor", F.lit(float("-inf")))
+    first = stored(best_found(_met(index, nearer), k + 1), "ann-first")
+    # What the nearest lists hold already bounds what can still be among the best.
+    floors = first.groupBy(F.col("query").alias("key")).agg(
+        F.when(F.count("*") == k + 1, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor")
+    )
+    farther = asked.filter(F.col("place") >= FIRST_LISTS).join(floors, "key", "left").fillna(float("-inf"), ["floor"])
+    found = _met(index, farther).unionByName(first)
     best = best_found(found, k + 1).join(index.vectors.select("key", "ids"), "key")
     answers = best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("answers"))
     answered = asking.withColumnRenamed("key", "query").join(answers, "query").select("vec", "answers")
