@@ -231,9 +231,11 @@ def from_rows(conversations: DataFrame) -> DataFrame:
         ))).alias("_said")
     )
     said = F.col("_said")
-    pair = (F.size(said) == 2) & (F.element_at(said, 1)["role"] == "user") & (F.element_at(said, 2)["role"] == "assistant")
+    # Spark may look at the second turn before it has tested the number of turns.
+    first, second = F.get(said, 0), F.get(said, 1)
+    pair = F.coalesce((F.size(said) == 2) & (first["role"] == "user") & (second["role"] == "assistant"), F.lit(False))
     messages = F.transform(said, lambda turn: F.struct(turn["role"].alias("role"), turn["content"].alias("content")))
     return grouped.select(
-        "conv_id", F.when(pair, F.element_at(said, 1)["content"]).alias("prompt"),
-        F.when(pair, F.element_at(said, 2)["content"]).alias("response"), F.when(~pair, messages).alias("messages"),
+        "conv_id", F.when(pair, first["content"]).alias("prompt"),
+        F.when(pair, second["content"]).alias("response"), F.when(~pair, messages).alias("messages"),
     )
