@@ -1,8 +1,9 @@
 r"""WARC archives as a Spark data source, and archiving pages with revisit records.
 
 Writing: each task writes its own ``.warc`` files (uncompressed, so that a reader can step
-over payloads) under a name no other attempt uses; on commit a manifest lists the files
-of the tasks that succeeded, and readers take only those.  Reading: files are packed into
+over payloads) under a name no other attempt uses; on commit a manifest of that write lists the files
+of the tasks that succeeded, and readers take only those that some manifest lists.  A write in mode
+``overwrite`` removes the manifests of earlier ones.  Reading: files are packed into
 partitions by size; predicates on record type, page id and target URI are pushed down;
 a record's headers are parsed first, and unless the record is wanted and its payload asked
 for (a ``payload`` column, or ``verify``), the payload is stepped over.  Archives written by
@@ -51,7 +52,7 @@ SCHEMA = (
 FILE_BYTES = 128 * 1024 * 1024
 PARTITION_BYTES = 32 * 1024 * 1024
 BATCH_ROWS = 512
-_MANIFEST = "_manifest.json"
+_MANIFEST = "_manifest"
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
@@ -154,9 +155,14 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int]]
 
 
+def _manifests(system: pafs.FileSystem, root: str) -> list[str]:
+    found = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.base_name.startswith(_MANIFEST) and f.base_name.endswith(".json"))
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = pafs.FileSystem.from_uri(self.path)
@@ -185,8 +191,11 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = pafs.FileSystem.from_uri(self.path)
         system.create_dir(root, recursive=True)
         listed = sorted(file for message in messages if message for file in message.files)
-        with system.open_output_stream(f"{root}/{_MANIFEST}") as sink:
+        earlier = _manifests(system, root)
+        with system.open_output_stream(f"{root}/{_MANIFEST}-{uuid.uuid4().hex}.json") as sink:
             sink.write(json.dumps(listed).encode())
+        for name in earlier if self.overwrite else ():
+            system.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = pafs.FileSystem.from_uri(self.path)
@@ -218,9 +227,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, root = pafs.FileSystem.from_uri(self.path)
-        if system.get_file_info(f"{root}/{_MANIFEST}").type != pafs.FileType.NotFound:
-            with system.open_input_stream(f"{root}/{_MANIFEST}") as source:
-                files = [tuple(file) for file in json.loads(source.read())]
+        manifests = _manifests(system, root)
+        if manifests:
+            files = []
+            for name in manifests:
+                with system.open_input_stream(f"{root}/{name}") as source:
+                    files += [tuple(file) for file in json.loads(source.read())]
         else:
             found = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
             files = sorted((f.base_name, f.size) for f in found if f.base_name.endswith((".warc", ".warc.gz")))
@@ -269,7 +281,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema, self.options.get("verify", "false").lower() == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -295,9 +307,10 @@ def with_record_types(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, min_payload: int = 0, mode: str = "append") -> None:
+    """Adds a record per page to the archive, or with mode ``overwrite`` writes it anew."""
     register(pages.sparkSession)
-    with_record_types(pages, min_payload).write.format(FORMAT).option("path", path).mode("append").save()
+    with_record_types(pages, min_payload).write.format(FORMAT).option("path", path).mode(mode).save()
 
 
 def read_archive(spark: SparkSession, path: str, columns: str = SCHEMA, verify: bool = False) -> DataFrame:
