@@ -3,8 +3,10 @@
 The index holds one posting ``(term, doc_id, text_key, pos)`` for each occurrence of a
 term.  A window of an item is looked up through its rarest terms: every posting of such
 a term names a place where the item could begin (the posting's position less the term's
-offset), and places named by all of them are kept.  Only those documents are opened to
-compare the words one by one.  All of it is DataFrame code.
+offset), and places named by all of them are kept.  A window that occurs several times, in one item
+or in many, is looked up once, so that repeated words cost no more than their postings.  Only
+documents with such places are opened, to compare the words of each window at its places.  All of
+it is DataFrame code.
 
 Words are maximal runs of characters outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z
 are lower-cased.  Positions count words from 1.
@@ -73,8 +75,22 @@ def item_terms(items: DataFrame) -> DataFrame:
     )
 
 
-def rarest_terms(terms: DataFrame, frequencies: DataFrame, window: int, probes: int) -> DataFrame:
-    """Places of an item to look up: the rarest ``probes`` of each window, ``(item_key, place, term, needed)``.
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """Distinct windows ``(item_key, start, words, ids)``: the first place of each, and the items that hold it."""
+    width = F.least(F.lit(window), F.col("n"))
+    each = items.select("item_key", "ids", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("n") - width + 1),
+        lambda start: F.struct(start.alias("start"), F.slice("words", start, width).alias("words")),
+    )).alias("window"))
+    return each.groupBy("window.words").agg(
+        F.min(F.struct("item_key", F.col("window.start").alias("start"))).alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"),
+    ).select("first.item_key", "first.start", "words", "ids")
+
+
+def rarest_terms(terms: DataFrame, frequencies: DataFrame, windows: DataFrame, window: int, probes: int) -> DataFrame:
+    """Places of an item to look up: the rarest ``probes`` of each distinct window, ``(item_key, place, term,
+    starts, needed)``, with the windows that ask for them.
 
     A window with a term that no document holds occurs nowhere and asks for nothing.
     """
@@ -83,27 +99,34 @@ def rarest_terms(terms: DataFrame, frequencies: DataFrame, window: int, probes:
         "item_key", "place", "term", width.alias("width"), F.coalesce("frequency", F.lit(0)).alias("frequency"),
         F.explode(F.sequence(F.greatest(F.lit(1), F.col("place") - width + 1),
                              F.least(F.col("place"), F.col("n") - width + 1))).alias("start"),
-    )
+    ).join(windows.select("item_key", "start"), ["item_key", "start"], "left_semi")
     one_window = Window.partitionBy("item_key", "start")
     ranked = counted.select(
         "*", F.min("frequency").over(one_window).alias("least"),
         F.row_number().over(one_window.orderBy("frequency", "place")).alias("rank"),
     )
     return ranked.filter((F.col("least") > 0) & (F.col("rank") <= probes)).groupBy("item_key", "place", "term").agg(
-        F.least(F.lit(probes), F.min("width")).alias("needed")
+        F.collect_list("start").alias("starts"), F.least(F.lit(probes), F.min("width")).alias("needed")
     )
 
 
-def candidates(index: DataFrame, items: DataFrame, window: int = WINDOW, probes: int = PROBES) -> DataFrame:
-    """Where items may occur: ``(doc_id, text_key, item_key, before)``, an item's word ``p`` at ``before + p``."""
+def candidates(
+    index: DataFrame, items: DataFrame, windows: DataFrame, window: int = WINDOW, probes: int = PROBES
+) -> DataFrame:
+    """Where windows may occur: ``(doc_id, text_key, item_key, start, places)``, the word numbers where they would begin."""
     terms = item_terms(items)
     frequencies = index.groupBy("term").agg(F.count("*").alias("frequency"))
-    lookups = stored(rarest_terms(terms, frequencies, window, probes), "lookups")
-    return index.join(small(lookups), "term").groupBy(
+    lookups = stored(rarest_terms(terms, frequencies, windows, window, probes), "lookups")
+    agreeing = index.join(small(lookups), "term").groupBy(
         "doc_id", "text_key", "item_key", (F.col("pos") - F.col("place")).alias("before")
-    ).agg(F.count("*").alias("_agreeing"), F.max("needed").alias("_needed")).filter(
-        F.col("_agreeing") >= F.col("_needed")
-    ).drop("_agreeing", "_needed")
+    ).agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"), F.max("needed").alias("needed"))
+    # A window is named as often as its terms agree; in order, its names stand together.
+    named = F.array_distinct(F.filter(
+        "starts", lambda start, i: F.coalesce(F.get("starts", i + F.col("needed") - 1) == start, F.lit(False))
+    ))
+    return agreeing.select("doc_id", "text_key", "item_key", "before", F.explode(named).alias("start")).groupBy(
+        "doc_id", "text_key", "item_key", "start"
+    ).agg(F.collect_list(F.col("before") + F.col("start")).alias("places"))
 
 
 def phrase_matches(
@@ -115,11 +138,12 @@ def phrase_matches(
     each other term at most ``slop`` words from its own.
     """
     items = stored(item_words(benchmark), "items")
+    windows = stored(item_windows(items, window), "windows")
     index = build_index(documents, item_terms(items))
     # One list names the place of a proximity match; the others need not agree on it exactly.
-    found = candidates(index, items, window, probes if slop == 0 else 1)
-    per_document = found.join(small(items, 10_000), "item_key").groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("ids", "words", "before")).alias("candidates")
+    found = candidates(index, items, windows, window, probes if slop == 0 else 1)
+    per_document = found.join(small(windows, 50_000), ["item_key", "start"]).groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct("ids", "words", "places")).alias("candidates")
     ).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "candidates")
     rows = whole_rows(documents, text=F.col("text"), doc_id=F.col("doc_id"), text_key=F.xxhash64("text"))
     opened = rows.join(
@@ -132,34 +156,29 @@ def phrase_matches(
     )
     ready = computed(split.select("row", "candidates", "_framed"), _words=lowered)
 
-    def occurs(candidate: Column, start: Column, width: Column) -> Column:
-        place = candidate["before"] + start
+    def occurs(candidate: Column, place: Column, width: Column) -> Column:
         if slop == 0:
-            return F.slice("_words", place + 1, width) == F.slice(candidate["words"], start, width)
+            return F.slice("_words", place + 1, width) == candidate["words"]
         return F.forall(
             F.sequence(F.lit(0), width - 1),
             lambda i: F.array_contains(
                 F.slice("_words", F.greatest(F.lit(1), place + i - slop) + 1, F.lit(2 * slop + 1)),
-                F.element_at(candidate["words"], start + i),
+                F.element_at(candidate["words"], i + 1),
             ),
         )
 
-    def windows(candidate: Column) -> Column:
-        width = F.least(F.lit(window), F.size(candidate["words"]))
-        # Only starts that leave the whole window inside the document.
-        first = F.greatest(F.lit(1), 1 - candidate["before"])
-        last = F.least(
-            F.size(candidate["words"]) - width + 1, F.size("_words") - 1 - width - candidate["before"]
-        )
-        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            F.filter(starts, lambda start: occurs(candidate, start, width)),
-            lambda start: F.struct(
-                candidate["ids"].alias("ids"), (candidate["before"] + start).alias("start"), width.alias("width")
-            ),
+    def occurring(candidate: Column) -> Column:
+        width = F.size(candidate["words"])
+        # Only places that leave the whole window inside the document.
+        inside = F.filter(
+            candidate["places"],
+            lambda place: (place >= 1) & (place + width <= F.size("_words") - 1) & occurs(candidate, place, width),
         )
+        return F.transform(inside, lambda place: F.struct(
+            candidate["ids"].alias("ids"), place.alias("start"), width.alias("width")
+        ))
 
-    matches = F.flatten(F.transform("candidates", windows))
+    matches = F.flatten(F.transform("candidates", occurring))
     return computed(
         ready.select("row", (F.size("_framed") - 2).cast("bigint").alias("n_words"), "candidates", "_words"),
         matches=matches,
