@@ -111,6 +111,7 @@ WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM sizes GROUP BY source
 ), ordered AS (
@@ -122,15 +123,20 @@ WITH sizes AS (
   SELECT *, max(CASE WHEN cap > (total - caps_before) / weight_left * weight THEN (total - caps_before) / weight_left END) OVER () AS level
   FROM ordered
 ), targets AS (
-  SELECT source, source_size, round(CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END, 6)::DOUBLE AS target FROM levels
+  SELECT source, source_size, kind, round(CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END, 6)::DOUBLE AS target FROM levels
 ), placed AS (
-  SELECT s.*, source_size, target, round(target)::BIGINT AS aim,
+  SELECT s.*, source_size, target, kind, round(target)::BIGINT AS aim,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), taking AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE aim // source_size END AS whole,
+    CASE WHEN source_size = 0 THEN 0 ELSE greatest(0, least(size, aim % source_size - before)) END AS part, before / target AS share
+  FROM placed
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size = 0 THEN 0 ELSE aim // source_size * size + greatest(0, least(size, aim % source_size - before)) END)::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, (whole * size + part)::BIGINT AS taken,
+  CASE WHEN whole * size + part > 0 THEN round(CASE kind WHEN 0 THEN 1 - sqrt(1 - share) WHEN 1 THEN share ELSE sqrt(share) END, 9) END AS position,
+  (CASE WHEN whole * size + part > 0 THEN whole + (part > 0)::INT ELSE 0 END)::BIGINT AS n_passes
+FROM taking
 """
 
 SQL["op9_warc"] = r"""

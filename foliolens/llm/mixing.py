@@ -23,6 +23,8 @@ from pyspark.sql import Window
 from foliolens.llm.common import stored, whole_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
+# Weight at the beginning and at the end of training, as multiples of the mean.
+SHAPES = ((2.0, 0.0), (1.0, 1.0), (0.0, 2.0))
 MAX_REPEATS = 3
 PASSES = "array<struct<pass:bigint,words:bigint,position:double>>"
 
@@ -42,12 +44,15 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 def default_schedules(sources: DataFrame) -> DataFrame:
-    """Constant schedules 5, 2, 1, repeating, by the sources' code-point order, null last."""
+    """Weights 5, 2, 1, repeating, by the sources' code-point order, null last: the first kind falls to 0 over
+    the time, the second stays, the third grows from 0, each with its weight as its mean."""
     # One row per source: the table is as small as the list of sources.
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS)))
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), turn + 1)
-    return sources.select("source", F.array(weight, weight).alias("schedule"))
+    shapes = F.array(*[
+        F.array(F.lit(weight * first), F.lit(weight * last)) for weight, (first, last) in zip(WEIGHTS, SHAPES)
+    ])
+    return sources.select("source", F.element_at(shapes, turn + 1).alias("schedule"))
 
 
 def integral(schedule: Column) -> Column:
@@ -187,7 +192,7 @@ def mix(documents: DataFrame, schedules: DataFrame | None = None, max_repeats: i
 
 def planned(documents: DataFrame, plan: DataFrame, added: list[str]) -> DataFrame:
     """The documents with their rows of the plan, sorted by position over all files, with the columns
-    ``added`` of the plan (in their place if a column has that name)."""
+    ``added`` of the plan (behind ``mix_`` if the documents have a column of that name)."""
     keys = ["doc_id", "source", "text_key", "copy"]
     plan = plan.select(*[F.col(key).alias(f"_{key}") for key in keys], F.struct(*added).alias("_plan"))
     rows = whole_rows(documents, doc_id=F.col("doc_id"), source=F.col("source"), text_key=F.xxhash64("text"))
@@ -196,11 +201,17 @@ def planned(documents: DataFrame, plan: DataFrame, added: list[str]) -> DataFram
     ))
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
     own = numbered.join(plan, same)
-    kept = [name for name in documents.columns if name.lower() not in added]
+    taken = {name.lower() for name in documents.columns}
+    names = {}
+    for name in added:
+        names[name] = name
+        while names[name] in taken:
+            names[name] = f"mix_{names[name]}"
+        taken.add(names[name])
     return own.select(
-        *[F.col("row").getField(name).alias(name) for name in kept],
-        *[F.col("_plan").getField(name).alias(name) for name in added],
-    ).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+        *[F.col("row").getField(name).alias(name) for name in documents.columns],
+        *[F.col("_plan").getField(name).alias(names[name]) for name in added],
+    ).repartitionByRange(names["position"], "doc_id").sortWithinPartitions(names["position"], "doc_id")
 
 
 def curriculum(documents: DataFrame, schedules: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:

@@ -118,9 +118,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(scan_table(spark, folder, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken"
+    mixed = mixing.mix(scan_table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"),
+        F.size("passes").cast("bigint").alias("n_passes"),
     )
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 @query

@@ -442,3 +442,65 @@ def test_long_chains_connect(spark):
     assert {r.root for r in simhash.connected(edges).collect()} == {0}
 
 
+# --- faults of earlier rounds
+
+
+def test_conversations_of_any_number_of_turns(spark):
+    rows = [(1, 0, "user", "hi"), (2, 0, "assistant", None), (3, 0, "user", "q"), (3, 1, "assistant", "a"),
+            (4, 0, "assistant", "a"), (4, 1, "user", "q"), (5, None, None, "x"), (5, 1, "user", "y"), (None, 0, "user", "n")]
+    records = chat.from_rows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    out = chat.format_chat(records).select("row.conv_id", "layout", chat.read_chat(F.col("formatted")).alias("turns"))
+    found = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in out.collect()}
+    assert found == {
+        1: ("messages", [("user", "hi")]), 2: ("messages", [("assistant", "")]),
+        3: ("prompt-response", [("user", "q"), ("assistant", "a")]), 4: ("messages", [("assistant", "a"), ("user", "q")]),
+        5: ("messages", [("", "x"), ("user", "y")]), None: ("messages", [("user", "n")]),
+    }
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.format_chat(chat.from_rows(none)).count() == 0
+
+
+def test_archives_grow_by_each_write(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    pages = [spark.createDataFrame([(i, f"u{i}", f"p{i}")], "page_id bigint, url string, html string") for i in range(4)]
+    for frame in pages[:3]:
+        warc.write_archive(frame, path)
+    assert sorted(r.page_id for r in warc.read_archive(spark, path).collect()) == [0, 1, 2]
+    warc.write_archive(pages[0].limit(0), path)
+    assert warc.read_archive(spark, path).count() == 3
+    warc.write_archive(pages[3], path, mode="overwrite")
+    assert [r.page_id for r in warc.read_archive(spark, path).collect()] == [3]
+    warc.write_archive(pages[0].limit(0), f"file://{tmp_path}/b")
+    assert warc.read_archive(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_columns_of_the_plan_do_not_hide_those_of_the_documents(spark):
+    names = ["size", "taken", "target", "pass", "words", "position", "source_size", "Passes", "mix_size"]
+    documents = spark.createDataFrame(
+        [(1, "a b c", "s", *names), (2, "d", "t", *names)],
+        "doc_id bigint, text string, source string, " + ", ".join(f"`{name}` string" for name in names),
+    )
+    for made in (mixing.curriculum(documents), mixing.training_order(documents)):
+        rows = made.collect()
+        assert made.columns[: len(documents.columns)] == documents.columns
+        assert rows and all(row[name] == name for row in rows for name in names)
+        assert {row["mix_mix_size"] for row in rows} == {1, 3} and all(row["mix_position"] >= 0 for row in rows)
+
+
+@pytest.mark.parametrize("unit", ["again", "one two", "a b c d e f g"])
+def test_repeated_words_cost_no_more_than_their_postings(spark, unit):
+    count = len(unit.split())
+    documents = spark.createDataFrame([(1, " ".join([unit] * (20_000 // count))), (2, "something else")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join([unit] * (2_000 // count))), (2, " ".join([unit] * (40 // count)) + " end"),
+                                   (3, "only other words")], BENCHMARK)
+    rows = {r.doc_id: r for r in decontamination.contamination(documents, items).select("row.doc_id", "n_words", "n_hit", "item_ids").collect()}
+    assert rows[1].n_hit == rows[1].n_words == 20_000 // count * count and rows[1].item_ids == ["1", "2"] and rows[2].n_hit == 0
+
+
+def test_windows_of_an_item_count_one_by_one(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[10:23] + ["x"] + words[30:]), " ".join(words[:12]), " ".join(["y"] + words + words[:13]), "again " * 30]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:30])), (3, "again again again")], BENCHMARK)
+    rows = {r.doc_id: (r.n_hit, r.item_ids) for r in decontamination.contamination(documents, items).select("row.doc_id", "n_hit", "item_ids").collect()}
+    assert rows == {0: (13, ["1", "2"]), 1: (0, []), 2: (53, ["1", "2"]), 3: (30, ["3"])}
