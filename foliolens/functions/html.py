@@ -7,6 +7,9 @@ tags of the names asked for, depths are counted per name, and each start is matc
 the end at its depth.  The work grows with the markup, not with its square.
 
 An element without an end tag ends at the next tag of its name.
+
+Patterns take a tag to end at its first ``>``.  ``without_code`` makes that true: it reads odd
+pages tag by tag, quotes included, and writes angle brackets that are no marks as references.
 """
 
 from __future__ import annotations
@@ -32,16 +35,50 @@ _ENDS_ITEM = "</(?:li|ul|ol)|<li"
 _CHUNK = 128
 
 
+# What may stand in a tag after its name: a quoted value may hold brackets.  All repeats are
+# possessive, so that long tags are read in one go.
+IN_TAG = r"""(?:[^"'<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
+# An angle bracket in a quoted value, or one that begins no tag, comment or declaration.
+_ODD = r"""=\s*+(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])|<(?![a-zA-Z/!?])"""
+_TOKENS = "|".join((
+    "<!--(?:.*?-->|.*)", rf"<script\b{IN_TAG}>(?:.*?</script\s*>|.*)", rf"<style\b{IN_TAG}>(?:.*?</style\s*>|.*)",
+    rf"</?[a-z]{IN_TAG}>", "<[!?][^<>]*+>", "[^<]++", "<",
+))
+
+
+def tag_by_tag(html: ColumnOrName) -> Column:
+    """Markup without code in which ``<`` and ``>`` only stand around tags, comments and declarations left out.
+
+    Inside quoted values, and where a ``<`` begins nothing, they are written as references.
+    """
+    def token(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.char_length(piece) - 2)
+        return (
+            F.when(~F.startswith(piece, F.lit("<")), piece)
+            .when(piece.rlike(r"(?i)^<(?:!|\?|(?:script|style)\b)"), F.lit(""))
+            .when(piece.rlike("(?is)^</?[a-z].*>$"), F.concat(
+                F.lit("<"), F.replace(F.replace(inner, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit(">")
+            ))
+            .otherwise(F.lit("<"))
+        )
+
+    pieces = F.transform(F.regexp_extract_all(text_or_empty(html), F.lit(f"(?is){_TOKENS}"), F.lit(0)), token)
+    # A bracket alone that a name follows is a tag cut off at the page's end; any other is text.
+    return F.regexp_replace(F.array_join(pieces, ""), "<(?![a-zA-Z/])", "&lt;")
+
+
 def without_code(html: ColumnOrName) -> Column:
     """Markup without comments, scripts and styles, whose text is not content.
 
-    One that is never closed takes the rest of the page, as in browsers.
+    One that is never closed takes the rest of the page, as in browsers.  Most pages hold no angle
+    bracket but around tags; only the others are read tag by tag.
     """
-    return F.regexp_replace(
+    plain = F.regexp_replace(
         text_or_empty(html),
         r"(?is)<!--(?:.*?-->|.*)|<script\b[^<>]*>(?:.*?</script\s*>|.*)|<style\b[^<>]*>(?:.*?</style\s*>|.*)",
         "",
     )
+    return F.when(as_column(html).rlike(_ODD), tag_by_tag(html)).otherwise(plain)
 
 
 def _sql_text(text: str) -> str:

@@ -61,7 +61,7 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
             f"CASE WHEN size({_SENTENCES}) <= n THEN {whole} ELSE {first} END",
         ),
         "fl_digits_count": (
-            "t STRING", "BIGINT", "coalesce(try_cast(regexp_replace(coalesce(t, ''), '[^0-9]', '') AS BIGINT), 0)",
+            "t STRING", "BIGINT", "if(coalesce(t, '') RLIKE '[0-9]', try_cast(regexp_replace(t, '[^0-9]', '') AS BIGINT), 0L)",
         ),
         "fl_contains_ci_either": (
             "a STRING, b STRING", "BOOLEAN", "contains(lower(a), lower(b)) OR contains(lower(b), lower(a))",

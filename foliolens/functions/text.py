@@ -175,11 +175,10 @@ def summary(text: ColumnOrName, max_sentences: int = 3) -> Column:
 def digits_count(text: ColumnOrName) -> Column:
     """All digits of a text read as one number: ``12,345`` is 12345, ``1.2K`` is 12.
 
-    A number past BIGINT is the largest one.
+    No digits are 0; a number past BIGINT is null.
     """
     digits = F.regexp_replace(text_or_empty(text), "[^0-9]", "")
-    most = F.when(digits != "", 2**63 - 1).otherwise(0).cast("bigint")
-    return F.coalesce(digits.try_cast("bigint"), most)
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
 
 
 def suffix_count(text: ColumnOrName) -> Column:

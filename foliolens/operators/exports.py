@@ -7,7 +7,7 @@ packs small authors together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
@@ -214,9 +214,17 @@ def sink_json(bundle: DataFrame, path: str) -> None:
 def sink_csv(rows: DataFrame, path: str) -> None:
     """Quoted CSV with a header; inner quotes are doubled.  No rows give header-only files."""
     writer = rows.write.mode("append").option("header", True).option("quoteAll", True)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("quote", '"').option("escape", '"').csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """What ``sink_csv`` wrote, all columns as text."""
+    schema = ", ".join(f"`{name}` string" for name in columns)
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return reader.option("emptyValue", "").csv(path)
+
+
 def sink_html_rows(report: DataFrame, path: str) -> None:
     """Report rows as text; the page frame is constant and added when serving the folder."""
     report.select("row").write.mode("append").text(path)

@@ -16,12 +16,41 @@ from foliolens.functions import dates, html as H, text as X
 from foliolens.operators import markup as M
 
 
+def balanced_object(text: Column) -> Column:
+    """The object that the text begins with, up to the brace that closes it; null if none does.
+
+    Braces inside quoted strings do not count.
+    """
+    # Strings and all between braces are one token each; a quote that is never closed is one alone.
+    tokens = F.regexp_extract_all(text, F.lit(r"""(?s)"(?:[^"\\]++|\\.)*+"|[{}"]|[^{}"]++"""), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        closes = (state["end"] == 0) & (token == "}") & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), (state["at"] + 1).alias("at"), F.when(closes, state["at"] + 1).otherwise(state["end"]).alias("end")
+        )
+
+    return X.bind(tokens, lambda own: X.bind(
+        F.aggregate(own, start, step, lambda state: state["end"]),
+        lambda end: F.when(end > 0, F.array_join(F.slice(own, F.lit(1), end), "")),
+    ))
+
+
 def embedded_state(html: Column) -> Column:
-    """Text of the embedded state object, up to the last closing brace; else null."""
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
-    marked = F.filter(scripts, lambda s: s.rlike(V.STATE_MARKER + r"\s*="))
-    body = F.regexp_extract(F.get(marked, 0), rf"(?s){V.STATE_MARKER}\s*=\s*(\{{.*\}})", 1)
-    return F.nullif(body, F.lit(""))
+    """Text of the embedded state object, up to the brace that closes it; else null.
+
+    A script runs to the first end tag after it, so each piece of the page between end tags holds
+    one at most; what follows the last end tag is no closed script.
+    """
+    marker = V.STATE_MARKER + r"\s*="
+    pieces = F.split(html, r"(?i)</script\s*>", -1)
+    marked = F.filter(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda piece: piece.rlike(marker))
+    scripts = F.transform(marked, lambda piece: F.regexp_extract(piece, rf"(?is)<script\b{H.IN_TAG}>(.*)$", 1))
+    script = F.get(F.filter(scripts, lambda s: s.rlike(marker)), 0)
+    body = F.nullif(F.regexp_extract(script, rf"(?s){marker}\s*(\{{.*)$", 1), F.lit(""))
+    return balanced_object(body)
 
 
 def state_map(state: Column) -> Column:

@@ -74,10 +74,14 @@ def comment_totals(comments: DataFrame, group_keys: tuple[str, ...] = ()) -> Dat
 
 
 def source_success(attempts: DataFrame, source: str = "source") -> DataFrame:
-    """Successes and failures per source; ``attempts.success`` is a boolean."""
+    """Successes and failures per source; ``attempts.success`` is a boolean.
+
+    Attempts whose outcome is null are counted by themselves and are no part of total and rate.
+    """
     grouped = attempts.groupBy(source).agg(
         F.count_if("success").alias("successful_requests"),
         F.count_if(~F.col("success")).alias("failed_requests"),
+        F.count_if(F.col("success").isNull()).alias("unknown_requests"),
     )
     total = F.col("successful_requests") + F.col("failed_requests")
     return grouped.withColumn("total_requests", total).withColumn(

@@ -502,7 +502,8 @@ def expected_sql() -> dict[str, str]:
         "event_counters": f"""WITH c AS (SELECT user_id, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS session_duration, {COUNTERS} FROM events GROUP BY 1)
             SELECT *, {SUCCESS} FROM c""",
         "source_success": f"""WITH t AS (SELECT source, count(*) FILTER (quality = 1) AS successful_requests, count(*) FILTER (quality <> 1) AS failed_requests,
-            count(*) AS total_requests FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+            count(*) FILTER (quality IS NULL) AS unknown_requests, count(quality) AS total_requests
+            FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
             SELECT *, {percent('successful_requests', 'total_requests')} AS success_rate FROM t""",
         "comment_totals": "SELECT count(*) AS total_comments_scraped FROM conversations",
         # windows, order, sets

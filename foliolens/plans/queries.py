@@ -234,8 +234,10 @@ def rows_plus_summary(spark, folder):
 def sink_csv(spark, folder):
     rows = exports.export_rows(with_words(spark, folder, preview=exports.preview("text")), SCRAPED_AT, "article_id")
     path = new_folder(spark, "csv")
-    exports.csv_line(rows, "article_id").write.parquet(path)
-    return spark.read.schema("article_id bigint, line string").parquet(path)
+    exports.sink_csv(rows, path)
+    return exports.csv_line(exports.read_csv(spark, path, rows.columns), "article_id").withColumn(
+        "article_id", F.col("article_id").cast("bigint")
+    )
 
 
 @query
@@ -873,7 +875,7 @@ def event_counters(spark, folder):
 @query
 def source_success(spark, folder):
     labelled = table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("success"))
-    attempts = documents(spark, folder).select("doc_id", "source").join(labelled, "doc_id")
+    attempts = documents(spark, folder).select("doc_id", "source").join(labelled, "doc_id", "left")
     return as_doubles(stats.source_success(attempts), "success_rate")
 
 
@@ -960,9 +962,7 @@ def stream_dedupe(spark, folder):
     stream = T.stream_events(spark, folder).select(
         F.concat(F.lit(f"{A.ORIGIN}/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("url"), "ts"
     )
-    return jobs.run_available(
-        jobs.stream_dedupe(stream, delay="30 days").select("url"), new_folder(spark, "dedupe")
-    )
+    return jobs.stream_dedupe(stream, new_folder(spark, "dedupe")).select("url")
 
 
 @query
