@@ -219,10 +219,11 @@ def sink_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """What ``sink_csv`` wrote, all columns as text."""
+    """What ``sink_csv`` wrote, all columns as text.  CSV does not tell null from empty: both are empty."""
     schema = ", ".join(f"`{name}` string" for name in columns)
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.option("emptyValue", "").csv(path)
+    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    return reader.csv(path).fillna("")
 
 
 def sink_html_rows(report: DataFrame, path: str) -> None:
