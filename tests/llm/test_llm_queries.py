@@ -124,7 +124,7 @@ def brute_pipeline(spark, sf_dir, texts, scores):
     connection.execute("CREATE OR REPLACE TEMP TABLE mixed(doc_id BIGINT, text VARCHAR, source VARCHAR)")
     connection.executemany("INSERT INTO mixed VALUES (?, ?, ?)", docs)
     sql = SQL["op8_mixing"].replace("AS size FROM documents", "AS size FROM mixed")
-    return {doc[0]: doc[1] for doc in docs}, set(connection.execute(f"SELECT * FROM ({sql}) WHERE taken > 0").fetchall())
+    return {doc[0]: doc[1] for doc in docs}, set(connection.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({sql}) WHERE taken > 0").fetchall())
 
 
 def test_pipeline(spark, sf_dir, texts):
