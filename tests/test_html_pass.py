@@ -94,3 +94,35 @@ def test_unclosed_tags_cost_time_in_proportion(spark, build, piece):
     seconds(spark, build(), piece * 1000)
     few, many = seconds(spark, build(), piece * 16_000), seconds(spark, build(), piece * 64_000)
     assert many < 10 * few + 1  # four times the tags; squared growth would be sixteen times
+
+
+@pytest.mark.parametrize("html, texts", [
+    ('<p title="a>b">hello</p>', ["hello"]),
+    ("<p>5 <6 and 7> 8</p>", ["5 <6 and 7> 8"]),
+    ("<p title='x<b>y' data=\"</p>\">z</p><p>q", ["z", "q"]),
+    ('<p a="1>2"><!-- x --><script t="a>b">var a="<p>no</p>"</script>yes</p><p', ["yes"]),
+    ("a < b <p>c <", ["c <"]),
+    ('<p title="never closed>t</p>', ["t"]),
+])
+def test_brackets_that_are_no_marks(one, html, texts):
+    assert one(H.paragraph_texts(H.without_code("html")), html) == texts
+
+
+def test_state_ends_at_its_own_brace(one):
+    state = "window.__APOLLO_STATE__ = "
+    for html, wanted in (
+        (f'<script>{state}{{"a":"}}{{\\"","b":{{"c":1}}}}; window.x={{}}</script>', '{"a":"}{\\"","b":{"c":1}}'),
+        (f'<script>{state}{{"a":1', None), (f'<script>{state}{{"a":1</script>', None), (f"<script>{state}5</script>", None),
+        (f'<p>{state}{{}}</p><script a="x>y">{state}{{"x":{{}}}} </script>', '{"x":{}}'),
+    ):
+        assert one(S.embedded_state(F.col("html")), html) == wanted
+
+
+def test_unclosed_scripts_take_linear_time(one):
+    def seconds(count):
+        begin = time.perf_counter()
+        assert one(S.embedded_state(F.col("html")), "<script>window.__APOLLO_STATE__ = {" * count) is None
+        return time.perf_counter() - begin
+
+    seconds(100)
+    assert seconds(64_000) < 10
