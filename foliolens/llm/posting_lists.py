@@ -21,7 +21,7 @@ a task of its own, so that a large list or a frequent query is spread.
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take
 no part, nor do rows without an id, which no result could name; vectors of unequal length are
 compared as if the shorter one ended in zeros; equal rows count once; a row's own id is never its
-neighbour, also where that id has several vectors; with fewer than ``k`` candidates all are
+neighbour, so that an id with several vectors may get fewer than ``k``; with fewer than ``k`` candidates all are
 returned; empty tables give empty results; other columns are not read.
 """
 
