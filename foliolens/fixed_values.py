@@ -56,6 +56,14 @@ EXPORT_COLUMNS = (
     "Content Summary", "Comments Count", "Paywall Type", "Scraped At",
 )
 
+# The eleven headings of the report, and its texts where there is nothing to show.
+REPORT_COLUMNS = (
+    "Title", "Author", "Date", "Reading Time", "Claps", "Responses", "Tags", "Publication", "Premium",
+    "Word Count", "URL",
+)
+NO_ARTICLES = "No articles found"
+NO_AUTHOR = "Unknown Author"
+
 # Names of the eight session counters in the metric report.
 METRIC_NAMES = (
     "Session Duration", "Articles Scraped", "Errors", "Warnings", "Retries",

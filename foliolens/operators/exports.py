@@ -7,7 +7,10 @@ packs small authors together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import html
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
@@ -96,7 +99,7 @@ def summary_row(stats: DataFrame, scraped_at: str) -> DataFrame:
 def export_with_summary(rows: DataFrame, summary: DataFrame) -> DataFrame:
     """Export rows as text plus the summary, told apart by ``row_kind`` (0 rows, 1 summary).
 
-    Sort by ``row_kind`` when writing to put the summary last.
+    For a document with the summary last see ``sink_csv_report``, which sorts nothing.
     """
     as_text = rows.select(
         F.lit(0).alias("row_kind"),
@@ -105,7 +108,7 @@ def export_with_summary(rows: DataFrame, summary: DataFrame) -> DataFrame:
     return as_text.unionByName(summary.withColumn("row_kind", F.lit(1)))
 
 
-def html_report_row(articles: DataFrame, key: str = "article_id") -> DataFrame:
+def html_report_row(articles: DataFrame, key: str = "article_id", *keep: str) -> DataFrame:
     """One escaped ``<tr>`` of eleven cells per article."""
     articles = with_missing_fields(articles)
     cells = (
@@ -117,7 +120,7 @@ def html_report_row(articles: DataFrame, key: str = "article_id") -> DataFrame:
         _number("word_count").cast("string"), X.html_escape("url"),
     )
     wrapped = [F.concat(F.lit("<td>"), cell, F.lit("</td>")) for cell in cells]
-    return articles.select(key, F.concat(F.lit("<tr>"), *wrapped, F.lit("</tr>")).alias("row"))
+    return articles.select(key, *keep, F.concat(F.lit("<tr>"), *wrapped, F.lit("</tr>")).alias("row"))
 
 
 def public_articles(articles: DataFrame) -> DataFrame:
@@ -164,15 +167,19 @@ def public_stats(articles: DataFrame, comments: DataFrame, time_taken: str) -> D
     ).withColumn("time_taken", F.lit(time_taken))
 
 
-def csv_line(rows: DataFrame, *keep: str) -> DataFrame:
-    """Each export row as one CSV line: texts quoted, numbers and flags bare."""
-    bare = {
+BARE_CELLS = frozenset(
+    {
         "Reading Time (minutes)", "Claps", "Responses", "Is Premium", "Word Count", "Comments Count",
         "Paywall Type",
     }
+)
+
+
+def csv_line(rows: DataFrame, *keep: str) -> DataFrame:
+    """Each export row as one CSV line: texts quoted, numbers and flags bare."""
     cells = [
         F.col(f"`{name}`").cast("string")
-        if name in bare
+        if name in BARE_CELLS
         else F.concat(F.lit('"'), X.csv_escape(F.col(f"`{name}`")), F.lit('"'))
         for name in V.EXPORT_COLUMNS
     ]
@@ -227,10 +234,114 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def sink_html_rows(report: DataFrame, path: str) -> None:
-    """Report rows as text; the page frame is constant and added when serving the folder."""
+    """Report rows alone, as text; ``sink_html_report`` writes the whole document."""
     report.select("row").write.mode("append").text(path)
 
 
+def sink_framed(
+    lines: DataFrame,
+    path: str,
+    head: Callable[[dict], list[str]],
+    foot: Callable[[dict], list[str]],
+    empty: str,
+    **totals: Column,
+) -> dict:
+    """Writes ``lines.line`` between a head and a foot that may name totals of the rows.
+
+    The rows are written once, by all tasks, to ``rows``; ``totals`` (and ``n_lines``) are observed in
+    that same write, and ``head`` and ``foot`` follow from them.  No row is sorted or gathered.
+    Without rows the head is ``empty`` and there is no foot line.  The document is complete once
+    its foot is, which comes last; its parts, read in the order head, rows, foot, are the document.
+    A document that is there already is written anew: its foot goes first, and with it its mark.
+    Returns the totals.
+    """
+    spark = lines.sparkSession
+
+    def write_part(name: str, texts: list[str]) -> None:
+        rows = spark.createDataFrame([(text,) for text in texts], "line string").coalesce(1)
+        rows.write.mode("overwrite").text(f"{path}/{name}")
+
+    _drop_part(spark, f"{path}/foot")
+    seen = Observation()
+    observed = lines.observe(seen, F.count(F.lit(1)).alias("n_lines"), *[c.alias(n) for n, c in totals.items()])
+    observed.select("line").write.mode("overwrite").text(f"{path}/rows")
+    counted = dict(seen.get)
+    write_part("head", head(counted) if counted["n_lines"] else [empty])
+    write_part("foot", foot(counted) if counted["n_lines"] else [])
+    return counted
+
+
+def _path_of(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _drop_part(spark: SparkSession, folder: str) -> None:
+    path, system = _path_of(spark, folder)
+    system.delete(path, True)
+
+
+def read_framed(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, line)`` of a complete document: part 0 is the head, 1 the rows, 2 the foot."""
+    mark, system = _path_of(spark, f"{path}/foot/_SUCCESS")
+    if not system.exists(mark):
+        raise ValueError(f"no complete document in {path}")
+    parts = [
+        spark.read.schema("line string").text(f"{path}/{name}").select(F.lit(i).cast("bigint").alias("part"), "line")
+        for i, name in enumerate(("head", "rows", "foot"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sink_csv_report(rows: DataFrame, path: str, summary: Callable[[dict], dict[str, str]], **totals: Column) -> dict:
+    """The 24 columns as a CSV document: a heading line, the rows, and the closing statistics line.
+
+    ``summary`` gives the cells of that line from the totals, which are aggregates over ``rows``.
+    """
+
+    def closing(counted: dict) -> list[str]:
+        cells = summary(counted)
+        quoted = {"Author Name", "Author URL", "Content Summary", "Paywall Type", "Scraped At"}
+        escaped = {name: cells.get(name, "").replace('"', '""') for name in V.EXPORT_COLUMNS}
+        return [",".join(f'"{text}"' if name in quoted else text for name, text in escaped.items())]
+
+    lines = csv_line(rows, *[name for name in rows.columns if name not in V.EXPORT_COLUMNS])
+    return sink_framed(lines, path, lambda _: [",".join(V.EXPORT_COLUMNS)], closing, V.NO_ARTICLES, **totals)
+
+
+def sink_html_report(
+    articles: DataFrame, path: str, author_name: str | None, scraped_at: str,
+    rates: Callable[[dict], dict], key: str = "article_id", **totals: Column,
+) -> dict:
+    """The report as an HTML document: title, totals, a table of eleven columns, one row per article.
+
+    ``rates`` gives ``total_articles``, ``success_rate`` and ``paywall_rate`` from the totals, which
+    are aggregates over ``articles``.
+    """
+    title = html.escape(f"{V.SITE_LABEL} Articles - {author_name or V.NO_AUTHOR}", quote=True)
+
+    def head(counted: dict) -> list[str]:
+        shown = rates(counted)
+        told = {
+            "Scraped At": scraped_at, "Total Articles": shown["total_articles"],
+            "Success Rate": f"{shown['success_rate']}%", "Paywall Rate": f"{shown['paywall_rate']}%",
+        }
+        return [
+            f'<html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>',
+            *[f"<p><strong>{name}:</strong> {html.escape(str(value))}</p>" for name, value in told.items()],
+            "<table><thead><tr>" + "".join(f"<th>{name}</th>" for name in V.REPORT_COLUMNS) + "</tr></thead><tbody>",
+        ]
+
+    lines = html_report_row(articles, key, *totals_columns(articles, key)).withColumnRenamed("row", "line")
+    empty = f"<html><body><p>{V.NO_ARTICLES}</p></body></html>"
+    return sink_framed(lines, path, head, lambda _: ["</tbody></table></body></html>"], empty, **totals)
+
+
+def totals_columns(articles: DataFrame, key: str) -> list[str]:
+    """Columns of the articles that totals may name."""
+    return [name for name in ("is_premium", "barrier_type", "published_at", "scraped_at") if name in articles.columns and name != key]
+
+
 def sink_by_author(rows: DataFrame, path: str, author: str = "author") -> None:
     """JSON lines in one folder per author slug, balanced over files."""
     slugged = rows.withColumn("author_slug", X.file_slug(author))

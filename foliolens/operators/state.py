@@ -279,19 +279,22 @@ def assemble_article(
     include_content: bool = True,
     include_comments: bool = False,
     include_publication: bool = True,
+    keep: tuple[str, ...] = (),
+    cleaned: Column | None = None,
 ) -> DataFrame:
-    """Article rows with the optional parts that were asked for.
+    """Article rows with the optional parts that were asked for, after the columns named in ``keep``.
 
-    A part that is not asked for is never selected, so it is never extracted.
+    A part that is not asked for is never selected, so it is never extracted.  ``cleaned`` is the
+    markup without code where it has been worked out already.
     """
     read = pages.select(
-        "page_id", "url",
+        "page_id", "url", *keep,
         embedded_state(F.col("html")).alias("state"),
-        H.without_code("html").alias("markup"),
-    ).select("page_id", "url", "markup", "state", state_map(F.col("state")).alias("records"))
+        (H.without_code("html") if cleaned is None else cleaned).alias("markup"),
+    ).select("page_id", "url", *keep, "markup", "state", state_map(F.col("state")).alias("records"))
     markup, url, post = F.col("markup"), F.col("url"), F.col("post")
     read = read.select(
-        "page_id", "url", "markup", "records", post_record(F.col("records")).alias("post")
+        "page_id", "url", *keep, "markup", "records", post_record(F.col("records")).alias("post")
     )
     parts = {
         "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(
@@ -303,17 +306,17 @@ def assemble_article(
     if include_publication:
         parts["publication"] = M.publication_struct(markup, url)
     if not include_content:
-        return read.select("page_id", *[column.alias(name) for name, column in parts.items()])
+        return read.select("page_id", *keep, *[column.alias(name) for name, column in parts.items()])
     # State first, as for the article's fields: its pages have their text nowhere else.
     # Step by step, as expressions nested this deep would be slow to analyse.
     found = read.select(
-        "page_id", "url", *[column.alias(name) for name, column in parts.items()],
+        "page_id", "url", *keep, *[column.alias(name) for name, column in parts.items()],
         F.when(post.isNotNull(), _blocks(F.col("records"), post)).alias("blocks"),
         F.when(post.isNull(), M.content_containers(markup)).alias("boxes"),
     )
     read_parts = found.select(
-        "page_id", *parts, F.when(F.col("blocks").isNotNull(), content_of_blocks(F.col("blocks"))).alias("stated"),
+        "page_id", *keep, *parts, F.when(F.col("blocks").isNotNull(), content_of_blocks(F.col("blocks"))).alias("stated"),
         F.transform("boxes", lambda box: M.content_struct(box, url)).alias("contents"),
     )
     merged = F.when(F.col("contents").isNotNull(), M.flatten_content(F.col("contents")).cast(schemas.CONTENT))
-    return read_parts.select("page_id", *parts, F.coalesce("stated", merged).alias("content"))
+    return read_parts.select("page_id", *keep, *parts, F.coalesce("stated", merged).alias("content"))

@@ -242,6 +242,90 @@ def _csv_line() -> str:
     return f"WITH {ARTICLES}, {WORDED} SELECT article_id, concat_ws(',', {', '.join(cells)}) AS line FROM ({rows})"
 
 
+RUN_HOST = "lower(source) || '.example.com'"
+RUN_TEXT = clean(listed("ls", " "))
+
+
+def _run_barrier() -> str:
+    """Cues, type and outcome of the pages of a run, one row per document."""
+    badge = "doc_id % 6 = 0 OR doc_id % 7 = 2"
+    cue = {
+        "premium": f"doc_id % 7 = 1 OR {badge}",
+        "member_only": f"doc_id % 7 IN (1, 6) OR {badge}",
+        "subscription_prompt": "doc_id % 7 IN (3, 5)",
+        "login_required": "doc_id % 7 = 4",
+        "content_truncation": f"length({listed('ls', '')}) < 500",
+    }
+    kinds = " ".join(f"WHEN {test} THEN '{name}'" for name, test in cue.items())
+    return f"""run AS (SELECT *, {clean('split_part(text, chr(10), 1)')} AS title, {RUN_TEXT} AS t,
+  {RUN_HOST} AS host, CASE {kinds} END AS barrier_type FROM lines)"""
+
+
+def _run_rows() -> str:
+    """The 24 columns of the articles of a run."""
+    word_list = "list_filter(string_split_regex(regexp_replace(lower(t), '[^0-9A-Za-z_]', ' ', 'g'), ' +'), lambda w: len(w) > 2 AND NOT list_contains([" + ", ".join(
+        quoted(word) for word in V.STOP_WORDS) + "], w))"
+    by_eight = lambda shown: f"CASE WHEN doc_id % 8 = 0 THEN {shown} ELSE '' END"
+    by_four = lambda shown: f"CASE WHEN doc_id % 4 = 0 THEN {shown} ELSE '' END"
+    values = (
+        "title", "'In ' || lang", "'https://' || source || '.example.com/p/' || doc_id", "source",
+        "'https://' || source || '.example.com/@' || source", f"coalesce({iso(DATED)}, '')", "CAST(doc_id % 30 AS DOUBLE)",
+        f"{CLAPS} * 10", RESPONSES, "lang || '; ' || source", by_four("'Pub ' || source"),
+        by_four("'https://' || source || '.example.com/pub'"), "''", "CASE WHEN doc_id % 6 = 0 OR doc_id % 7 = 2 THEN 'Yes' ELSE 'No' END",
+        by_eight("'Series ' || source"), by_eight("'Part ' || doc_id % 9"), words("t"), "coalesce(kw, '')",
+        listed(HASHTAGS.format("t"), "; "), listed(MENTIONS.replace("text", "t"), "; "),
+        "substring(t, 1, 200) || '...'", "doc_id % 5", "coalesce(barrier_type, 'none')", SCRAPED_AT,
+    )
+    shown = ", ".join(f'{value} AS "{name}"' for value, name in zip(values, NAMES))
+    return f"""w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {word_list} AS ws FROM run)),
+  n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS p FROM w GROUP BY 1, 2),
+  k AS (SELECT doc_id, string_agg(word, '; ' ORDER BY n DESC, p) AS kw FROM (SELECT * FROM n
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) <= 10) GROUP BY 1),
+  rows_of AS (SELECT {shown} FROM run LEFT JOIN k USING (doc_id) WHERE title <> '' AND t <> '')"""
+
+
+def _run_csv() -> str:
+    bare = {
+        "Reading Time (minutes)", "Claps", "Responses", "Is Premium", "Word Count", "Comments Count", "Paywall Type",
+    }
+    cells = [
+        f'CAST("{name}" AS VARCHAR)' if name in bare else f"""'"' || replace("{name}", '"', '""') || '"'""" for name in NAMES
+    ]
+    told = f"""'"Total Articles: ' || n || ', Success Rate: ' || printf('%.2f', {percent('ok', 'n')}) || '%, Paywall Rate: '
+      || printf('%.2f', {percent('hits', 'n')}) || '%"'"""
+    filled = {
+        "Article Title": "'STATISTICS'", "Author Name": "'\"All\"'", "Author URL": "'\"\"'", "Word Count": "n", "Content Summary": told,
+        "Comments Count": "(n - ok)", "Paywall Type": "'\"Session Duration: ' || ms || 'ms\"'", "Scraped At": f"'\"' || {SCRAPED_AT} || '\"'",
+    }
+    closing = " || ',' || ".join(filled.get(name, "''") for name in NAMES)
+    return f"""WITH {LINES}, {_run_barrier()}, {_run_rows()},
+      totals AS (SELECT count(*) AS n, count(*) FILTER (title <> '' AND t <> '') AS ok, count(barrier_type) AS hits,
+        (max(doc_id) - min(doc_id)) * 1000 AS ms FROM run)
+      SELECT CAST(0 AS BIGINT) AS part, '{','.join(NAMES)}' AS line UNION ALL
+      SELECT 1, concat_ws(',', {', '.join(cells)}) FROM rows_of UNION ALL SELECT 2, {closing} FROM totals"""
+
+
+def _report() -> str:
+    title = "Medium Articles - All"
+    head = (
+        f'<html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>',
+        f"<p><strong>Scraped At:</strong> {SCRAPED_AT[1:-1]}</p>",
+    )
+    headings = ("Title", "Author", "Date", "Reading Time", "Claps", "Responses", "Tags", "Publication", "Premium", "Word Count", "URL")
+    table = "<table><thead><tr>" + "".join(f"<th>{name}</th>" for name in headings) + "</tr></thead><tbody>"
+    shown = {
+        "Total Articles": "n", "Success Rate": f"printf('%.2f', {percent('(n - hits)', 'n')}) || '%'",
+        "Paywall Rate": f"printf('%.2f', {percent('hits', 'n')}) || '%'",
+    }
+    told = " UNION ALL ".join(f"SELECT 0, '<p><strong>{name}:</strong> ' || {value} || '</p>' FROM totals" for name, value in shown.items())
+    return f"""WITH {ARTICLES}, {WORDED}, totals AS (SELECT count(*) AS n, count(*) FILTER (is_premium) AS hits FROM articles)
+      SELECT CAST(0 AS BIGINT) AS part, {quoted(head[0])} AS line UNION ALL SELECT 0, {quoted(head[1])} UNION ALL {told}
+      UNION ALL SELECT 0, {quoted(table)} UNION ALL SELECT 1, '<tr><td>' || array_to_string([{escape('title')}, {escape('author')},
+      {escape(iso('published_at'))}, CAST(read_time AS VARCHAR), CAST(claps AS VARCHAR), CAST(responses AS VARCHAR),
+      {escape(listed('tags', ', '))}, '', CASE WHEN is_premium THEN 'Yes' ELSE 'No' END, CAST(word_count AS VARCHAR), {escape('url')}],
+      '</td><td>') || '</td></tr>' FROM worded UNION ALL SELECT 2, '</tbody></table></body></html>'"""
+
+
 DATED = f"date_trunc('day', {PUBLISHED})"
 
 
@@ -487,6 +571,14 @@ def expected_sql() -> dict[str, str]:
             t AS (SELECT host, count(*) AS total_articles, count(*) FILTER (NOT hit AND NOT failed) AS successful_extractions,
               count(*) FILTER (hit) AS paywall_hits, count(*) FILTER (NOT hit AND failed) AS errors, (max(page_id) - min(page_id)) * 1000 AS session_duration FROM c GROUP BY 1)
             SELECT *, {percent('paywall_hits', 'total_articles')} AS paywall_rate, {percent('successful_extractions', 'total_articles')} AS success_rate FROM t""",
+        "page_run": f"WITH {LINES}, {_run_barrier()}, {_run_rows()} SELECT * FROM rows_of",
+        "page_run_csv": _run_csv(),
+        "page_run_hosts": f"""WITH {LINES}, {_run_barrier()}, t AS (SELECT host, count(*) AS total_articles,
+            count(*) FILTER (barrier_type IS NULL AND title <> '' AND t <> '') AS successful_extractions, count(barrier_type) AS paywall_hits,
+            count(*) FILTER (barrier_type IS NULL AND (title = '' OR t = '')) AS errors, (max(doc_id) - min(doc_id)) * 1000 AS session_duration
+            FROM run GROUP BY 1)
+            SELECT *, {percent('paywall_hits', 'total_articles')} AS paywall_rate, {percent('successful_extractions', 'total_articles')} AS success_rate FROM t""",
+        "sink_html": _report(),
         "barrier_stats": f"""WITH {_barriers(False)}, t AS (SELECT count(*) AS total_articles,
             count(*) FILTER (list_contains(active, 'premium')) AS premium_articles,
             count(*) FILTER (list_contains(active, 'member_only')) AS member_only_articles, count(barrier_type) AS paywall_hits FROM typed)

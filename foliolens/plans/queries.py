@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliolens import fixed_values as V
 from foliolens.functions import dates, html as H, register, text as X
 from foliolens.operators import (
-    barrier, events as E, exports, keywords, markup as M, relational as R, requests, state as S, stats,
+    barrier, events as E, exports, keywords, markup as M, relational as R, requests, runs, state as S, stats,
 )
 from foliolens.plans import flagship
 from foliolens.session import new_folder
@@ -844,6 +844,55 @@ def run_stats(spark, folder):
     return as_doubles(flagship.page_run_stats(T.scan_pages(spark, folder)), "paywall_rate", "success_rate")
 
 
+def stored_run(spark, folder, premium_content):
+    """A run over all pages made from documents: its stored envelopes and its totals."""
+    scraped_at = F.timestamp_seconds(F.lit(A.EPOCH) + F.col("page_id"))
+    envelopes = runs.run_envelopes(A.run_pages(documents(spark, folder)), now(), scraped_at, premium_content)
+    path = new_folder(spark, "run")
+    totals = runs.page_run(envelopes, path)
+    return runs.read_run(spark, path, envelopes), totals
+
+
+@query
+def page_run(spark, folder):
+    stored, _ = stored_run(spark, folder, premium_content=True)
+    return exports.export_rows(runs.run_articles(stored), SCRAPED_AT)
+
+
+@query
+def page_run_hosts(spark, folder):
+    stored, _ = stored_run(spark, folder, premium_content=False)
+    return as_doubles(runs.host_stats(stored), "paywall_rate", "success_rate")
+
+
+@query
+def page_run_csv(spark, folder):
+    """A run as a CSV document with its statistics line, read back."""
+    stored, totals = stored_run(spark, folder, premium_content=True)
+    path = new_folder(spark, "run-csv")
+    exports.sink_csv_report(
+        exports.export_rows(runs.run_articles(stored), SCRAPED_AT), path,
+        lambda _: runs.summary_of(totals, "All", None, SCRAPED_AT),
+    )
+    return exports.read_framed(spark, path)
+
+
+@query
+def sink_html(spark, folder):
+    """The report of all articles as a framed document, read back."""
+    path = new_folder(spark, "report")
+
+    def rates(counted):
+        n, hits = counted["n_lines"], counted["hits"]
+        return {
+            "total_articles": n, "success_rate": runs.percent_text(n - hits, n), "paywall_rate": runs.percent_text(hits, n),
+        }
+
+    rows = with_words(spark, folder)
+    exports.sink_html_report(rows, path, "All", SCRAPED_AT, rates, hits=F.count_if("is_premium"))
+    return exports.read_framed(spark, path)
+
+
 @query
 def barrier_stats(spark, folder):
     rows = barrier.barrier_classify(A.barrier_pages(documents(spark, folder)))

@@ -251,6 +251,30 @@ def barrier_pages(documents: DataFrame) -> DataFrame:
     )
 
 
+def run_pages(documents: DataFrame) -> DataFrame:
+    """Every document as a whole article page on its source's host, for a run over pages.
+
+    One of seven barrier marks or none, the article's head, its lines as paragraphs, and
+    none to four comments.
+    """
+    marks = (
+        "", "<span>Member-<b>only</b> story</span>", "<span data-testid=memberOnlyBadge>x</span>",
+        "<div data-testid='subscriptionPrompt'></div>", "<a>Sign in</a>",
+        "<div><div>a</div>Create an account</div>", "<div data-testid='x'>This story is for Medium members only</div>",
+    )
+    key = F.col("doc_id")
+    comment = _tag("div", 'data-testid="comment"', _tag("p", 'data-testid="commentContent"', X.html_escape("lang")))
+    return documents.select(
+        key.alias("page_id"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/p/"), key.cast("string")).alias("url"),
+        F.concat(
+            F.lit("<html><body>"), _nth(key, *marks), _article_head(key),
+            F.lit("<article>"), _joined(lines("text"), lambda line: _tag("p", "", X.html_escape(line))), F.lit("</article>"),
+            F.lit('<section data-testid="responses">'), F.repeat(comment, (key % 5).cast("int")), F.lit("</section></body></html>"),
+        ).alias("html"),
+    )
+
+
 def comment_pages(conversations: DataFrame) -> DataFrame:
     """Every turn as a page whose lines are comments; every ninth has no comments section."""
     key = F.col("conv_id") * 1000 + F.col("turn")
