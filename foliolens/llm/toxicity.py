@@ -6,6 +6,10 @@ letters, digits and ``_``), each with value 1.  The score is
 products of short vectors for pairs of terms, so that a pair such as an insult and the
 mention of a group can count for more than its parts.
 
+Only terms are learned that tell the label beyond chance, alone or in a pair: a pair counts if the
+labels of its rows differ from what the odds of its two terms, added up, lead to expect.  Others would
+only be learned by heart; they weigh nothing.
+
 It is fitted on a bounded sample of the labelled rows, about ``SAMPLE_ROWS`` of each class,
 chosen by hash; scoring covers whole texts of all rows.  Labels, ids, language and source
 are never inputs of a score.
@@ -34,9 +38,11 @@ FACTORS = 4
 THRESHOLD = 0.3
 # Labelled rows of each class to learn from: the sample's bound.
 SAMPLE_ROWS = 6000
-# A term is learned from if its log-likelihood ratio is at least this, or if it is in this share of the texts.
+# A term is learned from if its log-likelihood ratio is at least this, or if it is in this share of the texts,
+# or in a pair, found in the next share of the texts, that tells what its parts do not.
 MIN_SURPRISE = 16.0
 COMMON_SHARE = 0.05
+PAIR_SHARE = 0.005
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
@@ -94,18 +100,63 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
-def telling_terms(inverse: np.ndarray, owner: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
-    """Which terms are learned from: those whose rows' labels differ from the rest beyond chance, and
-    common ones, which may matter in pairs.  Others would only be learned by heart."""
-    total = np.bincount(inverse, minlength=terms).astype(np.float64)
-    toxic = np.bincount(inverse, labels[owner], terms)
-    share = labels.mean()
+def surprise(toxic: np.ndarray, total: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Log-likelihood ratio of ``toxic`` of ``total`` rows against an expected share."""
 
     def part(seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / wanted), 0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(wanted, 1e-9)), 0.0)
+
+    return 2 * (part(toxic, total * share) + part(total - toxic, total * (1 - share)))
+
+
+def telling_pairs(inverse: np.ndarray, owner: np.ndarray, labels: np.ndarray, total: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which terms stand in a pair whose labels are not those that its two terms, taken alone, lead to expect.
 
-    surprise = 2 * (part(toxic, total * share) + part(total - toxic, total * (1 - share)))
-    return (surprise >= MIN_SURPRISE) | (total >= COMMON_SHARE * len(labels))
+    Of every two terms in at least ``PAIR_SHARE`` of the rows; the bound rises with their number, as among many pairs
+    some stand out by chance.  Pairs are counted one term at a time, so memory is that of one term's rows.
+    """
+    least = max(PAIR_SHARE * len(labels), 1.0)
+    candidates = np.flatnonzero(total >= least)
+    told = np.zeros(len(total), bool)
+    if len(candidates) < 2:
+        return told
+    number = np.full(len(total), -1)
+    number[candidates] = np.arange(len(candidates))
+    place, row = number[inverse], owner
+    place, row = place[place >= 0], row[place >= 0]
+    starts = np.searchsorted(row, np.arange(len(labels) + 1))
+    by_term = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[by_term], np.arange(len(candidates) + 1))
+    # Odds of a single term; the halves keep them finite.
+    odds = np.log((toxic + 0.5) / (total - toxic + 0.5))[candidates]
+    base = np.log(labels.mean() / (1 - labels.mean()))
+    bound = MIN_SURPRISE + 2 * np.log(len(candidates) * (len(candidates) - 1) / 2)
+    for one in range(len(candidates) - 1):
+        holders = row[by_term[ends[one]:ends[one + 1]]]
+
+        def together(rows: np.ndarray) -> np.ndarray:
+            if not len(rows):
+                return np.zeros(len(candidates))
+            return np.bincount(np.concatenate([place[starts[r]:starts[r + 1]] for r in rows]), minlength=len(candidates))
+
+        bad = together(holders[labels[holders] == 1]).astype(np.float64)
+        both = bad + together(holders[labels[holders] == 0])
+        expected = 1 / (1 + np.exp(-np.clip(odds[one] + odds - base, -30, 30)))
+        telling = (both >= least) & (surprise(bad, both, expected) >= bound)
+        telling[:one + 1] = False
+        if telling.any():
+            told[candidates[one]] = True
+            told[candidates[telling]] = True
+    return told
+
+
+def telling_terms(inverse: np.ndarray, owner: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Which terms are learned from: those whose rows' labels differ from the rest beyond chance, common
+    ones, and those of telling pairs.  Others would only be learned by heart."""
+    total = np.bincount(inverse, minlength=terms).astype(np.float64)
+    toxic = np.bincount(inverse, labels[owner], terms)
+    alone = (surprise(toxic, total, labels.mean()) >= MIN_SURPRISE) | (total >= COMMON_SHARE * len(labels))
+    return alone | telling_pairs(inverse, owner, labels, total, toxic)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, factors: int = FACTORS,

@@ -1,6 +1,7 @@
 """Queries of the training-data operators against SQL or brute force over the whole small tables."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -96,6 +97,19 @@ def test_toxicity(spark, sf_dir, texts):
         assert 0 <= row.score <= 1 and row.predicted == int(row.score >= 0.3)
 
 
+def test_toxicity_of_rows_held_out(spark, sf_dir):
+    """On the larger table, which has enough toxic rows among those that teach nothing."""
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    if not os.path.exists(larger):
+        pytest.skip("no larger table")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").filter("toxic in (0, 1)")
+    rows = QUERIES["op2_toxicity"](spark, larger).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([row for row in rows if row.toxic == kind] for kind in (1, 0))
+    ahead = np.mean([[t.score > c.score for c in clean] for t in toxic])
+    assert ahead >= 0.95
+    assert np.mean([row.predicted for row in toxic]) >= 0.75 and np.mean([row.predicted for row in clean]) <= 0.01
+
+
 def brute_pipeline(spark, sf_dir, texts, scores):
     docs = [(doc_id, text, source) for doc_id, text, source in texts if scores[doc_id] < 0.3]
 

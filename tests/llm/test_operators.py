@@ -90,6 +90,40 @@ def test_pairs_count_for_more_than_their_parts():
     assert ((scores > 0.5) == np.array(labels)).mean() > 0.95
 
 
+def test_pairs_of_rare_terms_that_tell_nothing_alone():
+    """Two terms, each in 4 % of the rows and both in 2 %: toxic together, harmless apart."""
+    random = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(6000):
+        kind = i % 50
+        own = set(random.integers(10, 200, 8).tolist())
+        own |= {0: {1, 2}, 1: {1}, 2: {2}}.get(kind, set())
+        rows.append(np.array(sorted(own), dtype=np.int32))
+        labels.append({0: 1.0, 1: 0.0, 2: 0.0}.get(kind, float(random.random() < 0.3)))
+    labels = np.array(labels)
+    owner = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+    terms, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    total, bad = np.bincount(inverse).astype(float), np.bincount(inverse, labels[owner])
+    assert set(terms[toxicity.telling_pairs(inverse, owner, labels, total, bad)].tolist()) == {1, 2}
+    model = toxicity.fit(rows, labels, float(labels.mean()))
+    scores = model.scores([np.array(own, np.int32) for own in ([1, 2], [1], [2])])
+    assert scores[0] > 0.6 and max(scores[1:]) < 0.25
+
+
+def test_margins_are_those_of_a_double_loop():
+    random = np.random.default_rng(3)
+    terms = np.unique(random.integers(0, 500, 60)).astype(np.int32)
+    weights, factors = random.normal(size=len(terms)), random.normal(size=(len(terms), 4))
+    model = toxicity.Model(0.3, terms, weights, factors)
+    place = {int(term): i for i, term in enumerate(terms)}
+    rows = [np.unique(random.integers(0, 500, n)).astype(np.int32) for n in (0, 1, 2, 30, 200)]
+    for row, margin in zip(rows, model.margins(rows)):
+        held = [place[int(term)] for term in row if int(term) in place]
+        wanted = 0.3 + sum(weights[i] for i in held)
+        wanted += sum(float(factors[i] @ factors[j]) for n, i in enumerate(held) for j in held[n + 1:])
+        assert abs(margin - wanted) < 1e-9
+
+
 # --- lines
 
 
