@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.functions import text as X
+from foliolens.session import stored
 
 # Parts of a key whose first rows are found on their own, before those of the key.
 SPREAD = 64
+# Ids of one piece of an order that has nothing else to be cut by.
+ID_RANGE = 65536
 # Entries of one list; longer ones are given in numbered parts.
 PART_SIZE = 1000
 
@@ -116,32 +119,47 @@ def limit_posts(
     return kept if rank else kept.drop(name)
 
 
-def numbered_posts(articles: DataFrame, per: str, sort_by: str = "latest", tie: str = "article_id") -> DataFrame:
-    """Adds ``_rank``, each article's place (from 1) among all of its key.
+def _cut_order(articles: DataFrame, sort_by: str, tie: str) -> tuple[DataFrame, list[Column]]:
+    """Adds ``_cut`` and ``_block``, which cut an order into short pieces, and says how the pieces follow.
 
-    A key is cut where its order is: into days, numbers of reactions, or ranges of ids for
-    undated articles.  Only counts of these are accumulated per key, and rows are ordered
-    inside them, so that no task orders a whole key.
+    Pieces are days, numbers of reactions, or ranges of ids for undated articles.
     """
-    order = sort_order(sort_by, tie)
     if sort_by == "popular":
         cut = X.engagement("claps", "responses")
         before = [F.col("_cut").desc()]
     else:
         cut = F.date_trunc("day", "published_at")
         before = [F.col("_cut").asc_nulls_last() if sort_by == "oldest" else F.col("_cut").desc_nulls_last()]
-    block = F.when(cut.isNull(), F.floor(F.col(tie) / 65536)).otherwise(0)
-    keyed = articles.withColumns({"_cut": cut, "_block": block})
-    earlier = Window.partitionBy(per).orderBy(*before, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.when(cut.isNull(), F.floor(F.col(tie) / ID_RANGE)).otherwise(0)
+    return articles.withColumns({"_cut": cut, "_block": block}), [*before, F.col("_block")]
+
+
+def numbered_posts(
+    articles: DataFrame, per: str, sort_by: str = "latest", tie: str = "article_id", total: str | None = None
+) -> DataFrame:
+    """Adds ``_rank``, each article's place (from 1) among all of its key, and, as ``total``, how many the key has.
+
+    A key is cut where its order is: into days, numbers of reactions, or ranges of ids for
+    undated articles.  Only counts of these are accumulated per key, and rows are ordered
+    inside them, so that no task orders a whole key.
+    """
+    order = sort_order(sort_by, tie)
+    keyed, following = _cut_order(articles, sort_by, tie)
+    whole = Window.partitionBy(per)
+    earlier = whole.orderBy(*following).rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy(per, "_cut", "_block").agg(F.count("*").alias("_count")).select(
         F.col(per).alias("_key"), F.col("_cut").alias("_day"), F.col("_block").alias("_ids"),
         F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
+        *([F.sum("_count").over(whole).alias("_total")] if total else []),
     )
     inside = keyed.withColumn("_inside", F.row_number().over(Window.partitionBy(per, "_cut", "_block").orderBy(*order)))
     same = (
         F.col(per).eqNullSafe(F.col("_key")) & F.col("_cut").eqNullSafe(F.col("_day")) & (F.col("_block") == F.col("_ids"))
     )
-    return inside.join(offsets, same).select(*articles.columns, (F.col("_before") + F.col("_inside")).alias("_rank"))
+    return inside.join(offsets, same).select(
+        *articles.columns, (F.col("_before") + F.col("_inside")).alias("_rank"),
+        *([F.col("_total").alias(total)] if total else []),
+    )
 
 
 def filter_sort_limit(
@@ -167,6 +185,30 @@ def paginate(articles: DataFrame, offset: int, limit: int, order: list[Column])
     return articles.orderBy(*order).offset(offset).limit(limit)
 
 
+def paginate_by_place(
+    articles: DataFrame, offset: int, limit: int, sort_by: str = "latest", tie: str = "article_id"
+) -> DataFrame:
+    """The same page, however deep, without bringing the rows before it into one task.
+
+    Rows are counted by piece of the order (days, numbers of reactions, ranges of ids); only these
+    counts are accumulated.  Only the pieces that hold a part of the page are joined and ordered.
+    """
+    keyed, following = _cut_order(articles, sort_by, tie)
+    earlier = Window.orderBy(*following).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = keyed.groupBy("_cut", "_block").agg(F.count("*").alias("_count")).select(
+        F.col("_cut").alias("_day"), F.col("_block").alias("_ids"), "_count",
+        F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
+    )
+    wanted = pieces.filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_count") > offset))
+    near = keyed.join(
+        wanted.drop("_count"), F.col("_cut").eqNullSafe(F.col("_day")) & (F.col("_block") == F.col("_ids"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_cut", "_block").orderBy(*sort_order(sort_by, tie)))
+    placed = near.withColumn("_place", F.col("_before") + inside)
+    page = placed.filter((F.col("_place") > offset) & (F.col("_place") <= offset + limit))
+    return page.orderBy("_place").select(*articles.columns)
+
+
 # --- batches ------------------------------------------------------------------------
 
 
@@ -197,22 +239,31 @@ def cumulative_batches(items: DataFrame, max_posts: int, per: str = "author") ->
 
     Items are counted per batch first; only those counts are accumulated.
     """
+    return _running_totals(keep_first_by_url(items), max_posts, per)
+
+
+def _running_totals(fresh: DataFrame, max_posts: int, per: str) -> DataFrame:
     window = Window.partitionBy(per).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    counts = keep_first_by_url(items).groupBy(per, "batch").agg(F.count("*").alias("new_items"))
+    counts = fresh.groupBy(per, "batch").agg(F.count("*").alias("new_items"))
     totals = counts.withColumn("total_items", F.sum("new_items").over(window))
     return totals.withColumn("is_read", F.col("total_items") - F.col("new_items") < max_posts)
 
 
 def cumulative_until_limit(items: DataFrame, max_posts: int, per: str = "author") -> DataFrame:
-    """The new items of every batch that is read before the limit is met."""
+    """The new items of every batch that is read before the limit is met.
+
+    Items are deduplicated once: the first of every URL are stored in the shared folder, and
+    both the counts of the batches and the result are read from there.
+    """
+    fresh = stored(keep_first_by_url(items), "first-items")
     last = (
-        cumulative_batches(items, max_posts, per)
+        _running_totals(fresh, max_posts, per)
         .filter("is_read")
-        .groupBy(per)
+        .groupBy(F.col(per).alias("_key"))
         .agg(F.max("batch").alias("_last_batch"))
     )
-    fresh = keep_first_by_url(items)
-    return fresh.join(last, per).filter(F.col("batch") <= F.col("_last_batch")).drop("_last_batch")
+    known = F.col(per).eqNullSafe(F.col("_key"))
+    return fresh.join(last, known & (F.col("batch") <= F.col("_last_batch"))).drop("_key", "_last_batch")
 
 
 # --- relationships ------------------------------------------------------------------
@@ -270,13 +321,12 @@ def author_articles(
     articles: DataFrame, fields: tuple[str, ...], part_size: int = PART_SIZE, sort_by: str = "latest"
 ) -> DataFrame:
     """All articles of every author in order, ``part_size`` to a row: ``(author, part, articles, total_articles)``."""
-    ranked = numbered_posts(articles, "author", sort_by)
+    ranked = numbered_posts(articles, "author", sort_by, total="_all")
     listed = ranked.groupBy("author", F.floor((F.col("_rank") - 1) / part_size).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("_rank", *fields))).alias("_listed")
+        F.sort_array(F.collect_list(F.struct("_rank", *fields))).alias("_listed"), F.max("_all").alias("total_articles")
     )
-    bundled = listed.select(
+    return listed.select(
         "author", "part",
         F.transform("_listed", lambda item: F.struct(*[item[f].alias(f) for f in fields])).alias("articles"),
+        "total_articles",
     )
-    totals = articles.groupBy(F.col("author").alias("_author")).agg(F.count("*").alias("total_articles"))
-    return bundled.join(totals, F.col("author").eqNullSafe(F.col("_author"))).drop("_author")

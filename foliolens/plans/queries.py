@@ -158,7 +158,7 @@ def scan_events(spark, folder):
 
 @query
 def paginate(spark, folder):
-    return brief(R.paginate(unflagged(spark, folder), 40, 20, R.sort_order("latest")))
+    return brief(R.paginate_by_place(unflagged(spark, folder), 40, 20))
 
 
 # --- exports -----------------------------------------------------------------------

@@ -102,3 +102,22 @@ def test_summary_rows_sum_to_detail(spark, sf_dir):
     listing = A.listing(T.scan_table(spark, sf_dir, "documents"))
     counts = R.cumulative_batches(listing, 10)
     assert counts.agg(F.sum("new_items")).first()[0] == R.keep_first_by_url(listing).count()
+
+
+def test_items_are_deduplicated_once(spark, sf_dir):
+    plan = plan_of(R.cumulative_until_limit(A.listing(T.scan_table(spark, sf_dir, "documents")), 3))
+    assert not any("hashpartitioning(url" in e for e in exchanges(plan))
+
+
+def test_a_deep_page_takes_no_rows_before_it(spark, sf_dir):
+    articles = A.articles(T.scan_table(spark, sf_dir, "documents"))
+    plan = plan_of(R.paginate_by_place(articles, 150, 20))
+    single = [e for e in exchanges(plan) if "SinglePartition" in e]
+    assert single and not any("url" in e or "title" in e for e in single)
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def test_articles_of_authors_are_scanned_once_for_counts_and_once_for_rows(spark, sf_dir):
+    articles = A.articles(T.scan_table(spark, sf_dir, "documents"))
+    plan = plan_of(R.author_articles(articles, ("article_id",), 20))
+    assert len(re.findall(r"\(\d+\) Scan parquet", plan)) == 2

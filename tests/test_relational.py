@@ -54,6 +54,10 @@ def test_limits(articles):
     assert ids(R.limit_posts(articles, 2, "popular")) == [2, 1]
     assert sorted(ids(R.limit_posts(articles, 1, per=("author",)))) == [3, 5]
     assert ids(R.paginate(articles, 1, 2, R.sort_order("latest"))) == [1, 5]
+    for sort_by in ("latest", "oldest", "popular"):
+        for offset, limit in ((0, 1), (1, 2), (2, 10), (0, 0), (99, 5)):
+            plain = ids(R.paginate(articles, offset, limit, R.sort_order(sort_by)))
+            assert ids(R.paginate_by_place(articles, offset, limit, sort_by)) == plain
     for wrong in (0, -1):
         with pytest.raises(ValueError):
             R.limit_posts(articles, wrong)
