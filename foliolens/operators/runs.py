@@ -83,7 +83,10 @@ def page_run(envelopes: DataFrame, path: str) -> dict:
     run again on another executor counts once.
     """
     totals = Observation("page_run")
-    envelopes.observe(totals, *_counters()).write.mode("overwrite").partitionBy("outcome").parquet(path)
+    counters = _counters()
+    if "comments" in envelopes.columns:
+        counters.append(F.coalesce(F.sum(F.size("comments")), F.lit(0)).cast("bigint").alias("total_comments"))
+    envelopes.observe(totals, *counters).write.mode("overwrite").partitionBy("outcome").parquet(path)
     counted = dict(totals.get)
     return {
         **counted,
@@ -125,6 +128,35 @@ def run_articles(stored: DataFrame) -> DataFrame:
     ).drop("_text")
 
 
+def public_articles(stored: DataFrame) -> DataFrame:
+    """The articles of a run under their public names, each with its comments, row by row.
+
+    Only a page's own comments are nested, so a row never holds more than its page did.
+    """
+    found = stored.filter(F.col("outcome") == ARTICLE)
+    minutes = F.col("article.read_time")
+    whole = F.when(minutes == F.floor(minutes), F.floor(minutes).cast("string")).otherwise(minutes.cast("string"))
+    comments = F.transform(
+        "comments",
+        lambda c: F.struct(c["author"].alias("user"), c["content"].alias("comment"), c["claps"].alias("likes")),
+    )
+    return found.select(
+        "page_id", "article.title", "article.author", F.coalesce("article.publication.name", F.lit("")).alias("publication"),
+        "article.url", F.col("content.text_content").alias("content"), F.col("content.word_count").alias("word_count"),
+        F.concat(whole, F.lit(" min")).alias("read_time"), "article.is_premium", "article.tags",
+        comments.alias("comments"), "scraped_at",
+    )
+
+
+def public_totals(totals: dict) -> dict:
+    """The public statistics of a run from the totals that ``page_run`` returned."""
+    return {
+        "total_articles_scraped": totals["successful_extractions"],
+        "total_comments_scraped": totals.get("total_comments", 0),
+        "time_taken": f"{totals['session_duration'] / 1000:.1f} seconds",
+    }
+
+
 def summary_of(totals: dict, author_name: str | None, author_url: str | None, scraped_at: str) -> dict[str, str]:
     """Cells of the closing ``STATISTICS`` row from the totals of a run; cells left out are empty."""
     return {

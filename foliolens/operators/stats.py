@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as X
+from foliolens.operators.exports import export_format
 
 
 def run_stats(outcomes: DataFrame, group_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -46,8 +47,14 @@ def barrier_stats(classified: DataFrame, group_keys: tuple[str, ...] = ()) -> Da
     return grouped.withColumn("paywall_rate", X.percent("paywall_hits", "total_articles"))
 
 
-def export_stats(articles: DataFrame, group_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Needs ``author, word_count, comments_count, is_premium, claps, responses, read_time``."""
+def export_stats(
+    articles: DataFrame, group_keys: tuple[str, ...] = (), wanted_format: str | None = None, scraped_at: str | None = None
+) -> DataFrame:
+    """Needs ``author, word_count, comments_count, is_premium, claps, responses, read_time``.
+
+    With a format the statistics also say which it is, whose articles they are (the first name, or
+    ``Unknown``), and when they were scraped.
+    """
     zero = F.lit(0)
 
     def total(name: str):
@@ -62,11 +69,15 @@ def export_stats(articles: DataFrame, group_keys: tuple[str, ...] = ()) -> DataF
         F.coalesce(total("claps"), zero).alias("total_claps"),
         F.coalesce(total("responses"), zero).alias("total_responses"),
         total("read_time").alias("_minutes"),
+        F.coalesce(F.min(F.when(F.length("author") > 0, F.col("author"))), F.lit("Unknown")).alias("author_name"),
     )
     average = F.floor(F.col("_minutes") / F.col("total_articles") + 0.5).cast("bigint")
-    return grouped.withColumn(
+    told = grouped.withColumn(
         "average_read_time", F.when(F.col("total_articles") > 0, average).otherwise(F.lit(0).cast("bigint"))
     ).drop("_minutes")
+    if wanted_format is None:
+        return told.drop("author_name")
+    return told.withColumns({"format": export_format(F.lit(wanted_format)), "scraped_at": F.lit(scraped_at)})
 
 
 def comment_totals(comments: DataFrame, group_keys: tuple[str, ...] = ()) -> DataFrame:

@@ -578,6 +578,21 @@ def expected_sql() -> dict[str, str]:
             count(*) FILTER (barrier_type IS NULL AND (title = '' OR t = '')) AS errors, (max(doc_id) - min(doc_id)) * 1000 AS session_duration
             FROM run GROUP BY 1)
             SELECT *, {percent('paywall_hits', 'total_articles')} AS paywall_rate, {percent('successful_extractions', 'total_articles')} AS success_rate FROM t""",
+        "public_run": f"""WITH {LINES}, {_run_barrier()}, kept AS (SELECT * FROM run WHERE title <> '' AND t <> ''),
+            totals AS (SELECT (SELECT count(*) FROM kept) AS n, (SELECT CAST(sum(doc_id % 5) AS BIGINT) FROM kept) AS c,
+              printf('%.1f', CAST(max(doc_id) - min(doc_id) AS DOUBLE)) || ' seconds' AS took FROM run)
+            SELECT doc_id AS page_id, title, source AS author, CASE WHEN doc_id % 4 = 0 THEN 'Pub ' || source ELSE '' END AS publication,
+            'https://' || source || '.example.com/p/' || doc_id AS url, t AS content, {words('t')} AS word_count,
+            doc_id % 30 || ' min' AS read_time, doc_id % 6 = 0 OR doc_id % 7 = 2 AS is_premium, lang || '|' || source AS tags,
+            array_to_string(list_transform(range(doc_id % 5), lambda x: '~' || lang || '~0'), '|') AS comments,
+            {iso("TIMESTAMP '2024-01-01' + to_seconds(doc_id)")} AS scraped_at, n AS total_articles_scraped,
+            c AS total_comments_scraped, took AS time_taken FROM kept, totals""",
+        "export_stats_told": f"""WITH {ARTICLES}, {WORDED}, {COMMENT_COUNTS} SELECT is_premium, count(*) AS total_articles,
+            bool_or(author <> '') AS has_author_data, true AS has_content_data, bool_or(coalesce(cc.n, 0) > 0) AS has_comments_data,
+            count(*) FILTER (is_premium) AS premium_articles, CAST(sum(claps) AS BIGINT) AS total_claps,
+            CAST(sum(responses) AS BIGINT) AS total_responses, CAST(floor(sum(read_time) / count(*) + 0.5) AS BIGINT) AS average_read_time,
+            coalesce(min(author) FILTER (author <> ''), 'Unknown') AS author_name, 'csv' AS format, {SCRAPED_AT} AS scraped_at
+            FROM worded LEFT JOIN cc ON conv_id = article_id GROUP BY 1""",
         "sink_html": _report(),
         "barrier_stats": f"""WITH {_barriers(False)}, t AS (SELECT count(*) AS total_articles,
             count(*) FILTER (list_contains(active, 'premium')) AS premium_articles,

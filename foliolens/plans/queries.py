@@ -877,6 +877,27 @@ def page_run_csv(spark, folder):
     return exports.read_framed(spark, path)
 
 
+@query
+def public_run(spark, folder):
+    """The articles of a run under public names, with their comments and the run's public totals."""
+    stored, totals = stored_run(spark, folder, premium_content=True)
+    told = {name: F.lit(value) for name, value in runs.public_totals(totals).items()}
+    rows = runs.public_articles(stored).withColumns(told)
+    return rows.withColumns(
+        {
+            "tags": joined("tags"), "comments": fields("comments", "user", "comment", "likes"), "scraped_at": iso("scraped_at"),
+            "total_articles_scraped": F.col("total_articles_scraped").cast("bigint"),
+            "total_comments_scraped": F.col("total_comments_scraped").cast("bigint"),
+        }
+    )
+
+
+@query
+def export_stats_told(spark, folder):
+    rows = R.article_comments(with_words(spark, folder), comments_of(spark, folder))
+    return stats.export_stats(rows, ("is_premium",), "CSV", SCRAPED_AT)
+
+
 @query
 def sink_html(spark, folder):
     """The report of all articles as a framed document, read back."""
