@@ -114,3 +114,8 @@ def test_a_document_that_was_not_finished_is_refused(spark):
     totals = exports.sink_framed(lines, path, lambda t: [f"head {t['last']}"], lambda _: ["foot"], "none", last=F.max("line"))
     assert totals == {"n_lines": 3, "last": "2"}
     assert sorted(map(tuple, exports.read_framed(spark, path).collect())) == [(0, "head 2"), (1, "0"), (1, "1"), (1, "2"), (2, "foot")]
+
+
+def test_public_totals():
+    totals = {"successful_extractions": 3, "total_comments": 7, "session_duration": 45_200}
+    assert runs.public_totals(totals) == {"total_articles_scraped": 3, "total_comments_scraped": 7, "time_taken": "45.2 seconds"}
