@@ -39,7 +39,7 @@ _CHUNK = 128
 # possessive, so that long tags are read in one go.
 IN_TAG = r"""(?:[^"'<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
 # An angle bracket in a quoted value, or one that begins no tag, comment or declaration.
-_ODD = r"""=\s*+(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])|<(?![a-zA-Z/!?])"""
+_ODD = r"""[=<](?:(?<==)\s*+(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])|(?<=<)(?![a-zA-Z/!?]))"""
 _TOKENS = "|".join((
     "<!--(?:.*?-->|.*)", rf"<script\b{IN_TAG}>(?:.*?</script\s*>|.*)", rf"<style\b{IN_TAG}>(?:.*?</style\s*>|.*)",
     rf"</?[a-z]{IN_TAG}>", "<[!?][^<>]*+>", "[^<]++", "<",
@@ -75,7 +75,7 @@ def without_code(html: ColumnOrName) -> Column:
     """
     plain = F.regexp_replace(
         text_or_empty(html),
-        r"(?is)<!--(?:.*?-->|.*)|<script\b[^<>]*>(?:.*?</script\s*>|.*)|<style\b[^<>]*>(?:.*?</style\s*>|.*)",
+        r"(?is)<(?:!--(?:.*?-->|.*)|script\b[^<>]*+>(?:.*?</script\s*>|.*)|style\b[^<>]*+>(?:.*?</style\s*>|.*))",
         "",
     )
     return F.when(as_column(html).rlike(_ODD), tag_by_tag(html)).otherwise(plain)
@@ -146,23 +146,36 @@ def attribute(element: ColumnOrName, name: str) -> Column:
     )
 
 
-def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
-    """Pattern for a start tag after its ``<``; values may stand in either quotes or in none."""
-    tag, name, test, value = spec
-    opening = _TAG_NAME if tag == "*" else re.escape(tag)
-    if not name:
-        return rf"{opening}(?=[\s>/])"
+def _opening(tag: str) -> str:
+    return _TAG_NAME if tag == "*" else re.escape(tag)
+
+
+def _attribute_test(name: str, test: str, value: str) -> str:
+    """Pattern for an attribute; values may stand in either quotes or in none."""
     quoted = f"(?-i:{re.escape(value)})"  # values, unlike names, keep their case
     body = {
         "=": rf"""(?:"{quoted}"|'{quoted}'|{quoted}(?=[\s>]))""",
         "*=": rf"""(?:"[^"<>]*{quoted}|'[^'<>]*{quoted}|[^\s"'<>]*{quoted})""",
         "~=": rf"""(?:"(?:[^"<>]*\s)?{quoted}(?:\s[^"<>]*)?"|'(?:[^'<>]*\s)?{quoted}(?:\s[^'<>]*)?'|{quoted}(?=[\s>]))""",
     }[test]
-    return rf"{opening}\s(?:[^<>]*\s)?{name}\s*=\s*{body}"
+    return rf"{name}\s*=\s*{body}"
+
+
+def _start_tag_test(spec: tuple[str, str, str, str]) -> str:
+    """Pattern for a start tag after its ``<``."""
+    return _any_test((spec,))
 
 
 def _any_test(specs) -> str:
-    return "|".join(_start_tag_test(spec) for spec in specs)
+    """Pattern for a start tag, after its ``<``, that meets one of the specs; a name's attributes are looked for together."""
+    by_tag: dict[str, dict[str, None]] = {}
+    for tag, name, test, value in specs:
+        by_tag.setdefault(tag, {})[_attribute_test(name, test, value) if name else ""] = None
+    return "|".join(
+        rf"{_opening(tag)}(?=[\s>/])" if "" in tests
+        else rf"{_opening(tag)}\s(?:[^<>]*\s)?(?:{'|'.join(tests)})"
+        for tag, tests in by_tag.items()
+    )
 
 
 def _split_specs(specs) -> tuple[list, list]:
@@ -191,11 +204,11 @@ aggregate(
 """
 
 # Spans (at, until, closed, level) of all starts, in page order.  Sorted by name, depth and
-# place, a start is followed by its own end.
+# place, a start is followed by its own end; an unclosed one goes on to the event's ``next``.
 _SPANS = f"""
 transform(
   array(array_sort(zip_with(ev, {_LEVELS}, (e, level) -> named_struct(
-    'name', e.name, 'level', level, 'at', e.at, 'step', e.step
+    'name', e.name, 'level', level, 'at', e.at, 'step', e.step, 'next', e.next
   )))),
   placed -> array_sort(filter(
     transform(placed, (e, i) -> transform(
@@ -204,7 +217,7 @@ transform(
         AND get(placed, i + 1).step < 0, false
       )),
       closed -> named_struct(
-        'at', e.at, 'until', if(closed, get(placed, i + 1).at, e.at + 1), 'closed', closed,
+        'at', e.at, 'until', if(closed, get(placed, i + 1).at, e.next), 'closed', closed,
         'level', if(e.step = 0, 0, e.level), 'starts', e.step >= 0
       )
     )[0]),
@@ -214,6 +227,36 @@ transform(
 """
 
 
+_EVENTS = f"""
+array_sort(filter(transform(pieces, (piece, i) -> named_struct(
+  'name', lower(regexp_extract(piece, {_sql_text(f"^</?({_TAG_NAME})")}, 1)), 'at', i,
+  'step', CASE WHEN startswith(piece, '</') THEN -1
+    WHEN lower(regexp_extract(piece, {_sql_text(f"^</?({_TAG_NAME})")}, 1)) IN ({", ".join(map(_sql_text, _VOID))}) THEN 0
+    ELSE 1 END,
+  'next', i + 1
+)), e -> e.at > 0))
+"""
+# Of a span: an image is its tag alone.
+_MARKUP_OF = f"""
+CASE WHEN s.level = 0 THEN regexp_extract(get(pieces, s.at), {_sql_text("^<[^<>]*>?")}, 0)
+WHEN s.closed THEN concat(
+  array_join(slice(pieces, s.at + 1, s.until - s.at), ''), regexp_extract(get(pieces, s.until), {_sql_text("^</[^<>]*>?")}, 0)
+) ELSE array_join(slice(pieces, s.at + 1, s.until - s.at), '') END
+"""
+
+
+def _starts(place: str, tests: str) -> str:
+    return f"get(pieces, {place}.at) RLIKE {_sql_text(f'(?is)^<(?:{tests})')}"
+
+
+def _cut_at_names(looked_at: str) -> str:
+    """The markup cut at all tags of the names whose start tags meet the tests, in this very markup."""
+    start_names = _sql_text(rf"(?is)<(?={looked_at})({_TAG_NAME})")
+    names = f"array_join(array_distinct(transform(regexp_extract_all(markup, {start_names}, 1), n -> lower(n))), '|')"
+    pattern = f"concat('(?i)(?=</?(?:', {names}, {_sql_text(')[' + chr(92) + 's/>])')})"
+    return f"split(concat(' ', markup), {pattern}, -1)"
+
+
 def elements(html: ColumnOrName, specs, outermost: bool = False, only_first: bool = False) -> Column:
     """Every element that meets one of the specs, in page order, each from its start to its own end.
 
@@ -224,46 +267,22 @@ def elements(html: ColumnOrName, specs, outermost: bool = False, only_first: boo
     single, nested = _split_specs(specs)
     outer, inner = [pair[0] for pair in nested], [pair[1] for pair in nested]
     looked_at, wanted = _any_test([*single, *outer, *inner]), _any_test([*single, *inner])
-    void = ", ".join(_sql_text(name) for name in _VOID)
-
-    def starts(place: str, tests: str) -> str:
-        return f"get(pieces, {place}.at) RLIKE {_sql_text(f'(?is)^<(?:{tests})')}"
-
-    meets = [starts("s", _any_test(single))] if single else []
+    meets = [_starts("s", _any_test(single))] if single else []
     for around, within in nested:
         meets.append(
-            f"({starts('s', _start_tag_test(within))} AND exists(spans, "
-            f"box -> box.at < s.at AND s.at < box.until AND {starts('box', _start_tag_test(around))}))"
+            f"({_starts('s', _start_tag_test(within))} AND exists(spans, "
+            f"box -> box.at < s.at AND s.at < box.until AND {_starts('box', _start_tag_test(around))}))"
         )
     test = f"({' OR '.join(meets)})" + (" AND s.level = 1" if outermost else "")
     tags = {spec[0] for spec in (*single, *outer, *inner)}
     if "*" in tags:
-        # The names of the tags that meet a spec in this very markup.
-        start_names = _sql_text(rf"(?is)<(?={looked_at})({_TAG_NAME})")
-        names = f"array_join(array_distinct(transform(regexp_extract_all(markup, {start_names}, 1), n -> lower(n))), '|')"
-        pattern = f"concat('(?i)(?=</?(?:', {names}, {_sql_text(')[' + chr(92) + 's/>])')})"
+        cut = _cut_at_names(looked_at)
     else:
-        pattern = _sql_text(rf"(?i)(?=</?(?:{'|'.join(sorted(tags))})[\s/>])")
-    # The leading space makes the first piece one without a tag.
-    cut = f"split(concat(' ', markup), {pattern}, -1)"
-    name_of = _sql_text(f"^</?({_TAG_NAME})")
-    events = f"""
-      array_sort(filter(transform(pieces, (piece, i) -> named_struct(
-        'name', lower(regexp_extract(piece, {name_of}, 1)), 'at', i,
-        'step', CASE WHEN startswith(piece, '</') THEN -1
-          WHEN lower(regexp_extract(piece, {name_of}, 1)) IN ({void}) THEN 0 ELSE 1 END
-      )), e -> e.at > 0))
-    """
-    closing, start = _sql_text("^</[^<>]*>?"), _sql_text("^<[^<>]*>?")
-    markup_of = f"""
-      CASE WHEN s.level = 0 THEN regexp_extract(get(pieces, s.at), {start}, 0)
-      WHEN s.closed THEN concat(
-        array_join(slice(pieces, s.at + 1, s.until - s.at), ''), regexp_extract(get(pieces, s.until), {closing}, 0)
-      ) ELSE get(pieces, s.at) END
-    """
+        # The leading space makes the first piece one without a tag.
+        cut = f"split(concat(' ', markup), {_sql_text(rf'(?i)(?=</?(?:{'|'.join(sorted(tags))})[\s/>])')}, -1)"
     found = f"""
-      transform(array({cut}), pieces -> transform(array({events}), ev -> transform(array({_SPANS}), spans ->
-        transform({f"slice(filter(spans, s -> {test}), 1, 1)" if only_first else f"filter(spans, s -> {test})"}, s -> {markup_of})
+      transform(array({cut}), pieces -> transform(array({_EVENTS}), ev -> transform(array({_SPANS}), spans ->
+        transform({f"slice(filter(spans, s -> {test}), 1, 1)" if only_first else f"filter(spans, s -> {test})"}, s -> {_MARKUP_OF})
       )[0])[0])[0]
     """
     body = F.expr(
@@ -273,6 +292,44 @@ def elements(html: ColumnOrName, specs, outermost: bool = False, only_first: boo
     return F.call_function("transform", F.array(text_or_empty(html)), body)[0]
 
 
+def element_groups(html: ColumnOrName, groups: dict[str, tuple], every: tuple[str, ...] = ()) -> Column:
+    """Elements of several groups of specs from one cut of the markup: a struct with an array for each group.
+
+    Of a group in ``every`` all elements in page order, of any other the first alone; an empty array if
+    there is none, also for null markup.  Specs are those of :func:`elements`, without pairs.  An element
+    without an end tag ends at the next tag of its name, or with the markup.
+    """
+    if any(len(spec) != 4 for specs in groups.values() for spec in specs):
+        raise ValueError("groups take no pairs of specs")
+    looked_at = _any_test([spec for specs in groups.values() for spec in specs])
+    placed = """
+      transform(ev, (e, i) -> named_struct('name', e.name, 'at', e.at, 'step', e.step,
+        'next', if(get(ev, i + 1).name = e.name, get(ev, i + 1).at, size(pieces))))
+    """
+
+    def group(name: str, specs) -> str:
+        test = f"filter(hits, s -> {_starts('s', _any_test(specs))})"
+        return f"'{name}', transform({test if name in every else f'slice({test}, 1, 1)'}, s -> {_MARKUP_OF})"
+
+    found = f"""
+      transform(array({_cut_at_names(looked_at)}), pieces -> transform(array({_EVENTS}), ev ->
+        transform(array({placed}), ev -> transform(array({_SPANS}), spans ->
+          transform(array(filter(spans, s -> {_starts('s', looked_at)})), hits ->
+            named_struct({", ".join(group(name, specs) for name, specs in groups.items())})
+          )[0])[0])[0])[0])[0]
+    """
+    none = ", ".join(f"'{name}', transform(array_repeat(0, 0), none -> '')" for name in groups)
+    body = F.expr(
+        f"markup -> CASE WHEN markup RLIKE {_sql_text(f'(?is)<(?:{looked_at})')} THEN {found} ELSE named_struct({none}) END"
+    )
+    return F.call_function("transform", F.array(text_or_empty(html)), body)[0]
+
+
+def first_of(found: Column) -> Column:
+    """The first element of a group; '' if there is none."""
+    return F.coalesce(F.get(found, 0), F.lit(""))
+
+
 def first_element(html: ColumnOrName, specs) -> Column:
     """The first matching element's markup; '' if there is none."""
     return F.coalesce(F.get(elements(html, specs, only_first=True), 0), F.lit(""))

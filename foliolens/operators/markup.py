@@ -179,39 +179,47 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 def article_struct(html: Column, page_url: Column, now: Column) -> Column:
     """Article fields from markup: the first match of each field."""
-    byline, publication, series = (
-        H.first_element(html, specs) for specs in (V.BYLINE, V.PUBLICATION, V.SERIES_NAME)
-    )
+    return X.bind(H.element_groups(html, _ARTICLE_FIELDS, every=("tags",)), lambda found: _article_of(found, html, page_url, now))
+
+
+_ARTICLE_FIELDS = {
+    "title": V.TITLE, "subtitle": V.SUBTITLE, "byline": V.BYLINE, "date": V.DATE, "read_time": V.READ_TIME,
+    "claps": V.CLAPS, "responses": V.RESPONSES, "tags": V.TAG_LINKS, "publication": V.PUBLICATION,
+    "main_image": V.MAIN_IMAGE, "series": V.SERIES_NAME, "part": V.SERIES_PART,
+}
+
+
+def _article_of(found: Column, html: Column, page_url: Column, now: Column) -> Column:
+    byline, publication, series = (H.first_of(found[name]) for name in ("byline", "publication", "series"))
+
+    def text(name: str) -> Column:
+        return H.element_text(H.first_of(found[name]))
 
     def link(element: Column) -> Column:
         href = H.attribute(element, "href")
         return F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url))
 
-    tag_texts = F.transform(H.elements(html, V.TAG_LINKS), lambda tag: H.element_text(tag))
+    tag_texts = F.transform(found["tags"], lambda tag: H.element_text(tag))
     series_name = H.element_text(series)
     return F.struct(
-        X.clean_text(H.first_text(html, V.TITLE)).alias("title"),
-        X.clean_text(H.first_text(html, V.SUBTITLE)).alias("subtitle"),
+        X.clean_text(text("title")).alias("title"),
+        X.clean_text(text("subtitle")).alias("subtitle"),
         X.clean_text(H.element_text(byline)).alias("author"),
         link(byline).alias("author_url"),
-        dates.parse_article_date(H.first_text(html, V.DATE), now).alias("published_at"),
-        X.reading_minutes(H.first_text(html, V.READ_TIME)).cast("double").alias("read_time"),
-        X.digits_count(H.first_text(html, V.CLAPS)).alias("claps"),
-        X.digits_count(H.first_text(html, V.RESPONSES)).alias("responses"),
+        dates.parse_article_date(text("date"), now).alias("published_at"),
+        X.reading_minutes(text("read_time")).cast("double").alias("read_time"),
+        X.digits_count(text("claps")).alias("claps"),
+        X.digits_count(text("responses")).alias("responses"),
         F.filter(tag_texts, lambda tag: tag != "").alias("tags"),
         F.struct(
             H.element_text(publication).alias("name"), link(publication).alias("url")
         ).alias("publication"),
-        link_of_image(H.first_element(html, V.MAIN_IMAGE), page_url).alias("main_image"),
+        link_of_image(H.first_of(found["main_image"]), page_url).alias("main_image"),
         H.has_element(html, V.PREMIUM_FLAG).alias("is_premium"),
         page_url.alias("url"),
         F.when(
             series_name != "",
-            F.struct(
-                series_name.alias("name"),
-                link(series).alias("url"),
-                H.first_text(html, V.SERIES_PART).alias("part"),
-            ),
+            F.struct(series_name.alias("name"), link(series).alias("url"), text("part").alias("part")),
         ).alias("series"),
     ).cast(schemas.ARTICLE)
 
@@ -232,15 +240,22 @@ def markup_article(pages: DataFrame, now: Column) -> DataFrame:
 def comment_structs(html: Column, page_url: Column) -> Column:
     """Comments of a page in page order; empty without a comments section."""
 
+    fields = {
+        "author": V.COMMENT_AUTHOR, "content": V.COMMENT_CONTENT, "date": V.COMMENT_DATE, "claps": V.COMMENT_CLAPS,
+    }
+
     def described(comment: Column, index: Column) -> Column:
-        author = H.first_element(comment, V.COMMENT_AUTHOR)
+        return X.bind(H.element_groups(comment, fields), lambda found: one_comment(found, index))
+
+    def one_comment(found: Column, index: Column) -> Column:
+        author, content, date, claps = (H.first_of(found[name]) for name in fields)
         href = H.attribute(author, "href")
         return F.struct(
             H.element_text(author).alias("author"),
             F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url)).alias("author_url"),
-            H.element_text(F.element_at(F.concat(H.containers(comment, V.COMMENT_CONTENT), F.array(F.lit(""))), 1)).alias("content"),
-            H.first_text(comment, V.COMMENT_DATE).alias("date"),
-            X.digits_count(H.first_text(comment, V.COMMENT_CLAPS)).alias("claps"),
+            H.element_text(content).alias("content"),
+            H.element_text(date).alias("date"),
+            X.digits_count(H.element_text(claps)).alias("claps"),
             index.cast("bigint").alias("index"),
         )
 
@@ -263,18 +278,26 @@ def comments(pages: DataFrame) -> DataFrame:
 
 
 def publication_struct(html: Column, page_url: Column) -> Column:
-    element = H.first_element(html, V.PUBLICATION)
-    href = H.attribute(element, "href")
-    return F.when(
-        element != "",
-        F.struct(
-            H.element_text(element).alias("name"),
-            F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url)).alias("url"),
-            link_of_image(H.first_element(html, V.PUBLICATION_LOGO), page_url).alias("logo"),
-            H.first_text(html, V.PUBLICATION_DESCRIPTION).alias("description"),
-            X.digits_count(H.first_text(html, V.PUBLICATION_FOLLOWERS)).alias("followers"),
-        ),
-    )
+    fields = {
+        "element": V.PUBLICATION, "logo": V.PUBLICATION_LOGO, "description": V.PUBLICATION_DESCRIPTION,
+        "followers": V.PUBLICATION_FOLLOWERS,
+    }
+
+    def described(found: Column) -> Column:
+        element, logo, description, followers = (H.first_of(found[name]) for name in fields)
+        href = H.attribute(element, "href")
+        return F.when(
+            element != "",
+            F.struct(
+                H.element_text(element).alias("name"),
+                F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url)).alias("url"),
+                link_of_image(logo, page_url).alias("logo"),
+                H.element_text(description).alias("description"),
+                X.digits_count(H.element_text(followers)).alias("followers"),
+            ),
+        )
+
+    return X.bind(H.element_groups(html, fields), described)
 
 
 def publication(pages: DataFrame) -> DataFrame:
@@ -285,20 +308,27 @@ def publication(pages: DataFrame) -> DataFrame:
 
 def author_profile(pages: DataFrame) -> DataFrame:
     """Author fields of an author page; a page without markup gives the default row."""
+    fields = {
+        "name": V.AUTHOR_NAME, "bio": V.AUTHOR_BIO, "followers": V.AUTHOR_FOLLOWERS, "following": V.AUTHOR_FOLLOWING,
+        "avatar": V.AUTHOR_AVATAR, "username": V.AUTHOR_USERNAME,
+    }
+
+    def described(found: Column) -> Column:
+        name, bio, followers, following, avatar, username = (H.first_of(found[field]) for field in fields)
+        return F.struct(
+            F.when(F.col("html").isNull(), F.lit("Unknown")).otherwise(X.clean_text(H.element_text(name))).alias("name"),
+            X.clean_text(H.element_text(bio)).alias("bio"),
+            X.digits_count(H.element_text(followers)).alias("followers"),
+            X.digits_count(H.element_text(following)).alias("following"),
+            link_of_image(avatar, F.col("url")).alias("avatar"),
+            H.element_text(username).alias("username"),
+        )
+
     cleaned = pages.select("page_id", "url", "html", H.without_code("html").alias("markup"))
-    markup = F.col("markup")
-    return cleaned.select(
-        "page_id",
-        F.when(F.col("html").isNull(), F.lit("Unknown"))
-        .otherwise(X.clean_text(H.first_text(markup, V.AUTHOR_NAME)))
-        .alias("name"),
-        X.clean_text(H.first_text(markup, V.AUTHOR_BIO)).alias("bio"),
-        X.digits_count(H.first_text(markup, V.AUTHOR_FOLLOWERS)).alias("followers"),
-        X.digits_count(H.first_text(markup, V.AUTHOR_FOLLOWING)).alias("following"),
-        link_of_image(H.first_element(markup, V.AUTHOR_AVATAR), F.col("url")).alias("avatar"),
-        H.first_text(markup, V.AUTHOR_USERNAME).alias("username"),
-        "url",
+    told = cleaned.select(
+        "page_id", "url", X.bind(H.element_groups(F.col("markup"), fields), described).alias("profile")
     )
+    return told.select("page_id", "profile.*", "url")
 
 
 def author_links(pages: DataFrame) -> DataFrame:

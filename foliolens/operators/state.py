@@ -16,13 +16,32 @@ from foliolens.functions import dates, html as H, text as X
 from foliolens.operators import markup as M
 
 
+# Braces inside braces that one pattern reads; deeper objects are read token by token.
+_PATTERN_DEPTH = 16
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _nested_braces(depth: int) -> str:
+    """Pattern of an object with at most ``depth`` levels of braces inside; it never steps back."""
+    inside = rf"[^{{}}\"]++|{_STRING}" + (f"|{_nested_braces(depth - 1)}" if depth else "")
+    return rf"\{{(?:{inside})*+\}}"
+
+
 def balanced_object(text: Column) -> Column:
     """The object that the text begins with, up to the brace that closes it; null if none does.
 
     Braces inside quoted strings do not count.
     """
+    pattern = rf"(?s)\A{_nested_braces(_PATTERN_DEPTH)}"
+    return X.bind(text, lambda own: F.coalesce(
+        F.nullif(F.regexp_extract(own, pattern, 0), F.lit("")), _balanced_by_token(own)
+    ))
+
+
+def _balanced_by_token(text: Column) -> Column:
+    """The same for objects of any depth, and with quotes that are never closed."""
     # Strings and all between braces are one token each; a quote that is never closed is one alone.
-    tokens = F.regexp_extract_all(text, F.lit(r"""(?s)"(?:[^"\\]++|\\.)*+"|[{}"]|[^{}"]++"""), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"""(?s){_STRING}|[{{}}"]|[^{{}}"]++"""), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(state: Column, token: Column) -> Column:

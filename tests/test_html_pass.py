@@ -89,6 +89,8 @@ def seconds(spark, column, html):
     (lambda: F.size(H.tag_elements("html", "a")), "<a href='x'>t"),
     (lambda: F.length(H.without_code("html")), "x<!-- a "),
     (lambda: F.size(H.elements("html", (("a", "href", "*=", "q"),))), "<a "),
+    (lambda: F.size(H.element_groups("html", {"a": (("a", "href", "*=", "x"),)}, every=("a",))["a"]), "<a href='x'>t"),
+    (lambda: F.length(S.balanced_object(F.col("html"))), '{"a":'),
 ])
 def test_unclosed_tags_cost_time_in_proportion(spark, build, piece):
     seconds(spark, build(), piece * 1000)
@@ -118,6 +120,44 @@ def test_state_ends_at_its_own_brace(one):
         assert one(S.embedded_state(F.col("html")), html) == wanted
 
 
+@pytest.mark.parametrize("depth", [1, 15, 16, 17, 18, 60])
+def test_objects_of_any_depth_end_at_their_own_brace(one, depth):
+    inner = '{"a":' * depth + '"}{"' + "}" * depth
+    assert one(S.balanced_object(F.col("html")), inner + ' ; {"b":1}}') == inner
+    assert one(S.balanced_object(F.col("html")), inner[:-1]) is None
+
+
+GROUPS = {
+    "title": (("h1", "", "", ""), ("h2", "data-testid", "=", "t")),
+    "marked": (("*", "class", "~=", "x"), ("*", "data-testid", "=", "t")),
+    "links": (("a", "href", "*=", "/tag/"), ("a", "data-testid", "=", "tag")),
+    "image": (("img", "alt", "*=", "post"),),
+}
+
+
+@pytest.mark.parametrize("html", [
+    "<h1>a<b class='y x'>b</b></h1><a href=/tag/1>1</a><div><a data-testid='tag'>2</a></div><img alt='a post' src=q>",
+    "<div class=x>o<div class='x'>i</div>p</div><h2 data-testid=\"t\">T</h2><H1 ID='q'>late</H1>",
+    "<p class='xx'>no</p><img alt='other'><a href='/other/'>z</a>", "", None,
+    "<h1>never closed<h1>again</h1><a href='/tag/u'>u<a href='/tag/v'>v</a>",
+])
+def test_groups_from_one_cut_are_the_elements_of_each(one, html):
+    found = one(H.element_groups("html", GROUPS, every=("links", "marked")), html)
+    for name, specs in GROUPS.items():
+        wanted = one(H.elements("html", specs, only_first=name in ("title", "image")), html)
+        assert found[name] == wanted
+
+
+def test_a_group_element_without_end_ends_at_the_next_of_its_name(one):
+    found = one(H.element_groups("html", GROUPS, every=("links",)), "<a href='/tag/1'>1<p class=x>2</p><a>3</a><h1>4")
+    assert found["links"] == ["<a href='/tag/1'>1<p class=x>2</p>"] and found["title"] == ["<h1>4"]
+
+
+def test_groups_take_no_pairs():
+    with pytest.raises(ValueError):
+        H.element_groups("html", {"pair": ((("p", "", "", ""), ("a", "", "", "")),)})
+
+
 def test_unclosed_scripts_take_linear_time(one):
     def seconds(count):
         begin = time.perf_counter()
