@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliolens.fixed_values import HTML_ENTITIES
+from foliolens.functions.tags import Cut, found_in, found_in_each
 from foliolens.functions.text import ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
 _TAG_NAME = "[a-zA-Z][a-zA-Z0-9]*"
@@ -292,37 +293,45 @@ def elements(html: ColumnOrName, specs, outermost: bool = False, only_first: boo
     return F.call_function("transform", F.array(text_or_empty(html)), body)[0]
 
 
+def cut_for(specs, outermost: bool = False, only_first: bool = False, inner: Cut | None = None) -> Cut:
+    """The cut that finds what :func:`elements` does, for single specs."""
+    if any(len(spec) != 4 for spec in specs):
+        raise ValueError("cuts take no pairs of specs")
+    names = frozenset(spec[0] for spec in specs)
+    return Cut(_any_test(specs), None if "*" in names else names, outermost, only_first, inner=inner)
+
+
+def cut_for_groups(groups: dict[str, tuple], every: tuple[str, ...] = ()) -> Cut:
+    """The cut of :func:`element_groups`."""
+    if any(len(spec) != 4 for specs in groups.values() for spec in specs):
+        raise ValueError("groups take no pairs of specs")
+    looked_at = _any_test([spec for specs in groups.values() for spec in specs])
+    return Cut(
+        looked_at, own_next=True, groups=tuple((name, _any_test(specs)) for name, specs in groups.items()),
+        firsts=frozenset(groups) - frozenset(every),
+    )
+
+
+def page_elements(html: ColumnOrName, specs, outermost: bool = False, only_first: bool = False) -> Column:
+    """:func:`elements` of whole pages, found in Arrow batches; not for use in lambdas."""
+    return found_in(as_column(html), {"found": cut_for(specs, outermost, only_first)})["found"]
+
+
 def element_groups(html: ColumnOrName, groups: dict[str, tuple], every: tuple[str, ...] = ()) -> Column:
     """Elements of several groups of specs from one cut of the markup: a struct with an array for each group.
 
     Of a group in ``every`` all elements in page order, of any other the first alone; an empty array if
     there is none, also for null markup.  Specs are those of :func:`elements`, without pairs.  An element
-    without an end tag ends at the next tag of its name, or with the markup.
-    """
-    if any(len(spec) != 4 for specs in groups.values() for spec in specs):
-        raise ValueError("groups take no pairs of specs")
-    looked_at = _any_test([spec for specs in groups.values() for spec in specs])
-    placed = """
-      transform(ev, (e, i) -> named_struct('name', e.name, 'at', e.at, 'step', e.step,
-        'next', if(get(ev, i + 1).name = e.name, get(ev, i + 1).at, size(pieces))))
+    without an end tag ends at the next tag of its name, or with the markup.  Found in Arrow batches; not
+    for use in lambdas.
     """
+    return found_in(as_column(html), {"found": cut_for_groups(groups, every)})["found"]
 
-    def group(name: str, specs) -> str:
-        test = f"filter(hits, s -> {_starts('s', _any_test(specs))})"
-        return f"'{name}', transform({test if name in every else f'slice({test}, 1, 1)'}, s -> {_MARKUP_OF})"
 
-    found = f"""
-      transform(array({_cut_at_names(looked_at)}), pieces -> transform(array({_EVENTS}), ev ->
-        transform(array({placed}), ev -> transform(array({_SPANS}), spans ->
-          transform(array(filter(spans, s -> {_starts('s', looked_at)})), hits ->
-            named_struct({", ".join(group(name, specs) for name, specs in groups.items())})
-          )[0])[0])[0])[0])[0]
-    """
-    none = ", ".join(f"'{name}', transform(array_repeat(0, 0), none -> '')" for name in groups)
-    body = F.expr(
-        f"markup -> CASE WHEN markup RLIKE {_sql_text(f'(?is)<(?:{looked_at})')} THEN {found} ELSE named_struct({none}) END"
-    )
-    return F.call_function("transform", F.array(text_or_empty(html)), body)[0]
+def groups_in_each(pieces: ColumnOrName, groups: dict[str, tuple], every: tuple[str, ...] = ()) -> Column:
+    """:func:`element_groups` of every text of an array; null for null."""
+    found = found_in_each(as_column(pieces), {"found": cut_for_groups(groups, every)})
+    return F.transform(found, lambda one: one["found"])
 
 
 def first_of(found: Column) -> Column:
@@ -370,12 +379,17 @@ def item_texts(html: ColumnOrName) -> Column:
 
     An unclosed item ends where the next item or the list's end stands.
     """
+    return texts_of_items(tag_elements(html, "li"))
+
+
+def texts_of_items(items: Column) -> Column:
+    """The same for the items of a list."""
     def text(item: Column) -> Column:
         inner = F.regexp_replace(item, "^<[^<>]*>", "")
         cut = F.get(F.split(inner, rf"(?i)(?:{_ENDS_ITEM})[\s>]", 2), 0)
         return element_text(F.when(item.rlike(r"(?i)</li\s*>$"), item).otherwise(cut))
 
-    return F.filter(F.transform(tag_elements(html, "li"), text), lambda item: item != "")
+    return F.filter(F.transform(items, text), lambda item: item != "")
 
 
 # List items with their depth.  Of each list tag: its level, and the level whose open item
@@ -482,7 +496,7 @@ def tag_texts(html: ColumnOrName, tags: tuple[str, ...]) -> Column:
 
     Only elements outside of others of their tag: an inner one's text is part of the outer one's.
     """
-    boxes = elements(html, tuple((tag, "", "", "") for tag in tags), outermost=True)
+    boxes = page_elements(html, tuple((tag, "", "", "") for tag in tags), outermost=True)
     return F.transform(boxes, lambda box: F.struct(
         F.lower(F.regexp_extract(box, f"^<({_TAG_NAME})", 1)).alias("tag"), raw_text(box).alias("text")
     ))

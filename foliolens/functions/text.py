@@ -62,8 +62,16 @@ def text_or_empty(text: ColumnOrName) -> Column:
 
 
 def trim_ws(text: ColumnOrName) -> Column:
-    """Strip every browser whitespace character from both ends."""
-    return F.btrim(as_column(text), F.lit(WS_CHARACTERS))
+    """Strip every browser whitespace character from both ends.
+
+    Most texts have none but spaces there, which two characters tell; stripping others looks at all of a text.
+    """
+    def at_end(value: Column) -> Column:
+        return F.substring(value, 1, 1).isin(*WS_CHARACTERS) | F.substring(value, -1, 1).isin(*WS_CHARACTERS)
+
+    return bind(
+        F.trim(as_column(text)), lambda value: F.when(at_end(value), F.btrim(value, F.lit(WS_CHARACTERS))).otherwise(value)
+    )
 
 
 def collapse_ws(text: ColumnOrName) -> Column:
@@ -94,8 +102,11 @@ def cleaned_word_count(text: ColumnOrName) -> Column:
 
 
 def _spaces_plus_one(collapsed: Column) -> Column:
-    spaces = F.octet_length(collapsed) - F.octet_length(F.replace(collapsed, F.lit(" "), F.lit("")))
-    return (spaces + (collapsed != "").cast("int")).cast("bigint")
+    def counted(text: Column) -> Column:
+        spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+        return (spaces + (text != "").cast("int")).cast("bigint")
+
+    return bind(collapsed, counted)
 
 
 def reading_minutes(text: ColumnOrName) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foliolens import fixed_values as V
 from foliolens import schemas
 from foliolens.functions import dates, html as H, text as X
+from foliolens.functions.tags import found_in, found_in_each
 
 ARTICLE_TAG = (("article", "", "", ""),)
 MAIN_TAG = (("main", "", "", ""),)
@@ -33,12 +34,30 @@ def headings(html: Column) -> Column:
     )
 
 
+# What is looked for in a container: lists with their items, quotes with their authors, and the rest.
+_CONTENT_CUTS = {
+    "lists": H.cut_for((("ul", "", "", ""), ("ol", "", "", "")), inner=H.cut_for((("li", "", "", ""),))),
+    "quotes": H.cut_for((("blockquote", "", "", ""),), inner=H.cut_for((("cite", "", "", ""),), only_first=True)),
+    "code_blocks": H.cut_for((("pre", "", "", ""), ("code", "", "", ""))),
+    "images": H.cut_for((("img", "", "", ""),)),
+    "links": H.cut_for((("a", "href", "*=", ""),)),
+}
+
+
+def _with_inner(elements: Column, find) -> Column:
+    return F.transform(elements, lambda own: F.struct(own.alias("own"), find(own).alias("inner")))
+
+
 def lists(html: Column) -> Column:
     found = H.elements(html, (("ul", "", "", ""), ("ol", "", "", "")))
+    return lists_of(_with_inner(found, lambda lst: H.tag_elements(lst, "li")))
+
+
+def lists_of(found: Column) -> Column:
     return F.transform(
         found,
         lambda lst: F.struct(
-            F.lower(F.substring(lst, 2, 2)).alias("type"), H.item_texts(lst).alias("items")
+            F.lower(F.substring(lst["own"], 2, 2)).alias("type"), H.texts_of_items(lst["inner"]).alias("items")
         ),
     )
 
@@ -50,19 +69,26 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 
 def quotes(html: Column) -> Column:
+    found = H.tag_elements(html, "blockquote")
+    return quotes_of(_with_inner(found, lambda quote: H.elements(quote, (("cite", "", "", ""),), only_first=True)))
+
+
+def quotes_of(found: Column) -> Column:
     return F.transform(
-        H.tag_elements(html, "blockquote"),
+        found,
         lambda q: F.struct(
-            H.element_text(q).alias("text"),
-            H.first_text(q, (("cite", "", "", ""),)).alias("author"),
+            H.element_text(q["own"]).alias("text"),
+            H.element_text(H.first_of(q["inner"])).alias("author"),
         ),
     )
 
 
 def code_blocks(html: Column) -> Column:
     """``pre`` and ``code`` elements in page order; code inside pre is listed too."""
-    every = H.elements(html, (("pre", "", "", ""), ("code", "", "", "")))
+    return code_blocks_of(H.elements(html, (("pre", "", "", ""), ("code", "", "", ""))))
 
+
+def code_blocks_of(found: Column) -> Column:
     def described(block: Column) -> Column:
         language = F.regexp_extract(H.attribute(block, "class"), "language-([0-9A-Za-z_]+)", 1)
         return F.struct(
@@ -70,12 +96,16 @@ def code_blocks(html: Column) -> Column:
             H.element_text(block).alias("code"),
         )
 
-    return F.transform(every, described)
+    return F.transform(found, described)
 
 
 def images(html: Column) -> Column:
+    return images_of(H.tag_elements(html, "img"))
+
+
+def images_of(found: Column) -> Column:
     return F.transform(
-        H.tag_elements(html, "img"),
+        found,
         lambda img: F.struct(
             H.attribute(img, "src").alias("src"),
             H.attribute(img, "alt").alias("alt"),
@@ -85,8 +115,12 @@ def images(html: Column) -> Column:
 
 
 def links(html: Column, page_url: Column) -> Column:
+    return links_of(H.elements(html, (("a", "href", "*=", ""),)), page_url)
+
+
+def links_of(found: Column, page_url: Column) -> Column:
     return F.transform(
-        H.elements(html, (("a", "href", "*=", ""),)),
+        found,
         lambda a: F.struct(
             H.element_text(a).alias("text"),
             H.absolute_url(H.attribute(a, "href"), page_url).alias("url"),
@@ -95,7 +129,14 @@ def links(html: Column, page_url: Column) -> Column:
     )
 
 
-def content_struct(container: Column, page_url: Column) -> Column:
+def content_structs(boxes: Column, page_url: Column) -> Column:
+    """All blocks of every container of a page."""
+    return F.zip_with(
+        boxes, found_in_each(boxes, _CONTENT_CUTS), lambda box, found: content_struct(box, found, page_url)
+    )
+
+
+def content_struct(container: Column, found: Column, page_url: Column) -> Column:
     """All blocks of one container, its readable text and word count."""
     return X.bind(
         H.element_text(container, " "),
@@ -103,11 +144,11 @@ def content_struct(container: Column, page_url: Column) -> Column:
             text.alias("text_content"),
             headings(container).alias("headings"),
             H.paragraph_texts(container).alias("paragraphs"),
-            lists(container).alias("lists"),
-            quotes(container).alias("quotes"),
-            code_blocks(container).alias("code_blocks"),
-            images(container).alias("images"),
-            links(container, page_url).alias("links"),
+            lists_of(found["lists"]).alias("lists"),
+            quotes_of(found["quotes"]).alias("quotes"),
+            code_blocks_of(found["code_blocks"]).alias("code_blocks"),
+            images_of(found["images"]).alias("images"),
+            links_of(found["links"], page_url).alias("links"),
             X.word_count(text).alias("word_count"),
         ),
     )
@@ -115,10 +156,9 @@ def content_struct(container: Column, page_url: Column) -> Column:
 
 def content_containers(html: Column) -> Column:
     """The marked content containers; without any, the page's articles."""
-    marked = F.filter(H.containers(html, V.CONTENT_CONTAINER), lambda c: c != "")
+    cuts = {"marked": H.cut_for(V.CONTENT_CONTAINER), "articles": H.cut_for(ARTICLE_TAG)}
     return X.bind(
-        marked,
-        lambda found: F.when(F.size(found) > 0, found).otherwise(H.containers(html, ARTICLE_TAG)),
+        found_in(html, cuts), lambda found: F.when(F.size(found["marked"]) > 0, found["marked"]).otherwise(found["articles"])
     )
 
 
@@ -149,7 +189,7 @@ def markup_content(pages: DataFrame) -> DataFrame:
     found = pages.select("page_id", "url", content_containers(H.without_code("html")).alias("found"))
     return found.select(
         "page_id", "url",
-        F.transform("found", lambda c: content_struct(c, F.col("url"))).alias("contents"),
+        content_structs(F.col("found"), F.col("url")).alias("contents"),
     )
 
 
@@ -196,8 +236,7 @@ def _article_of(found: Column, html: Column, page_url: Column, now: Column) -> C
         return H.element_text(H.first_of(found[name]))
 
     def link(element: Column) -> Column:
-        href = H.attribute(element, "href")
-        return F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url))
+        return linked(element, "href", page_url)
 
     tag_texts = F.transform(found["tags"], lambda tag: H.element_text(tag))
     series_name = H.element_text(series)
@@ -224,9 +263,15 @@ def _article_of(found: Column, html: Column, page_url: Column, now: Column) -> C
     ).cast(schemas.ARTICLE)
 
 
+def linked(element: Column, name: str, page_url: Column) -> Column:
+    """The URL in an attribute of an element; '' if it has none."""
+    return X.bind(
+        H.attribute(element, name), lambda link: F.when(link == "", F.lit("")).otherwise(H.absolute_url(link, page_url))
+    )
+
+
 def link_of_image(element: Column, page_url: Column) -> Column:
-    src = H.attribute(element, "src")
-    return F.when(src == "", F.lit("")).otherwise(H.absolute_url(src, page_url))
+    return linked(element, "src", page_url)
 
 
 def markup_article(pages: DataFrame, now: Column) -> DataFrame:
@@ -244,15 +289,11 @@ def comment_structs(html: Column, page_url: Column) -> Column:
         "author": V.COMMENT_AUTHOR, "content": V.COMMENT_CONTENT, "date": V.COMMENT_DATE, "claps": V.COMMENT_CLAPS,
     }
 
-    def described(comment: Column, index: Column) -> Column:
-        return X.bind(H.element_groups(comment, fields), lambda found: one_comment(found, index))
-
     def one_comment(found: Column, index: Column) -> Column:
         author, content, date, claps = (H.first_of(found[name]) for name in fields)
-        href = H.attribute(author, "href")
         return F.struct(
             H.element_text(author).alias("author"),
-            F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url)).alias("author_url"),
+            linked(author, "href", page_url).alias("author_url"),
             H.element_text(content).alias("content"),
             H.element_text(date).alias("date"),
             X.digits_count(H.element_text(claps)).alias("claps"),
@@ -262,10 +303,9 @@ def comment_structs(html: Column, page_url: Column) -> Column:
     nothing = F.array().cast(
         "array<struct<author:string,author_url:string,content:string,date:string,claps:bigint,index:bigint>>"
     )
-    return F.when(
-        H.has_element(html, V.COMMENTS_SECTION),
-        F.transform(H.containers(html, V.COMMENT), described),
-    ).otherwise(nothing)
+    has_section = H.has_element(html, V.COMMENTS_SECTION)
+    found = H.page_elements(F.when(has_section, html), V.COMMENT)
+    return F.when(has_section, F.transform(H.groups_in_each(found, fields), one_comment)).otherwise(nothing)
 
 
 def comments(pages: DataFrame) -> DataFrame:
@@ -285,12 +325,11 @@ def publication_struct(html: Column, page_url: Column) -> Column:
 
     def described(found: Column) -> Column:
         element, logo, description, followers = (H.first_of(found[name]) for name in fields)
-        href = H.attribute(element, "href")
         return F.when(
             element != "",
             F.struct(
                 H.element_text(element).alias("name"),
-                F.when(href == "", F.lit("")).otherwise(H.absolute_url(href, page_url)).alias("url"),
+                linked(element, "href", page_url).alias("url"),
                 link_of_image(logo, page_url).alias("logo"),
                 H.element_text(description).alias("description"),
                 X.digits_count(H.element_text(followers)).alias("followers"),

@@ -317,7 +317,7 @@ def assemble_article(
     )
     parts = {
         "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(
-            M.article_struct(markup, url, now)
+            M.article_struct(F.when(post.isNull(), markup), url, now)
         )
     }
     if include_comments:
@@ -331,11 +331,11 @@ def assemble_article(
     found = read.select(
         "page_id", "url", *keep, *[column.alias(name) for name, column in parts.items()],
         F.when(post.isNotNull(), _blocks(F.col("records"), post)).alias("blocks"),
-        F.when(post.isNull(), M.content_containers(markup)).alias("boxes"),
+        F.when(post.isNull(), M.content_containers(F.when(post.isNull(), markup))).alias("boxes"),
     )
     read_parts = found.select(
         "page_id", *keep, *parts, F.when(F.col("blocks").isNotNull(), content_of_blocks(F.col("blocks"))).alias("stated"),
-        F.transform("boxes", lambda box: M.content_struct(box, url)).alias("contents"),
+        M.content_structs(F.col("boxes"), url).alias("contents"),
     )
     merged = F.when(F.col("contents").isNotNull(), M.flatten_content(F.col("contents")).cast(schemas.CONTENT))
     return read_parts.select("page_id", *keep, *parts, F.coalesce("stated", merged).alias("content"))
