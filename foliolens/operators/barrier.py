@@ -24,8 +24,9 @@ _TEXTS = (*_PREMIUM_TEXTS, *V.MEMBER_TEXTS, *V.SUBSCRIPTION_TEXTS, *V.LOGIN_TEXT
 
 def text_boxes(markup: Column, plain: Column) -> Column:
     """Elements that may hold a text cue, in one pass; none if the text of the whole page holds no such text."""
-    boxes = H.tag_texts(markup, tuple(sorted({tag for tag, _ in _TEXTS})))
-    return F.when(plain.rlike(H.any_text(tuple(sorted({text for _, text in _TEXTS})))), boxes)
+    cued = plain.rlike(H.any_text(tuple(sorted({text for _, text in _TEXTS}))))
+    boxes = H.tag_texts(F.when(cued, markup), tuple(sorted({tag for tag, _ in _TEXTS})))
+    return F.when(cued, boxes)
 
 
 def _any_text(boxes: Column, pairs) -> Column:
@@ -49,7 +50,7 @@ def barrier_cues(markup: Column, boxes: Column, compat: bool = False) -> Column:
     premium_mark = H.has_element(markup, V.BARRIER_MARKS)
     member = H.has_element(markup, V.MEMBER_MARKS)
     subscription = H.has_element(markup, V.SUBSCRIPTION_MARKS)
-    body = H.first_element(markup, _BODY)
+    body = H.first_of(H.page_elements(markup, _BODY, only_first=True))
     truncated = F.length(H.raw_text(body)) < V.TRUNCATION_THRESHOLD
     if compat:
         premium = F.when(span_text, F.lit("unknown")).when(premium_mark, F.lit("premium"))

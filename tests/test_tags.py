@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.functions import html as H, text as X
-from foliolens.operators import markup as M, state as S
+from foliolens.operators import barrier, markup as M, state as S
 
 PAGES = [
     "<div data-testid='articleContent'>a<div>b</div></div><DIV Data-TestID=articleBody >c",
@@ -18,6 +18,7 @@ CUTS = [
     (V.CONTENT_CONTAINER, {}), (M.ARTICLE_TAG, {"outermost": True}), ((("ul", "", "", ""), ("ol", "", "", "")), {}),
     ((("pre", "", "", ""), ("code", "", "", "")), {}), ((("img", "", "", ""),), {"outermost": True}), ((("img", "", "", ""),), {}),
     ((("a", "href", "*=", ""),), {}), (V.POST_DATE, {"only_first": True}), (V.POST_BOXES, {}), (V.DATE, {}), ((("li", "", "", ""),), {}),
+    (barrier._BODY, {"only_first": True}),
 ]
 
 
@@ -36,6 +37,7 @@ def plan_of(frame):
 
 @pytest.mark.parametrize("build", [
     M.page_content, lambda pages: S.assemble_article(pages, F.lit("2024-03-31").cast("timestamp"), include_comments=True),
+    lambda pages: barrier.barrier_classify(pages),
 ])
 def test_pages_are_cut_in_batches_alone(spark, build):
     """The native pass sorts the tags of a page inside of row expressions, several times for each kind of element."""
