@@ -7,8 +7,6 @@ here shuffles.  Visibility cannot be known from stored markup; presence counts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -412,56 +410,46 @@ def listing(pages: DataFrame) -> DataFrame:
     def in_context(anchors: Column, context: Column) -> Column:
         return F.transform(anchors, lambda a: F.struct(a.alias("anchor"), context.alias("context")))
 
-    def within(boxes: Column, find) -> Column:
-        return F.flatten(F.transform(boxes, lambda box: in_context(find(box), box)))
+    def within(name: str) -> Column:
+        return F.flatten(F.zip_with(
+            "articles", "found", lambda box, found: in_context(found[name], box)
+        ))
+
+    def direct_links(anchors: Column) -> Column:
+        return in_context(F.filter(anchors, lambda a: ~F.contains(H.attribute(a, "href"), F.lit("/@"))), F.lit(""))
 
-    def anchors_of(box: Column) -> Column:
-        return H.tag_elements(box, "a")
+    markup, told = F.col("markup"), F.col("told")
+    anchor_cut = H.cut_for((("a", "", "", ""),))
+    cleaned = pages.select("page_id", "url", H.without_code("html").alias("markup"))
+    boxed = cleaned.select("page_id", "url", found_in(markup, {
+        "articles": H.cut_for(ARTICLE_TAG), "boxes": H.cut_for(V.POST_LINK_BOXES, inner=anchor_cut),
+        "anywhere": H.cut_for(V.POST_LINKS_ANYWHERE), "marked": H.cut_for(V.POST_BOXES, inner=anchor_cut),
+    }).alias("told"))
+    # Ways that find links inside of articles look at each article once.
+    looked = boxed.select("page_id", "url", "told", told["articles"].alias("articles"), found_in_each(told["articles"], {
+        "direct": H.cut_for(V.POST_LINKS_IN_ARTICLE), "anchors": anchor_cut,
+        "headings": H.cut_for((("h2", "", "", ""), ("h3", "", "", "")), inner=anchor_cut),
+    }).alias("found"))
+
+    def inner_of(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda one: one["inner"]))
 
-    articles, markup = F.col("articles"), F.col("markup")
     direct = F.concat(
-        within(articles, lambda box: H.elements(box, V.POST_LINKS_IN_ARTICLE)),
-        F.flatten(
-            F.transform(
-                H.containers(markup, V.POST_LINK_BOXES),
-                lambda box: in_context(
-                    F.filter(anchors_of(box), lambda a: ~F.contains(H.attribute(a, "href"), F.lit("/@"))),
-                    F.lit(""),
-                ),
-            )
-        ),
-        in_context(
-            F.filter(
-                H.elements(markup, V.POST_LINKS_ANYWHERE),
-                lambda a: ~F.contains(H.attribute(a, "href"), F.lit("/@")),
-            ),
-            F.lit(""),
-        ),
-    )
-    in_articles = within(articles, anchors_of)
-    in_headings = within(
-        articles,
-        lambda box: F.flatten(
-            F.transform(H.elements(box, (("h2", "", "", ""), ("h3", "", "", ""))), anchors_of)
-        ),
-    )
-    in_boxes = F.flatten(
-        F.transform(H.containers(markup, V.POST_BOXES), lambda box: in_context(anchors_of(box), F.lit("")))
-    )
-    steps = (direct, in_articles, in_headings, in_boxes)
-    chosen = F.coalesce(
-        *[F.when(F.size(found) > 0, found) for found in steps], no_links
+        within("direct"), F.flatten(F.transform(told["boxes"], lambda box: direct_links(box["inner"]))),
+        direct_links(told["anywhere"]),
     )
+    in_headings = F.flatten(F.zip_with(
+        "articles", "found", lambda box, found: in_context(inner_of(found["headings"]), box)
+    ))
+    in_boxes = in_context(inner_of(told["marked"]), F.lit(""))
+    steps = (direct, within("anchors"), in_headings, in_boxes)
+    chosen = F.coalesce(*[X.bind(step, lambda found: F.when(F.size(found) > 0, found)) for step in steps], no_links)
 
-    def title_of(anchor: Column) -> Column:
-        titled = reduce(
-            lambda rest, specs: F.when(
-                H.first_element(anchor, specs) != "", H.first_text(anchor, specs)
-            ).otherwise(rest),
-            reversed(V.POST_TITLE_STEPS),
-            F.lit(""),
-        )
-        return F.coalesce(F.nullif(titled, F.lit("")), H.element_text(anchor))
+    titles = [f"title{i}" for i in range(len(V.POST_TITLE_STEPS))]
+
+    def title_of(anchor: Column, found: Column) -> Column:
+        titled = F.coalesce(*[F.get(found[name], 0) for name in titles], F.lit(""))
+        return X.bind(H.element_text(titled), lambda text: F.when(text != "", text).otherwise(H.element_text(anchor)))
 
     def context_text(context: Column) -> Column:
         paragraph = F.regexp_extract(
@@ -469,19 +457,24 @@ def listing(pages: DataFrame) -> DataFrame:
         )
         return H.element_text(paragraph)
 
-    cleaned = pages.select("page_id", "url", H.without_code("html").alias("markup"))
-    boxed = cleaned.select("page_id", "url", "markup", H.containers(markup, ARTICLE_TAG).alias("articles"))
-    placed = X.exploded(boxed, ["page_id", "url"], chosen, "index", "post")
+    placed = X.exploded(looked, ["page_id", "url"], chosen, "index", "post")
     anchor, context = F.col("post.anchor"), F.col("post.context")
-    named = X.computed(placed, title=title_of(anchor), href=H.attribute(anchor, "href"))
+    in_anchor = found_in(anchor, {
+        name: H.cut_for(specs, only_first=True) for name, specs in zip(titles, V.POST_TITLE_STEPS)
+    })
+    in_post = found_in(context, {
+        "date": H.cut_for(V.POST_DATE, only_first=True), "read_time": H.cut_for(V.POST_READ_TIME, only_first=True),
+    })
+    read = placed.select("*", in_anchor.alias("in_anchor"), in_post.alias("in_post"))
+    named = X.computed(read, title=title_of(anchor, F.col("in_anchor")), href=H.attribute(anchor, "href"))
     return named.filter((F.length("title") > 0) & (F.length("href") > 0)).select(
         "page_id",
         "index",
         "title",
         context_text(context).alias("subtitle"),
         H.absolute_url("href", url).alias("url"),
-        H.first_text(context, V.POST_DATE).alias("date"),
-        H.first_text(context, V.POST_READ_TIME).alias("read_time"),
+        H.element_text(H.first_of(F.col("in_post.date"))).alias("date"),
+        H.element_text(H.first_of(F.col("in_post.read_time"))).alias("read_time"),
     )
 
 

@@ -36,7 +36,7 @@ def plan_of(frame):
 
 
 @pytest.mark.parametrize("build", [
-    M.page_content, lambda pages: S.assemble_article(pages, F.lit("2024-03-31").cast("timestamp"), include_comments=True),
+    M.listing, M.page_content, lambda pages: S.assemble_article(pages, F.lit("2024-03-31").cast("timestamp"), include_comments=True),
     lambda pages: barrier.barrier_classify(pages),
 ])
 def test_pages_are_cut_in_batches_alone(spark, build):
