@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliolens.fixed_values import HTML_ENTITIES
-from foliolens.functions.tags import Cut, found_in, found_in_each
+from foliolens.functions.tags import Cut, found_in
 from foliolens.functions.text import ColumnOrName, as_column, bind, text_or_empty, trim_ws
 
 _TAG_NAME = "[a-zA-Z][a-zA-Z0-9]*"
@@ -328,12 +328,6 @@ def element_groups(html: ColumnOrName, groups: dict[str, tuple], every: tuple[st
     return found_in(as_column(html), {"found": cut_for_groups(groups, every)})["found"]
 
 
-def groups_in_each(pieces: ColumnOrName, groups: dict[str, tuple], every: tuple[str, ...] = ()) -> Column:
-    """:func:`element_groups` of every text of an array; null for null."""
-    found = found_in_each(as_column(pieces), {"found": cut_for_groups(groups, every)})
-    return F.transform(found, lambda one: one["found"])
-
-
 def first_of(found: Column) -> Column:
     """The first element of a group; '' if there is none."""
     return F.coalesce(F.get(found, 0), F.lit(""))

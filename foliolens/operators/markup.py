@@ -152,11 +152,17 @@ def content_struct(container: Column, found: Column, page_url: Column) -> Column
     )
 
 
-def content_containers(html: Column) -> Column:
-    """The marked content containers; without any, the page's articles."""
-    cuts = {"marked": H.cut_for(V.CONTENT_CONTAINER), "articles": H.cut_for(ARTICLE_TAG)}
+CONTAINER_CUTS = {"marked": H.cut_for(V.CONTENT_CONTAINER), "articles": H.cut_for(ARTICLE_TAG)}
+
+
+def content_containers(html: Column, told: Column | None = None) -> Column:
+    """The marked content containers; without any, the page's articles.
+
+    ``told`` is what ``CONTAINER_CUTS`` found where that has been looked for already.
+    """
     return X.bind(
-        found_in(html, cuts), lambda found: F.when(F.size(found["marked"]) > 0, found["marked"]).otherwise(found["articles"])
+        found_in(html, CONTAINER_CUTS) if told is None else told,
+        lambda found: F.when(F.size(found["marked"]) > 0, found["marked"]).otherwise(found["articles"]),
     )
 
 
@@ -215,9 +221,10 @@ def page_words(pages: DataFrame) -> DataFrame:
 # --- article fields ---------------------------------------------------------------
 
 
-def article_struct(html: Column, page_url: Column, now: Column) -> Column:
-    """Article fields from markup: the first match of each field."""
-    return X.bind(H.element_groups(html, _ARTICLE_FIELDS, every=("tags",)), lambda found: _article_of(found, html, page_url, now))
+def article_struct(html: Column, page_url: Column, now: Column, told: Column | None = None) -> Column:
+    """Article fields from markup: the first match of each field.  ``told`` is what ``ARTICLE_CUT`` found."""
+    found = found_in(html, {"found": ARTICLE_CUT})["found"] if told is None else told
+    return X.bind(found, lambda found: _article_of(found, html, page_url, now))
 
 
 _ARTICLE_FIELDS = {
@@ -225,6 +232,7 @@ _ARTICLE_FIELDS = {
     "claps": V.CLAPS, "responses": V.RESPONSES, "tags": V.TAG_LINKS, "publication": V.PUBLICATION,
     "main_image": V.MAIN_IMAGE, "series": V.SERIES_NAME, "part": V.SERIES_PART,
 }
+ARTICLE_CUT = H.cut_for_groups(_ARTICLE_FIELDS, every=("tags",))
 
 
 def _article_of(found: Column, html: Column, page_url: Column, now: Column) -> Column:
@@ -280,15 +288,24 @@ def markup_article(pages: DataFrame, now: Column) -> DataFrame:
 # --- comments, publication, author ---------------------------------------------------
 
 
-def comment_structs(html: Column, page_url: Column) -> Column:
-    """Comments of a page in page order; empty without a comments section."""
+_COMMENT_FIELDS = {
+    "author": V.COMMENT_AUTHOR, "content": V.COMMENT_CONTENT, "date": V.COMMENT_DATE, "claps": V.COMMENT_CLAPS,
+}
+COMMENT_CUT = H.cut_for(V.COMMENT, inner=H.cut_for_groups(_COMMENT_FIELDS))
 
-    fields = {
-        "author": V.COMMENT_AUTHOR, "content": V.COMMENT_CONTENT, "date": V.COMMENT_DATE, "claps": V.COMMENT_CLAPS,
-    }
 
-    def one_comment(found: Column, index: Column) -> Column:
-        author, content, date, claps = (H.first_of(found[name]) for name in fields)
+def has_comments(html: Column) -> Column:
+    return H.has_element(html, V.COMMENTS_SECTION)
+
+
+def comment_structs(html: Column, page_url: Column, told: Column | None = None) -> Column:
+    """Comments of a page in page order; empty without a comments section.
+
+    ``told`` is what ``COMMENT_CUT`` found in a page with such a section.
+    """
+
+    def one_comment(comment: Column, index: Column) -> Column:
+        author, content, date, claps = (H.first_of(comment["inner"][name]) for name in _COMMENT_FIELDS)
         return F.struct(
             H.element_text(author).alias("author"),
             linked(author, "href", page_url).alias("author_url"),
@@ -301,9 +318,9 @@ def comment_structs(html: Column, page_url: Column) -> Column:
     nothing = F.array().cast(
         "array<struct<author:string,author_url:string,content:string,date:string,claps:bigint,index:bigint>>"
     )
-    has_section = H.has_element(html, V.COMMENTS_SECTION)
-    found = H.page_elements(F.when(has_section, html), V.COMMENT)
-    return F.when(has_section, F.transform(H.groups_in_each(found, fields), one_comment)).otherwise(nothing)
+    has_section = has_comments(html)
+    found = found_in(F.when(has_section, html), {"found": COMMENT_CUT})["found"] if told is None else told
+    return F.when(has_section, F.transform(found, one_comment)).otherwise(nothing)
 
 
 def comments(pages: DataFrame) -> DataFrame:
@@ -315,14 +332,17 @@ def comments(pages: DataFrame) -> DataFrame:
     return placed.select("page_id", "url", "c.*")
 
 
-def publication_struct(html: Column, page_url: Column) -> Column:
-    fields = {
-        "element": V.PUBLICATION, "logo": V.PUBLICATION_LOGO, "description": V.PUBLICATION_DESCRIPTION,
-        "followers": V.PUBLICATION_FOLLOWERS,
-    }
+_PUBLICATION_FIELDS = {
+    "element": V.PUBLICATION, "logo": V.PUBLICATION_LOGO, "description": V.PUBLICATION_DESCRIPTION,
+    "followers": V.PUBLICATION_FOLLOWERS,
+}
+PUBLICATION_CUT = H.cut_for_groups(_PUBLICATION_FIELDS)
+
 
+def publication_struct(html: Column, page_url: Column, told: Column | None = None) -> Column:
+    """The publication a page names; null without one.  ``told`` is what ``PUBLICATION_CUT`` found."""
     def described(found: Column) -> Column:
-        element, logo, description, followers = (H.first_of(found[name]) for name in fields)
+        element, logo, description, followers = (H.first_of(found[name]) for name in _PUBLICATION_FIELDS)
         return F.when(
             element != "",
             F.struct(
@@ -334,7 +354,7 @@ def publication_struct(html: Column, page_url: Column) -> Column:
             ),
         )
 
-    return X.bind(H.element_groups(html, fields), described)
+    return X.bind(found_in(html, {"found": PUBLICATION_CUT})["found"] if told is None else told, described)
 
 
 def publication(pages: DataFrame) -> DataFrame:

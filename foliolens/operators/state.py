@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliolens import fixed_values as V
 from foliolens import schemas
 from foliolens.functions import dates, html as H, text as X
+from foliolens.functions.tags import found_in
 from foliolens.operators import markup as M
 
 
@@ -311,19 +312,29 @@ def assemble_article(
         embedded_state(F.col("html")).alias("state"),
         (H.without_code("html") if cleaned is None else cleaned).alias("markup"),
     ).select("page_id", "url", *keep, "markup", "state", state_map(F.col("state")).alias("records"))
-    markup, url, post = F.col("markup"), F.col("url"), F.col("post")
+    markup, url, post, told = F.col("markup"), F.col("url"), F.col("post"), F.col("told")
     read = read.select(
         "page_id", "url", *keep, "markup", "records", post_record(F.col("records")).alias("post")
     )
+    # All that is looked for in a page's markup is found by one function, and so by one Python worker.
+    cuts, asked = {"article": M.ARTICLE_CUT}, {"article": post.isNull()}
+    if include_comments:
+        cuts["comments"], asked["comments"] = M.COMMENT_CUT, M.has_comments(markup)
+    if include_publication:
+        cuts["publication"] = M.PUBLICATION_CUT
+    if include_content:
+        cuts |= M.CONTAINER_CUTS
+        asked |= dict.fromkeys(M.CONTAINER_CUTS, post.isNull())
+    read = read.select("page_id", "url", *keep, "markup", "records", "post", found_in(markup, cuts, asked).alias("told"))
     parts = {
         "article": F.when(post.isNotNull(), state_article(post, url, now)).otherwise(
-            M.article_struct(F.when(post.isNull(), markup), url, now)
+            M.article_struct(F.when(post.isNull(), markup), url, now, told["article"])
         )
     }
     if include_comments:
-        parts["comments"] = M.comment_structs(markup, url)
+        parts["comments"] = M.comment_structs(markup, url, told["comments"])
     if include_publication:
-        parts["publication"] = M.publication_struct(markup, url)
+        parts["publication"] = M.publication_struct(markup, url, told["publication"])
     if not include_content:
         return read.select("page_id", *keep, *[column.alias(name) for name, column in parts.items()])
     # State first, as for the article's fields: its pages have their text nowhere else.
@@ -331,7 +342,7 @@ def assemble_article(
     found = read.select(
         "page_id", "url", *keep, *[column.alias(name) for name, column in parts.items()],
         F.when(post.isNotNull(), _blocks(F.col("records"), post)).alias("blocks"),
-        F.when(post.isNull(), M.content_containers(F.when(post.isNull(), markup))).alias("boxes"),
+        F.when(post.isNull(), M.content_containers(markup, told)).alias("boxes"),
     )
     read_parts = found.select(
         "page_id", *keep, *parts, F.when(F.col("blocks").isNotNull(), content_of_blocks(F.col("blocks"))).alias("stated"),

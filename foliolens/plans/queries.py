@@ -18,7 +18,7 @@ from foliolens.operators import (
     barrier, events as E, exports, keywords, markup as M, relational as R, requests, runs, state as S, stats,
 )
 from foliolens.plans import flagship
-from foliolens.session import new_folder
+from foliolens.session import BATCHES, new_folder
 from foliolens.sources import adapters as A, tables as T
 from foliolens.streaming import jobs
 
@@ -32,7 +32,8 @@ RANGE = (datetime(2024, 1, 5), datetime(2024, 2, 20))
 def named(name: str) -> Callable[[Query], Query]:
     def register_query(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in {"spark.sql.session.timeZone": "UTC", **BATCHES}.items():
+                spark.conf.set(key, value)
             return build(spark, folder)
 
         QUERIES[name] = run

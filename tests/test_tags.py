@@ -1,11 +1,13 @@
 """The tag pass in Arrow batches: the same elements as the native pass, and each page cut outside of row expressions."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
-from foliolens.functions import html as H, text as X
+from foliolens.functions import html as H, tags, text as X
 from foliolens.operators import barrier, markup as M, state as S
+from foliolens.plans.queries import QUERIES
 
 PAGES = [
     "<div data-testid='articleContent'>a<div>b</div></div><DIV Data-TestID=articleBody >c",
@@ -56,3 +58,53 @@ def test_words_are_counted_on_one_collapsed_text(spark):
 def test_ends_are_stripped(evaluate, text):
     wanted = None if text is None else text.strip(X.WS_CHARACTERS)
     assert evaluate(X.trim_ws, [(text,)], "t string") == [wanted]
+
+
+@pytest.mark.parametrize("options, functions", [({"include_comments": True}, 2), ({"include_content": False}, 1)])
+def test_an_article_is_read_by_few_python_functions(spark, options, functions):
+    """Each of them has a Python worker of its own in every task, with a batch of pages in it."""
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    plan = plan_of(S.assemble_article(pages, F.lit("2024-03-31").cast("timestamp"), **options))
+    assert plan.count("ArrowEvalPython") == functions
+
+
+def test_a_cut_that_is_not_asked_for_finds_nothing(spark):
+    pages = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, wanted boolean")
+    cuts = {"links": H.cut_for((("a", "", "", ""),)), "bold": H.cut_for((("b", "", "", ""),))}
+    found = pages.select("id", tags.found_in(F.lit("<a>1</a><b>2</b>"), cuts, {"links": F.col("wanted")}).alias("found"))
+    assert [(row["id"], *row["found"]) for row in found.orderBy("id").collect()] == [
+        (1, ["<a>1</a>"], ["<b>2</b>"]), (2, [], ["<b>2</b>"]), (3, [], ["<b>2</b>"]),
+    ]
+
+
+def test_pages_are_cut_whatever_the_size_of_a_batch(spark):
+    sizes = [0, 5, 700_000, 1, 400_000, 400_000, 3, 900_000]
+    pages = spark.createDataFrame([(i, f"<p>{'x' * n}</p>" * (n > 0)) for i, n in enumerate(sizes)], "id int, html string").coalesce(1)
+    found = pages.select("id", F.size(H.page_elements("html", (("p", "", "", ""),))).alias("n"), F.length("html").alias("length"))
+    assert [tuple(row) for row in found.orderBy("id").collect()] == [(i, int(n > 0), n + 7 * (n > 0)) for i, n in enumerate(sizes)]
+
+
+def test_few_pages_of_a_batch_are_python_objects_at_a_time():
+    batch = pa.array(["x" * 100_000] * 50 + [None])
+    parts = [rows for (rows,) in tags._parts(batch)]
+    assert max(sum(len(row or "") for row in rows) for rows in parts) <= 600_000
+    assert [row for rows in parts for row in rows] == batch.to_pylist()
+    assert list(tags._parts(pa.array([], pa.string()))) == []
+
+
+def test_remembered_tags_are_bounded_by_their_length():
+    find = tags.Finder(H.cut_for((("a", "href", "*=", ""),)))
+    for i in range(200):
+        assert len(find("".join(f"<a href='{i}-{j}' title='{'t' * 1000}'>x</a>" for j in range(20)))) == 20
+    assert sum(map(len, find.known)) <= 600_000
+
+
+def test_queries_bound_the_bytes_of_a_batch(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256m")
+        QUERIES["scan_pages"](spark, sf_dir)
+        assert int(spark.conf.get(name).rstrip("b")) <= 8 * 1024 * 1024
+    finally:
+        spark.conf.set(name, before)
