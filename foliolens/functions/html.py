@@ -485,12 +485,8 @@ def any_text(texts: tuple[str, ...]) -> str:
     return "|".join(re.escape(text).replace(r"\ ", " ") for text in texts)
 
 
-def tag_texts(html: ColumnOrName, tags: tuple[str, ...]) -> Column:
-    """``(tag, text)`` of the elements of these tags, read through the tags in them.
-
-    Only elements outside of others of their tag: an inner one's text is part of the outer one's.
-    """
-    boxes = page_elements(html, tuple((tag, "", "", "") for tag in tags), outermost=True)
+def tag_texts(boxes: Column) -> Column:
+    """``(tag, text)`` of elements, read through the tags in them."""
     return F.transform(boxes, lambda box: F.struct(
         F.lower(F.regexp_extract(box, f"^<({_TAG_NAME})", 1)).alias("tag"), raw_text(box).alias("text")
     ))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.functions import html as H, text as X
+from foliolens.functions.tags import found_in
 
 _BODY = (("article", "", "", ""), ("main", "", "", ""), ("*", "data-testid", "=", "articleContent"))
 
@@ -22,11 +23,21 @@ _PREMIUM_TEXTS = tuple(("span", text) for text in V.PREMIUM_SPAN_TEXTS)
 _TEXTS = (*_PREMIUM_TEXTS, *V.MEMBER_TEXTS, *V.SUBSCRIPTION_TEXTS, *V.LOGIN_TEXTS)
 
 
-def text_boxes(markup: Column, plain: Column) -> Column:
-    """Elements that may hold a text cue, in one pass; none if the text of the whole page holds no such text."""
-    cued = plain.rlike(H.any_text(tuple(sorted({text for _, text in _TEXTS}))))
-    boxes = H.tag_texts(F.when(cued, markup), tuple(sorted({tag for tag, _ in _TEXTS})))
-    return F.when(cued, boxes)
+# One look at a page: elements that may hold a text cue, and the body.
+_CUTS = {
+    "boxes": H.cut_for(tuple((tag, "", "", "") for tag in sorted({tag for tag, _ in _TEXTS})), outermost=True),
+    "body": H.cut_for(_BODY, only_first=True),
+}
+
+
+def has_text_cue(plain: Column) -> Column:
+    """Whether the text of a whole page holds one of the texts that are cues in some element."""
+    return plain.rlike(H.any_text(tuple(sorted({text for _, text in _TEXTS}))))
+
+
+def text_boxes(boxes: Column, cued: Column) -> Column:
+    """Tag and text of the elements that may hold a text cue; none if the page's text holds no such text."""
+    return F.when(cued, H.tag_texts(boxes))
 
 
 def _any_text(boxes: Column, pairs) -> Column:
@@ -40,8 +51,8 @@ def _any_text(boxes: Column, pairs) -> Column:
     return F.coalesce(reduce(or_, found), F.lit(False))
 
 
-def barrier_cues(markup: Column, boxes: Column, compat: bool = False) -> Column:
-    """One field per cue, in cleaned markup and its text boxes: the cue's name if it is there, else null.
+def barrier_cues(markup: Column, boxes: Column, body: Column, compat: bool = False) -> Column:
+    """One field per cue, in cleaned markup, its text boxes and its body: the cue's name if it is there, else null.
 
     With ``compat`` a text cue in a span counts but has no type, and the other
     text cues are not evaluated.
@@ -50,7 +61,6 @@ def barrier_cues(markup: Column, boxes: Column, compat: bool = False) -> Column:
     premium_mark = H.has_element(markup, V.BARRIER_MARKS)
     member = H.has_element(markup, V.MEMBER_MARKS)
     subscription = H.has_element(markup, V.SUBSCRIPTION_MARKS)
-    body = H.first_of(H.page_elements(markup, _BODY, only_first=True))
     truncated = F.length(H.raw_text(body)) < V.TRUNCATION_THRESHOLD
     if compat:
         premium = F.when(span_text, F.lit("unknown")).when(premium_mark, F.lit("premium"))
@@ -105,8 +115,12 @@ def barrier_classify(
     if from_markup:
         built = {name: build(F.col("markup")) for name, build in from_markup.items()}
         cleaned, keep = X.computed(cleaned, **built), (*keep, *from_markup)
-    read = X.computed(X.computed(cleaned, _plain=H.raw_text("markup")), _boxes=text_boxes(F.col("markup"), F.col("_plain")))
-    cued = read.select("page_id", "url", *keep, barrier_cues(F.col("markup"), F.col("_boxes"), compat).alias("cues"))
+    markup, told = F.col("markup"), F.col("_told")
+    plain = X.computed(cleaned, _cued=has_text_cue(H.raw_text("markup")))
+    looked = plain.select(*plain.columns, found_in(markup, _CUTS, {"boxes": F.col("_cued")}).alias("_told"))
+    read = X.computed(looked, _boxes=text_boxes(told["boxes"], F.col("_cued")))
+    cues = barrier_cues(markup, F.col("_boxes"), H.first_of(told["body"]), compat)
+    cued = read.select("page_id", "url", *keep, cues.alias("cues"))
     told = cued.select("page_id", "url", *keep, barrier_info(F.col("cues")).alias("b"))
     return told.select("page_id", "url", *keep, "b.*")
 

@@ -1,5 +1,7 @@
 """Runs over pages: outcomes, totals of the same pass, and framed documents."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,17 @@ def test_a_document_that_was_not_finished_is_refused(spark):
 def test_public_totals():
     totals = {"successful_extractions": 3, "total_comments": 7, "session_duration": 45_200}
     assert runs.public_totals(totals) == {"total_articles_scraped": 3, "total_comments_scraped": 7, "time_taken": "45.2 seconds"}
+
+
+def test_a_run_reads_a_page_by_few_python_functions(spark):
+    """Barrier, page and containers: each function has a Python worker of its own in every task, with a batch of pages."""
+    plan = envelopes(spark)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) <= 3
+
+
+@pytest.mark.parametrize("text, kind", [("Member-<b>only</b> story", "premium"), ("Sign <i>in</i>", "login_required"), ("x", None)])
+def test_text_cues_are_read_through_tags(spark, text, kind):
+    """Text boxes and body come from one look at the page; boxes are looked for only where the page holds a cue."""
+    pages = [(1, "https://a.example.com/p/1", f"<span>{text}</span><a>{text}</a><article>{LONG}</article>"), (2, None, None)]
+    rows = {row["page_id"]: row["barrier"]["barrier_type"] for row in envelopes(spark, pages).collect()}
+    assert rows == {1: kind, 2: "content_truncation"}
