@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.operators import exports, runs
+from foliolens.plans.queries import QUERIES
 from foliolens.session import new_folder
 from foliolens.sources import adapters as A, tables as T
 
@@ -135,3 +136,16 @@ def test_text_cues_are_read_through_tags(spark, text, kind):
     pages = [(1, "https://a.example.com/p/1", f"<span>{text}</span><a>{text}</a><article>{LONG}</article>"), (2, None, None)]
     rows = {row["page_id"]: row["barrier"]["barrier_type"] for row in envelopes(spark, pages).collect()}
     assert rows == {1: kind, 2: "content_truncation"}
+
+
+def test_a_run_as_csv_bounds_its_batches_and_keeps_all_rows(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256m")
+        report = QUERIES["page_run_csv"](spark, sf_dir)
+        assert int(spark.conf.get(name).rstrip("b")) <= 8 * 1024 * 1024
+        # A head, a row for each document, and the line of totals.
+        assert report.count() == T.scan_table(spark, sf_dir, "documents").count() + 2
+    finally:
+        spark.conf.set(name, before)
