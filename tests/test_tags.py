@@ -108,3 +108,17 @@ def test_queries_bound_the_bytes_of_a_batch(spark, sf_dir):
         assert int(spark.conf.get(name).rstrip("b")) <= 8 * 1024 * 1024
     finally:
         spark.conf.set(name, before)
+
+
+def test_comments_and_their_fields_come_from_one_python_function(spark):
+    comment = "<div data-testid='comment'><a data-testid='commentAuthor' href='/@{0}'>{0}</a><p data-testid='commentContent'>t{0}</p></div>"
+    section = f"<section data-testid='responses'>{comment.format('a')}{comment.format('b')}</section>"
+    pages = spark.createDataFrame(
+        [(1, "https://x.example.com/p/1", section), (2, "https://x.example.com/p/2", comment.format("c")), (3, None, None)],
+        "page_id bigint, url string, html string",
+    )
+    found = M.comments(pages)
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    assert [(row["page_id"], row["index"], row["author"], row["content"]) for row in found.orderBy("page_id", "index").collect()] == [
+        (1, 0, "a", "ta"), (1, 1, "b", "tb"),
+    ]
